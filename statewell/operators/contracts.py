@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from statewell.common import ContractError, failed_checks, key_text, union_all, violation
 from statewell.functions.digests import canonical_digest, content_digest
 
-NO_KEY = F.lit("")
+
+def _no_key():
+    return F.lit("")
+
 
 
 def _schema_violations(spark, rows: list[tuple[str, str, str]]) -> DataFrame:
@@ -55,7 +58,7 @@ def longitudinal_violations(
     )
     null_rows = failed_checks(
         nulls,
-        NO_KEY,
+        _no_key(),
         {
             "subject_null": (F.col("s") > 0, F.format_string("%d null subjects", F.col("s"))),
             "time_null": (F.col("t") > 0, F.format_string("%d null times", F.col("t"))),
@@ -68,7 +71,7 @@ def longitudinal_violations(
     spans = visits.groupBy(subject).agg((F.min(time) < F.max(time)).alias("repeats"))
     none = failed_checks(
         spans.agg(F.count_if("repeats").alias("r")),
-        NO_KEY,
+        _no_key(),
         {"no_repeated_subject": (F.col("r") == 0, "needs a subject with distinct repeated times")},
     )
     return union_all([null_rows, repeated, none])
@@ -209,7 +212,7 @@ def cohort_size_violations(cohort: DataFrame, minimum: int = 12) -> DataFrame:
     """V8: fewer complete paired samples than allowed."""
     return failed_checks(
         cohort.agg(F.count("*").alias("n")),
-        NO_KEY,
+        _no_key(),
         {"too_few_complete": (F.col("n") < minimum, F.format_string("%d of %d", F.col("n"), F.lit(minimum)))},
     )
 
@@ -303,7 +306,7 @@ def bench_violations(rows: DataFrame, split: str | None = None, selected: str |
     dup = rows.groupBy("candidate", "stratum_digest", "seed").agg(F.count("*").alias("n")).filter("n > 1")
     return union_all(
         [
-            failed_checks(summary, NO_KEY, checks),
+            failed_checks(summary, _no_key(), checks),
             violation(
                 dup, "duplicate_row", key_text(["candidate", "stratum_digest", "seed"]), F.format_string("%d rows", F.col("n"))
             ),
