@@ -16,9 +16,9 @@ def grouped_quantiles(
     """Exact linear-interpolated (type 7) quantiles: rows ``keys.., prob, q, n``.
 
     A quantile sketch brackets each wanted rank with a guaranteed rank error of
-    ``1/accuracy``; one more pass counts the values below the bracket and groups
-    the distinct values inside it. Only those, about ``6/accuracy`` of a group,
-    are ordered. Raise ``accuracy`` for groups beyond some 10^9 values.
+    ``1/accuracy``; one more pass counts the values outside the bracket and
+    groups the distinct values inside it. Only those, about ``6/accuracy`` of a
+    group, are ordered. Raise ``accuracy`` for groups beyond some 10^9 values.
     """
     if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ContractError("probabilities must lie in [0, 1]")
@@ -48,21 +48,28 @@ def grouped_quantiles(
     joined = data.join(sketch, keys) if keys else data.withColumn(
         "_s", sketch.select(F.struct("_n", "_b")).scalar()
     ).select("_x", "_s._n", "_s._b")
+    # side -1 and 1 hold everything outside the bracket as one row each, with the
+    # value next to it: for small groups a wanted rank may be one step outside
+    side = F.when(F.col("_x") < F.col("lo"), -1).when(F.col("_x") > F.col("hi"), 1).otherwise(0)
     inside = (
         joined.select(*keys, "_n", "_x", F.inline("_b"))
-        .filter(F.col("_x") <= F.col("hi"))
-        .groupBy(*keys, "_n", "prob", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        .withColumn("_side", side)
+        .groupBy(*keys, "_n", "prob", "_side", F.when(F.col("_side") == 0, F.col("_x")).alias("_v"))
+        .agg(F.count("*").alias("_c"), F.min("_x").alias("_lowest"), F.max("_x").alias("_highest"))
     )
-    order = Window.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
+    order = Window.partitionBy(*keys, "prob").orderBy("_side", "_v")
     ranked = inside.withColumn("_end", F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
     h = (F.col("_n") - 1) * F.col("prob")
     k0 = F.floor(h)
     k1 = F.least(k0 + 1, F.col("_n") - 1)
 
     def at(rank):
-        hit = F.col("_v").isNotNull() & (F.col("_start") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
+        value = (
+            F.when((F.col("_side") == 0) & (F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v"))
+            .when((F.col("_side") == -1) & (rank == F.col("_end") - 1), F.col("_highest"))
+            .when((F.col("_side") == 1) & (rank == F.col("_start")), F.col("_lowest"))
+        )
+        return F.max(value)
 
     picked = ranked.groupBy(*keys, "_n", "prob").agg(at(k0).alias("_a"), at(k1).alias("_b"))
     q = F.col("_a") + (h - k0) * (F.col("_b") - F.col("_a"))
