@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statewell.plans import landscape_queries, prep_queries, stage1_queries  # noqa: F401
+from statewell.plans import contract_queries, landscape_queries, prep_queries, stage1_queries  # noqa: F401
 from statewell.plans.registry import ORACLES, QUERIES
 
 

@@ -125,3 +125,65 @@ def eigen_sql(k: int, squarings: int = 13) -> str:
 
 SCORES = """scores AS MATERIALIZED (SELECT c.layer, c.sample_id, l.component, sum(c.v * l.loading) AS coord
              FROM centred c JOIN loadings l ON c.layer = l.layer AND c.feature_id = l.feature_id GROUP BY ALL)"""
+
+
+# --- benchmark rows -------------------------------------------------------------------
+
+FIRST, SECOND = "C1_symmetric_consensus", "C2_block_scaled_svd"
+
+BENCH = f"""bench AS MATERIALIZED (
+       SELECT candidate, seed, CASE WHEN s_nationkey < 13 THEN 'calibration' ELSE 'holdout' END AS split,
+              sha256(stratum) AS stratum_digest, stratum, 'protocol-2' AS protocol_id, 'lineitem' AS generator,
+              'p' AS protocol_digest, 'g' AS generator_digest, 'full' AS tier,
+              CASE WHEN projection_case = 'missing_id' THEN 'typed_failure' ELSE 'success' END AS gate_expected,
+              CASE WHEN projection_case = 'missing_id' THEN 'typed_failure' ELSE 'success' END AS gate_observed,
+              TRUE AS gate_passed, projection_case, ln, shared_signal, noise_sd,
+              CASE WHEN projection_case = 'exact_ids' THEN disc END AS shared_recovery_error,
+              CASE WHEN projection_case = 'exact_ids' THEN price END AS response_recovery_error,
+              CASE WHEN projection_case = 'exact_ids' THEN tax END AS exclusive_leakage,
+              CASE WHEN projection_case = 'exact_ids' THEN disc + tax END AS projection_error, qty AS elapsed_sec,
+              peak AS peak_vcells_bytes
+       FROM (SELECT CASE WHEN l_linestatus = 'F' THEN '{FIRST}' ELSE '{SECOND}' END AS candidate, l_suppkey AS seed,
+                    l_linenumber AS ln, 'list(K = ' || (2 + l_linenumber % 2) || 'L, missing_block_rate = ' ||
+                      CASE WHEN l_linenumber > 5 THEN '0.2' ELSE '0' END || ', flag = ' || l_returnflag || ', line = ' ||
+                      l_linenumber || ')' AS stratum,
+                    CASE WHEN l_returnflag = 'N' THEN 'missing_id' ELSE 'exact_ids' END AS projection_case,
+                    CASE WHEN l_linenumber >= 4 THEN 24.0::DOUBLE ELSE 12.0::DOUBLE END AS shared_signal,
+                    CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS noise_sd,
+                    avg(l_discount) AS disc, avg(l_tax) AS tax, avg(l_extendedprice) / 100000 AS price,
+                    avg(l_quantity) AS qty, max(l_extendedprice) AS peak
+             FROM lineitem GROUP BY ALL) JOIN supplier ON seed = s_suppkey)"""
+
+
+def bench_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as benchmark rows: status = candidate, flag and line = stratum, supplier = seed."""
+    line = F.col("l_linenumber")
+    stratum = F.concat(
+        F.lit("list(K = "), (line % 2 + 2).cast("string"), F.lit("L, missing_block_rate = "),
+        F.when(line > 5, "0.2").otherwise("0"), F.lit(", flag = "), F.col("l_returnflag"), F.lit(", line = "),
+        line.cast("string"), F.lit(")"),
+    )
+    per = table(spark, sf, "lineitem").groupBy(
+        F.when(F.col("l_linestatus") == "F", FIRST).otherwise(SECOND).alias("candidate"),
+        F.col("l_suppkey").alias("seed"), line.alias("ln"), stratum.alias("stratum"),
+        F.when(F.col("l_returnflag") == "N", "missing_id").otherwise("exact_ids").alias("projection_case"),
+        F.when(line >= 4, 24.0).otherwise(12.0).alias("shared_signal"),
+        F.when(F.col("l_returnflag") == "A", 1.0).otherwise(2.0).alias("noise_sd"),
+    ).agg(
+        F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"), (F.avg("l_extendedprice") / 100000).alias("price"),
+        F.avg("l_quantity").alias("elapsed_sec"), F.max("l_extendedprice").alias("peak_vcells_bytes"),
+    )
+    split = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("seed"), F.when(F.col("s_nationkey") < 13, "calibration").otherwise("holdout").alias("split")
+    )
+    exact = F.col("projection_case") == "exact_ids"
+    gate = F.when(exact, "success").otherwise("typed_failure")
+    return per.join(split, "seed").select(
+        "candidate", "seed", "split", F.sha2("stratum", 256).alias("stratum_digest"), "stratum",
+        F.lit("protocol-2").alias("protocol_id"), F.lit("lineitem").alias("generator"), F.lit("p").alias("protocol_digest"),
+        F.lit("g").alias("generator_digest"), F.lit("full").alias("tier"), gate.alias("gate_expected"),
+        gate.alias("gate_observed"), F.lit(True).alias("gate_passed"), "projection_case", "ln", "shared_signal", "noise_sd",
+        F.when(exact, F.col("disc")).alias("shared_recovery_error"), F.when(exact, F.col("price")).alias("response_recovery_error"),
+        F.when(exact, F.col("tax")).alias("exclusive_leakage"),
+        F.when(exact, F.col("disc") + F.col("tax")).alias("projection_error"), "elapsed_sec", "peak_vcells_bytes",
+    )

@@ -300,7 +300,7 @@ def k16(spark, sf):
 
 @query(
     "quantiles_grouped",
-    """SELECT l_returnflag, unnest([0.025, 0.5, 0.975]::DOUBLE[]) AS prob, unnest(list_transform(qs, q -> round(q, 6))) AS q, n
+    """SELECT l_returnflag, unnest([0.025, 0.5, 0.975]::DOUBLE[]) AS prob, unnest(list_transform(qs, lambda q: round(q, 6))) AS q, n
        FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.025, 0.5, 0.975]) AS qs, count(*) AS n
              FROM lineitem GROUP BY 1)""",
 )
