@@ -86,13 +86,17 @@ def detectability(cells: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
 def choose_side(dims: DataFrame) -> str:
     """Pick the side whose square fits one task for every group."""
     worst = dims.agg(F.max("n").alias("n"), F.max("p").alias("p")).first()
-    if worst["n"] is None:
+    return _side_for(worst["n"], worst["p"])
+
+
+def _side_for(n: int | None, p: int | None) -> str:
+    if n is None:
         raise ContractError("no cells to decompose")
-    if worst["p"] <= MAX_SIDE and worst["p"] <= worst["n"]:
+    if p <= MAX_SIDE and p <= n:
         return "features"
-    if worst["n"] <= MAX_SIDE:
+    if n <= MAX_SIDE:
         return "samples"
-    return "features" if worst["p"] <= MAX_SIDE else "sketch"
+    return "features" if p <= MAX_SIDE else "sketch"
 
 
 def _wide(long: DataFrame, keys: Sequence[str], by: str, value: str) -> DataFrame:
@@ -185,7 +189,7 @@ def svd(
             ids = F.array(*[F.lit(f) for f in feature_ids])
             named = model.withColumn("ids", ids)
         else:
-            named = model.join(cells.groupBy(*keys).agg(F.array_sort(F.collect_set("feature_id")).alias("ids")), keys)
+            named = model.join(_ids(cells, keys, "feature_id"), keys)
         pairs = F.arrays_zip("ids", "axis", "mean")
         long = named.select(*keys, "component", F.explode(pairs).alias("z")).select(
             *keys,
@@ -209,8 +213,7 @@ def svd(
         shape = model.select(*keys, F.col("m").cast("long").alias("n"), F.col("n").alias("p"), "component", "sigma")
         loadings = scores = None
         if vectors:
-            ids = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("sample_id")).alias("ids"))
-            left = model.join(ids, keys).select(
+            left = model.join(_ids(cells, keys, "sample_id"), keys).select(
                 *keys, "component", "sigma", F.explode(F.arrays_zip("ids", "axis")).alias("z")
             ).select(*keys, "component", "sigma", F.col("z.ids").alias("sample_id"), F.col("z.axis").alias("u"))
             size = model.agg(
@@ -236,6 +239,11 @@ def svd(
     return Decomposition(loadings, scores, spectrum, warnings, tuple(keys))
 
 
+def _ids(cells: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Sorted ids of the solved side, at most ``MAX_SIDE`` per group."""
+    return materialise(cells.groupBy(*keys).agg(F.array_sort(F.collect_set(column)).alias("ids")))
+
+
 def leading_sign(loadings: DataFrame, by: Sequence[str]) -> DataFrame:
     """+1 or -1 so that the largest absolute loading (first id on ties) is positive."""
     order = F.struct(-F.round(F.abs("loading"), 12), F.col("feature_id"))
@@ -355,11 +363,15 @@ def decompose(
     if strategy not in ("svd", "averaged", "strongest"):
         raise ContractError(f"unknown decomposition {strategy}")
     cohort = _cohort_keys(keys)
-    layers = cells.groupBy(*cohort).agg(F.countDistinct("layer").alias("l")).agg(F.min("l"), F.max("l")).first()
-    if strategy == "svd" and layers[1] != 1:
+    per_cohort = dimensions(cells, keys).groupBy(*cohort).agg(
+        F.count("*").alias("l"), F.max("n").alias("n"), F.max("p").alias("p")
+    )
+    size = per_cohort.agg(F.min("l").alias("few"), F.max("l").alias("many"), F.max("n").alias("n"), F.max("p").alias("p")).first()
+    if strategy == "svd" and size["many"] != 1:
         raise ContractError("svd requires exactly 1 layer")
-    if strategy != "svd" and (layers[0] or 0) < 2:
+    if strategy != "svd" and (size["few"] or 0) < 2:
         raise ContractError(f"{strategy} requires at least 2 layers")
+    side = side or _side_for(size["n"], size["p"])
     own = svd(cells, keys, k, center, side)
     warnings = own.warnings.unionByName(rank_warnings(own.spectrum, k, keys))
     if strategy == "svd":

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewell.common import ContractError, enforce, union_all
+from statewell.common import ContractError, enforce, materialise, union_all
 from statewell.operators.contracts import alignment, alignment_violations
 from statewell.operators.decompose import detectability, spectrum
 from statewell.operators.landscape import empirical_density, interpolate
@@ -125,5 +125,5 @@ def group_mean_path(points: DataFrame, by: Sequence[str], values: Sequence[str])
 def spectrum_table(cells: DataFrame, keys: Sequence[str] = ("layer",), n_values: int = 20, side: str | None = None) -> DataFrame:
     """Leading uncentred singular values with each layer's threshold."""
     values = spectrum(cells, keys, n_values, center=False, side=side)
-    thr = detectability(cells, keys).select(*keys, "threshold")
+    thr = materialise(detectability(cells, keys).select(*keys, "threshold"))
     return values.join(thr, list(keys)).withColumn("detectable", F.col("sigma") >= F.col("threshold"))

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewell.common import ContractError, materialise, union_all, violation, key_text
+from statewell.common import ContractError, key_text, materialise, small_side, union_all, violation
 from statewell.operators.linalg import _FLUSH_BYTES, _group_codes
-from statewell.operators.quantiles import grouped_quantiles
+from statewell.operators.quantiles import rank_sketch, refine_quantiles
 
 #: Smallest density kept before the logarithm (double machine epsilon).
 DENSITY_FLOOR = 2.220446049250313e-16
@@ -49,28 +49,37 @@ def select_coordinates(
 
 def minimum_n_violations(obs: DataFrame, keys: Sequence[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
     """K2: groups with too few coordinates for a density."""
-    small = obs.groupBy(*keys).agg(F.count("x").alias("n")).filter(F.col("n") < minimum)
-    return violation(small, "minimum_n", key_text(keys), F.format_string("%d coordinate values, need %d", F.col("n"), F.lit(minimum)))
+    return _too_few(obs.groupBy(*keys).agg(F.count("x").alias("n_obs")), keys, minimum)
+
+
+def _too_few(counts: DataFrame, keys: Sequence[str], minimum: int = MIN_OBSERVATIONS) -> DataFrame:
+    small = counts.filter(F.col("n_obs") < minimum)
+    text = F.format_string("%d coordinate values, need %d", F.col("n_obs"), F.lit(minimum))
+    return violation(small, "minimum_n", key_text(keys), text)
 
 
 # --- K3: bandwidths -----------------------------------------------------------
 
 
 def spread(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Count, mean, sd, range and interquartile range of every group."""
+    """Count, mean, sd, range and interquartile range of every group.
+
+    Two passes over the observations; the result is one materialised row per
+    group. Groups without values do not appear.
+    """
     keys = list(keys)
-    moments = obs.groupBy(*keys).agg(
-        F.count("x").alias("n_obs"),
-        F.avg("x").alias("x_mean"),
-        F.stddev_samp("x").alias("x_sd"),
-        F.min("x").alias("x_min"),
-        F.max("x").alias("x_max"),
+    probs = [0.25, 0.75]
+    base = rank_sketch(
+        obs, keys, "x", probs, 10_000, F.avg("_x").alias("x_mean"), F.stddev_samp("_x").alias("x_sd")
     )
-    quart = grouped_quantiles(obs, keys, "x", [0.25, 0.75])
-    iqr = quart.groupBy(*keys).agg(
-        (F.max(F.when(F.col("prob") == 0.75, F.col("q"))) - F.max(F.when(F.col("prob") == 0.25, F.col("q")))).alias("x_iqr")
+    quart = refine_quantiles(obs, base, keys, "x", probs)
+    high, low = (F.max(F.when(F.col("prob") == p, F.col("q"))) for p in (0.75, 0.25))
+    iqr = quart.groupBy(*keys).agg((high - low).alias("x_iqr"))
+    return materialise(
+        base.select(
+            *keys, F.col("_n").alias("n_obs"), "x_mean", "x_sd", F.col("_min").alias("x_min"), F.col("_max").alias("x_max")
+        ).join(iqr, keys)
     )
-    return moments.join(iqr, keys)
 
 
 def linear_bins(obs: DataFrame, stats: DataFrame, keys: Sequence[str], m: int = BIN_POINTS) -> DataFrame:
@@ -115,7 +124,7 @@ def plugin_bandwidth(obs: DataFrame, keys: Sequence[str], stats: DataFrame | Non
     """
     keys = list(keys)
     stats = stats if stats is not None else spread(obs, keys)
-    bins = linear_bins(obs, stats, keys, m)
+    bins = linear_bins(obs, small_side(stats), keys, m)
     packed = bins.groupBy(*keys).agg(F.collect_list(F.struct("bin", "w")).alias("_bins")).join(stats, keys)
 
     @F.pandas_udf("double")
@@ -143,9 +152,9 @@ def plugin_bandwidth(obs: DataFrame, keys: Sequence[str], stats: DataFrame | Non
     return packed.select(*keys, h.alias("h"), "n_obs", "x_min", "x_max")
 
 
-def normal_reference_bandwidth(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def normal_reference_bandwidth(obs: DataFrame, keys: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """Rule-of-thumb bandwidth ``0.9 min(sd, IQR/1.34) n^(-1/5)``."""
-    s = spread(obs, keys)
+    s = stats if stats is not None else spread(obs, keys)
     scale = F.least(F.col("x_sd"), F.col("x_iqr") / 1.34)
     scale = F.when(scale > 0, scale).otherwise(
         F.coalesce(F.nullif(F.col("x_sd"), F.lit(0.0)), F.nullif(F.abs(F.col("x_mean")), F.lit(0.0)), F.lit(1.0))
@@ -153,11 +162,11 @@ def normal_reference_bandwidth(obs: DataFrame, keys: Sequence[str]) -> DataFrame
     return s.select(*keys, (0.9 * scale * F.pow(F.col("n_obs"), F.lit(-0.2))).alias("h"), "n_obs", "x_min", "x_max")
 
 
-def bandwidths(obs: DataFrame, keys: Sequence[str], method: str = "dpi") -> DataFrame:
+def bandwidths(obs: DataFrame, keys: Sequence[str], method: str = "dpi", stats: DataFrame | None = None) -> DataFrame:
     if method == "dpi":
-        return plugin_bandwidth(obs, keys)
+        return plugin_bandwidth(obs, keys, stats)
     if method == "nrd0":
-        return normal_reference_bandwidth(obs, keys)
+        return normal_reference_bandwidth(obs, keys, stats)
     raise ContractError(f"unknown bandwidth method {method}")
 
 
@@ -187,46 +196,47 @@ def density_curve(
         raise ContractError("density_curve needs at least one key column")
     lo = F.col("x_min") - reach * F.col("h")
     hi = F.col("x_max") + reach * F.col("h")
-    frame = bw.filter(F.col("h").isNotNull()).select(
-        *keys, "h", lo.alias("lo"), ((hi - lo) / (n_grid - 1)).alias("step")
+    mass = 1 / (F.col("n_obs") * F.col("h") * F.lit(float(np.sqrt(2 * np.pi))))
+    frame = materialise(
+        bw.filter(F.col("h").isNotNull()).select(
+            *keys, "h", lo.alias("lo"), ((hi - lo) / (n_grid - 1)).alias("step"), mass.alias("mass")
+        )
     )
-    joined = obs.join(frame, keys).select(*keys, "x", "h", "lo", "step")
+    joined = obs.join(small_side(frame), keys).select(*keys, "x", "h", "lo", "step", "mass")
     n_keys = len(keys)
     schema = T.StructType(
         [joined.schema[k] for k in keys]
-        + [T.StructField("i", T.IntegerType()), T.StructField("s", T.DoubleType())]
+        + [T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("s", T.DoubleType())]
     )
     grid = np.arange(n_grid)
 
     def emit(states):
         index = pa.array(grid, pa.int32())
-        for key, total in states.items():
+        for key, (xs, total) in states.items():
             fixed = [pa.array([k] * n_grid) for k in key]
-            yield pa.RecordBatch.from_arrays([*fixed, index, pa.array(total)], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays(
+                [*fixed, index, pa.array(xs), pa.array(total)], names=schema.fieldNames()
+            )
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
         for batch in batches:
-            x, h, lo_, step = (batch.column(n_keys + j).to_numpy() for j in range(4))
+            x, h, lo_, step, mass_ = (batch.column(n_keys + j).to_numpy() for j in range(5))
             for key, idx in _group_codes(batch, n_keys):
-                xs = lo_[idx[0]] + grid * step[idx[0]]
-                total = states.setdefault(key, np.zeros(n_grid))
+                f = idx[0]
+                if key not in states:
+                    states[key] = (lo_[f] + grid * step[f], np.zeros(n_grid))
+                xs, total = states[key]
                 for start in range(0, len(idx), 1024):
-                    part = idx[start : start + 1024]
-                    z = (xs[None, :] - x[part][:, None]) / h[idx[0]]
-                    total += np.exp(-0.5 * z * z).sum(axis=0)
+                    z = (xs[None, :] - x[idx[start : start + 1024]][:, None]) / h[f]
+                    total += np.exp(-0.5 * z * z).sum(axis=0) * mass_[f]
             if len(states) * n_grid * 8 > _FLUSH_BYTES:
                 yield from emit(states)
                 states = {}
         yield from emit(states)
 
-    sums = joined.mapInArrow(partials, schema).groupBy(*keys, "i").agg(F.sum("s").alias("s"))
-    density = F.col("s") / (F.col("n_obs") * F.col("h") * F.lit(float(np.sqrt(2 * np.pi))))
-    out = sums.join(bw.select(*keys, "n_obs", "h", "x_min", "x_max"), keys)
-    step = (hi - lo) / (n_grid - 1)
-    return out.select(
-        *keys, "i", (lo + F.col("i") * step).alias("x"), density.alias("density"), quasi_potential(density).alias("u_raw")
-    )
+    sums = joined.mapInArrow(partials, schema).groupBy(*keys, "i").agg(F.min("x").alias("x"), F.sum("s").alias("density"))
+    return sums.withColumn("u_raw", quasi_potential(F.col("density")))
 
 
 def quasi_potential(density) -> F.Column:
@@ -425,15 +435,15 @@ def landscape(
     if design != "cross_sectional":
         raise ContractError(f"the density estimator does not support a {design} design")
     keys = list(keys)
-    sizes = obs.groupBy(*keys).agg(F.count("x").alias("_n")).filter(F.col("_n") >= MIN_OBSERVATIONS)
-    usable = obs.join(sizes.drop("_n"), keys, "left_semi")
-    params = materialise(bandwidths(usable, keys, bandwidth))
-    curve = materialise(density_curve(usable, params, keys, n_grid))
+    stats = spread(obs, keys)
+    usable = stats.filter(F.col("n_obs") >= MIN_OBSERVATIONS)
+    params = materialise(bandwidths(obs, keys, bandwidth, usable))
+    curve = materialise(density_curve(obs, params, keys, n_grid))
     critical = critical_points(curve, keys)
     smooth = smooth_curve(curve, critical, keys, degree)
     barriers = barrier_heights(critical, smooth, keys)
     return Landscape(
-        smooth, critical, barriers, params.select(*keys, "h", "n_obs"), minimum_n_violations(obs, keys), tuple(keys)
+        smooth, critical, barriers, params.select(*keys, "h", "n_obs"), _too_few(stats, keys), tuple(keys)
     )
 
 
@@ -468,7 +478,8 @@ def density_2d(
         )
 
     frame = reference("_x", "x").join(reference("_y", "y").drop("ny"), keys)
-    joined = data.join(frame.drop("nx"), keys).select(*keys, "_x", "_y", "lox", "stx", "hx", "loy", "sty", "hy")
+    frame = materialise(frame)
+    joined = data.join(small_side(frame.drop("nx")), keys).select(*keys, "_x", "_y", "lox", "stx", "hx", "loy", "sty", "hy")
     n_keys = len(keys)
     schema = T.StructType(
         [joined.schema[k] for k in keys]

@@ -4,36 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewell.common import ContractError
+from statewell.common import ContractError, materialise, small_side
 
 
-def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+def _marks(probs: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
+    if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
+        raise ContractError("probabilities must lie in [0, 1]")
+    margin = 3.0 / accuracy
+    return [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
+
+
+def rank_sketch(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000, *extra: Column
 ) -> DataFrame:
-    """Exact linear-interpolated (type 7) quantiles: rows ``keys.., prob, q, n``.
+    """First pass: count, range, ``extra`` aggregates and a bracket per quantile.
 
-    A quantile sketch brackets each wanted rank with a guaranteed rank error of
-    ``1/accuracy``; one more pass counts the values outside the bracket and
-    groups the distinct values inside it. Only those, about ``6/accuracy`` of a
-    group, are ordered. Raise ``accuracy`` for groups beyond some 10^9 values.
+    One materialised row per group, so that later passes can be joined to it
+    without shuffling the data while the groups are few.
     """
-    if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
-        raise ContractError("probabilities must lie in [0, 1]")
-    keys = list(keys)
+    flat = [q for pair in _marks(probs, accuracy) for q in pair]
     x = F.col(value).cast("double")
     data = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull())
-    margin = 3.0 / accuracy
-    marks = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
-    flat = [q for pair in marks for q in pair]
-    sketch = data.groupBy(*keys).agg(
-        F.count("_x").alias("_n"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-        F.percentile_approx("_x", flat, accuracy).alias("_q"),
+    return materialise(
+        data.groupBy(*keys).agg(
+            F.count("_x").alias("_n"),
+            F.min("_x").alias("_min"),
+            F.max("_x").alias("_max"),
+            F.percentile_approx("_x", flat, accuracy).alias("_q"),
+            *extra,
+        )
     )
+
+
+def refine_quantiles(
+    df: DataFrame, sketch: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+) -> DataFrame:
+    """Second pass: exact quantiles inside the brackets of ``rank_sketch``."""
+    keys = list(keys)
+    data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     brackets = F.array(
         *[
             F.struct(
@@ -41,13 +52,14 @@ def grouped_quantiles(
                 (F.col("_min") if lo == 0.0 else F.col("_q")[2 * i]).alias("lo"),
                 (F.col("_max") if hi == 1.0 else F.col("_q")[2 * i + 1]).alias("hi"),
             )
-            for i, (p, (lo, hi)) in enumerate(zip(probs, marks))
+            for i, (p, (lo, hi)) in enumerate(zip(probs, _marks(probs, accuracy)))
         ]
     )
-    sketch = sketch.select(*keys, "_n", brackets.alias("_b"))
-    joined = data.join(sketch, keys) if keys else data.withColumn(
-        "_s", sketch.select(F.struct("_n", "_b")).scalar()
-    ).select("_x", "_s._n", "_s._b")
+    bracketed = sketch.select(*keys, "_n", brackets.alias("_b"))
+    if keys:
+        joined = data.join(small_side(bracketed), keys)
+    else:
+        joined = data.withColumn("_s", bracketed.select(F.struct("_n", "_b")).scalar()).select("_x", "_s._n", "_s._b")
     # side -1 and 1 hold everything outside the bracket as one row each, with the
     # value next to it: for small groups a wanted rank may be one step outside
     side = F.when(F.col("_x") < F.col("lo"), -1).when(F.col("_x") > F.col("hi"), 1).otherwise(0)
@@ -76,6 +88,19 @@ def grouped_quantiles(
     return picked.select(*keys, "prob", q.alias("q"), F.col("_n").alias("n"))
 
 
+def grouped_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+) -> DataFrame:
+    """Exact linear-interpolated (type 7) quantiles: rows ``keys.., prob, q, n``.
+
+    A quantile sketch brackets each wanted rank with a guaranteed rank error of
+    ``1/accuracy``; one more pass counts the values outside the bracket and
+    groups the distinct values inside it. Only those, about ``6/accuracy`` of a
+    group, are ordered. Raise ``accuracy`` for groups beyond some 10^9 values.
+    """
+    return refine_quantiles(df, rank_sketch(df, keys, value, probs, accuracy), keys, value, probs, accuracy)
+
+
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
     got = grouped_quantiles(df, keys, value, [0.5])
     return got.select(*keys, F.col("q").alias(out), F.col("n"))

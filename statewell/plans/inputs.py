@@ -15,13 +15,19 @@ HALF = WIDTH // 2
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """One layer: embeddings as a sample-by-feature matrix."""
-    return cells_from_arrays(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    long = cells_from_arrays(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return long.withColumn("layer", _layer("sample_id"))
+
+
+def _layer(column: str):
+    """The layer as a data column, as it is when cells are read from storage."""
+    return F.when(F.col(column).isNotNull(), "all")
 
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
     """The same matrix as array rows, read without regrouping."""
     return table(spark, sf, "embeddings").select(
-        F.lit("all").alias("layer"), F.col("vec_id").cast("string").alias("sample_id"),
+        _layer("vec_id").alias("layer"), F.col("vec_id").cast("string").alias("sample_id"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )
 

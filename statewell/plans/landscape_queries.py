@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from statewell.common import materialise
 from statewell.operators import landscape as ls
 from statewell.operators.quantiles import grouped_median, grouped_quantiles
 from statewell.plans import inputs as src
@@ -85,8 +86,9 @@ SEG_K = f"WITH {SEGMENTS}, {PLUGIN}, {curve_sql()}, {CRITICAL}"
 
 
 def seg_curve(spark, sf):
+    """The potential of every market segment, materialised for the steps after it."""
     obs = src.segments(spark, sf)
-    return ls.density_curve(obs, ls.plugin_bandwidth(obs, ["g"]), ["g"])
+    return materialise(ls.density_curve(obs, ls.plugin_bandwidth(obs, ["g"]), ["g"]))
 
 
 @query(
@@ -189,7 +191,7 @@ def k8(spark, sf):
 def k11(spark, sf):
     """The potential at every observation."""
     obs = src.segments(spark, sf)
-    curve = ls.density_curve(obs, ls.plugin_bandwidth(obs, ["g"]), ["g"])
+    curve = seg_curve(spark, sf)
     return rounded(ls.interpolate(obs, curve, ["g"], "u_raw", "u"), 6, "u")
 
 

@@ -325,10 +325,10 @@ def d15_gram(spark, sf):
 
     cells = src.two_layers(spark, sf)
     scaled = dec.block_scale(cells, dec.layer_scaling(cells)).select(
-        F.lit("all").alias("layer"), "sample_id", F.concat_ws(":", "layer", "feature_id").alias("feature_id"), "value"
+        F.when(F.col("layer").isNotNull(), "all").alias("layer"), "sample_id", F.concat_ws(":", "layer", "feature_id").alias("feature_id"), "value"
     )
     rows = rows_from_cells(scaled, ["layer"], "feature_id", "sample_id")
-    ids = scaled.groupBy("layer").agg(F.array_sort(F.collect_set("sample_id")).alias("ids"))
+    ids = materialise(scaled.groupBy("layer").agg(F.array_sort(F.collect_set("sample_id")).alias("ids")))
     blocks = gram_blocks(rows, ["layer"], "none").join(ids, "layer")
     wide = blocks.select("block", "m", "ids", F.posexplode("gram").alias("pos", "v"))
     row = F.col("block") * F.floor(F.lit(65536) / F.col("m")) + F.floor(F.col("pos") / F.col("m"))
