@@ -1,4 +1,4 @@
-"""Digests and partition-independent random draws (V17, V20, section 7.5)."""
+"""Digests of declarations and table contents."""
 
 from __future__ import annotations
 
@@ -17,15 +17,6 @@ def hex_number(c: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint")
 
 
-def draw_index(parts: Sequence[Column], n: Column, method: str = "md5") -> Column:
-    """A uniform index in ``[0, n)`` that depends only on its parts."""
-    if method == "md5":
-        number = hex_number(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])))
-    else:
-        number = F.xxhash64(*parts)
-    return F.pmod(number, n)
-
-
 def content_digest(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
     """One order-free digest row of a table's content.
 

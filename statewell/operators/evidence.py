@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewell.common import ContractError, key_text, union_all, violation, with_scalar
-from statewell.functions.digests import canonical_digest, draw_index
+from statewell.common import ContractError, key_text, materialise, small_side, union_all, violation, with_scalar
+from statewell.functions.digests import canonical_digest
 from statewell.operators.contracts import coverage_violations
 from statewell.operators.quantiles import grouped_quantiles
 from statewell.operators.ranking import grouped_row_number
@@ -46,7 +47,7 @@ class Rules:
     limits: Mapping[str, float] = field(
         default_factory=lambda: {"shared_recovery_error": 0.25, "projection_error": 0.30}
     )
-    draws: str = "xxhash64"
+    draws: str = "philox"
 
 
 # The protocol grid, in declared order, and the seed ranges.
@@ -179,19 +180,47 @@ def unpaired_violations(pairs: DataFrame) -> DataFrame:
 # --- B8, B12: bootstrap ---------------------------------------------------------------
 
 
-def _split_by_size(values: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame, int]:
-    """(packed small groups, rows of large groups, number of large groups)."""
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
-    n_large = sizes.filter(F.col("_n") > limit).limit(1).count()
-    small = values
-    large = values
-    if n_large:
-        tagged = values.join(sizes, list(keys))
+def _key_mark(key: Sequence) -> int:
+    return zlib.crc32("|".join(str(k) for k in key).encode())
+
+
+def draw_indexes(seed: int, chunk: int, key: Sequence, n: int, reps: range, method: str) -> Iterator[np.ndarray]:
+    """Blocks of resamples: index arrays of shape ``(replicates, n)``.
+
+    Draws are fixed by seed, group and replicate, whatever the partitioning.
+    ``md5`` takes the first four digest bytes of ``seed-rep-key-draw``, which
+    any SQL engine can repeat; ``philox`` is a counter-based generator, keyed
+    by the chunk of replicates.
+    """
+    if method == "md5":
+        for rep in reps:
+            base = hashlib.md5("-".join([str(seed), str(rep), *map(str, key), ""]).encode())
+            out = bytearray()
+            for d in range(n):
+                h = base.copy()
+                h.update(b"%d" % d)
+                out += h.digest()[:4]
+            yield np.frombuffer(bytes(out), dtype=">u4").astype("int64")[None, :] % n
+    elif method == "philox":
+        stream = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, _key_mark(key), chunk])))
+        step = max(1, 1_000_000 // n)
+        for start in range(0, len(reps), step):
+            yield stream.integers(0, n, (min(step, len(reps) - start), n))
+    else:
+        raise ContractError(f"unknown draws {method}")
+
+
+def _split_by_size(values: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Packed small groups (one array row each) and the rows of larger groups."""
+    sizes = materialise(values.groupBy(*keys).agg(F.count("*").alias("_n")))
+    small, large = values, None
+    if not sizes.filter(F.col("_n") > limit).isEmpty():
+        tagged = values.join(small_side(sizes), list(keys))
         small, large = tagged.filter(F.col("_n") <= limit).drop("_n"), tagged.filter(F.col("_n") > limit)
     packed = small.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda s: s["value"]).alias("_v")
     )
-    return packed, large, n_large
+    return packed, large
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], resamples: int) -> DataFrame:
@@ -201,37 +230,48 @@ def _chunked(df: DataFrame, keys: Sequence[str], resamples: int) -> DataFrame:
     return wide.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys, "_chunk")
 
 
-def _rep_range(resamples: int):
-    start = F.col("_chunk") * REP_CHUNK
-    return F.sequence(start, F.least(start + REP_CHUNK, F.lit(resamples)) - 1)
+def _resample(
+    packed: DataFrame, keys: list[str], resamples: int, seed: int | str, draws: str, statistic: str
+) -> DataFrame:
+    """Statistic of every resample of every packed group: ``keys.., rep, statistic``."""
+    seed_column = F.col(seed) if isinstance(seed, str) else F.lit(seed)
+    work = _chunked(packed, keys, resamples).select(*keys, seed_column.cast("bigint").alias("_seed"), "_chunk", "_v")
+    schema = T.StructType(
+        [packed.schema[k] for k in keys]
+        + [T.StructField("rep", T.IntegerType()), T.StructField(statistic, T.DoubleType())]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take = np.mean if statistic == "mean" else np.median
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key, (fixed, chunk, values) = row[: len(keys)], row[len(keys) :]
+                v = np.asarray(values)
+                reps = range(chunk * REP_CHUNK, min((chunk + 1) * REP_CHUNK, resamples))
+                got = [take(v[idx], axis=1) for idx in draw_indexes(fixed, chunk, key, len(v), reps, draws)]
+                out = pd.DataFrame({"rep": list(reps), statistic: np.concatenate(got)})
+                for i, name in enumerate(keys):
+                    out.insert(i, name, key[i])
+                yield out
+
+    return work.mapInPandas(run, schema)
 
 
 def bootstrap_means(
-    values: DataFrame, keys: Sequence[str], resamples: int, seed: int, draws: str = "xxhash64", limit: int = PACK_LIMIT
+    values: DataFrame, keys: Sequence[str], resamples: int, seed: int, draws: str = "philox", limit: int = PACK_LIMIT
 ) -> DataFrame:
     """Means of ``resamples`` resamples with replacement of every group.
 
     ``values(keys.., seed, value)``, one row per seed. A group that fits
-    ``limit`` is resampled inside one row by hashed indexes, so draws are never
-    shuffled. A larger group is cut into blocks: the number of draws falling
-    into each block is multinomial, and every block draws its share on its own,
-    which is the same resampling scheme without gathering the group.
+    ``limit`` travels as one array and is resampled where it lies, so draws are
+    never shuffled. A larger group is cut into blocks: the number of draws
+    falling into each block is multinomial, and every block draws its share on
+    its own, which is the same resampling scheme without gathering the group.
     """
     keys = list(keys)
-    packed, large, n_large = _split_by_size(values, keys, limit)
-    n = F.size("_v")
-
-    def mean(rep):
-        total = F.aggregate(
-            F.sequence(F.lit(0), n - 1), F.lit(0.0),
-            lambda s, d: s + F.get("_v", draw_index([F.lit(seed), rep, *[F.col(k) for k in keys], d], n, draws).cast("int")),
-        )
-        return F.struct(rep.alias("rep"), (total / n).alias("mean"))
-
-    out = _chunked(packed, keys, resamples).select(*keys, F.inline(F.transform(_rep_range(resamples), mean)))
-    if n_large:
-        out = out.unionByName(_block_means(large, keys, resamples, seed, limit))
-    return out
+    packed, large = _split_by_size(values, keys, limit)
+    out = _resample(packed, keys, resamples, seed, draws, "mean")
+    return out if large is None else out.unionByName(_block_means(large, keys, resamples, seed, limit))
 
 
 def _block_means(large: DataFrame, keys: list[str], resamples: int, seed: int, limit: int) -> DataFrame:
@@ -253,7 +293,7 @@ def _block_means(large: DataFrame, keys: list[str], resamples: int, seed: int, l
                 names = [int(s["_block"]) for s in row["_s"]]
                 n = np.array([int(s["n"]) for s in row["_s"]])
                 at = names.index(int(row["_block"]))
-                mark = zlib.crc32("|".join(str(row[k]) for k in keys).encode())
+                mark = _key_mark([row[k] for k in keys])
                 reps = range(int(row["_chunk"]) * REP_CHUNK, min((int(row["_chunk"]) + 1) * REP_CHUNK, resamples))
                 sums = []
                 for rep in reps:
@@ -270,7 +310,7 @@ def _block_means(large: DataFrame, keys: list[str], resamples: int, seed: int, l
 
 
 def bootstrap_medians(
-    values: DataFrame, keys: Sequence[str], resamples: int, seed_column: str, draws: str = "xxhash64", limit: int = PACK_LIMIT
+    values: DataFrame, keys: Sequence[str], resamples: int, seed_column: str, draws: str = "philox", limit: int = PACK_LIMIT
 ) -> DataFrame:
     """Medians of ``resamples`` resamples of every group; the seed is a column.
 
@@ -279,23 +319,9 @@ def bootstrap_medians(
     the drawn ranks are then looked up in the distributed ordering.
     """
     keys = list(keys)
-    packed, large, n_large = _split_by_size(values, [*keys, seed_column], limit)
-    n = F.size("_v")
-
-    def median(rep):
-        drawn = F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda d: F.get("_v", draw_index([F.col(seed_column), rep, *[F.col(k) for k in keys], d], n, draws).cast("int")),
-            )
-        )
-        low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-        return F.struct(rep.alias("rep"), ((F.get(drawn, low) + F.get(drawn, high)) / 2).alias("median"))
-
-    out = _chunked(packed, keys, resamples).select(*keys, F.inline(F.transform(_rep_range(resamples), median)))
-    if n_large:
-        out = out.unionByName(_rank_medians(large, keys, resamples, seed_column))
-    return out
+    packed, large = _split_by_size(values, [*keys, seed_column], limit)
+    out = _resample(packed, keys, resamples, seed_column, draws, "median")
+    return out if large is None else out.unionByName(_rank_medians(large, keys, resamples, seed_column))
 
 
 def _rank_medians(large: DataFrame, keys: list[str], resamples: int, seed_column: str) -> DataFrame:
@@ -309,7 +335,7 @@ def _rank_medians(large: DataFrame, keys: list[str], resamples: int, seed_column
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 n = int(row["_n"])
-                mark = zlib.crc32("|".join(str(row[k]) for k in keys).encode())
+                mark = _key_mark([row[k] for k in keys])
                 rng = np.random.default_rng([int(row["_seed"]), mark])
                 k = (n + 1) // 2
                 low = rng.beta(k, n - k + 1, resamples)
@@ -332,7 +358,7 @@ def percentile_interval(estimates: DataFrame, keys: Sequence[str], column: str,
     return q.select(*keys, F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"))
 
 
-def paired_bootstrap_interval(pairs: DataFrame, resamples: int, seed: int, draws: str = "xxhash64") -> DataFrame:
+def paired_bootstrap_interval(pairs: DataFrame, resamples: int, seed: int, draws: str = "philox") -> DataFrame:
     """Interval of the equal-stratum mean of paired differences."""
     values = pairs.select("stratum_digest", "seed", F.col("difference").alias("value"))
     means = bootstrap_means(values, ["stratum_digest"], resamples, seed, draws)
@@ -355,8 +381,15 @@ def select_candidate(rows: DataFrame, first: str, second: str, rules: Rules = Ru
     """One row with the six conditions and the selected candidate.
 
     All six true selects ``first``; otherwise an eligible ``second`` is the
-    fallback; otherwise nothing is selected.
+    fallback; otherwise nothing is selected. The rows are materialised once for
+    the statistics that read them.
     """
+    rows = materialise(
+        rows.select(
+            "candidate", "stratum_digest", "seed", "projection_case", "gate_expected", "gate_observed", "gate_passed",
+            "shared_recovery_error", "exclusive_leakage", "projection_error", "elapsed_sec",
+        )
+    )
     exact = exact_rows(rows)
     metrics = ["shared_recovery_error", "exclusive_leakage", "projection_error"]
     means = stratum_means(exact, metrics)
@@ -434,9 +467,11 @@ def holdout_summary(
     seed. All metrics travel in one long table and one pass per statistic.
     """
     exact = exact_rows(rows).join(index.select("stratum_digest", "canonical_index"), "stratum_digest")
-    long = exact.select(
-        *STRATUM, "seed", (F.col("canonical_index") + rules.report_seed_start).alias("boot_seed"),
-        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])),
+    long = materialise(
+        exact.select(
+            *STRATUM, "seed", (F.col("canonical_index") + rules.report_seed_start).alias("boot_seed"),
+            F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])),
+        )
     )
     keys = ["stratum_digest", "metric"]
     med = grouped_quantiles(long, [*STRATUM, "metric"], "value", [0.5]).select(

@@ -201,6 +201,14 @@ def b11(spark, sf):
     return rounded(holdout(spark, sf)[1], 7, "estimate", "ci_lower", "ci_upper")
 
 
+@query("b12_holdout_summary_full")
+def b12(spark, sf):
+    """The declared 10 000 resamples with counter-based draws."""
+    rows = src.bench_rows(spark, sf).filter((F.col("split") == "holdout") & (F.col("candidate") == FIRST))
+    index = b.grid_from_table(rows, ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
+    return rounded(b.holdout_summary(rows, index, b.Rules()), 7, "estimate", "ci_lower", "ci_upper")
+
+
 REQUIRED = """rq AS (SELECT stratum_digest, metric, estimate, CASE metric WHEN 'shared_recovery_error' THEN 0.25 ELSE 0.30 END AS lim
              FROM {t} WHERE projection_case = 'exact_ids' AND shared_signal = 24 AND noise_sd = 1
              AND metric IN ('shared_recovery_error', 'projection_error'))"""
