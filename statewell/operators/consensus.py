@@ -65,13 +65,19 @@ class Consensus:
 
 
 def consensus_scores(
-    layer_scores: DataFrame, layers: Sequence[str], rank: int = 2, tolerance: float = 1e-8, limit: int = 100
+    layer_scores: DataFrame, layers: Sequence[str], rank: int = 2, tolerance: float = 1e-8, limit: int = 100,
+    align_start: bool = True,
 ) -> Consensus:
     """Symmetric consensus of per-layer unit scores.
 
     ``layer_scores(layer, sample_id, component, coord)`` are left singular
     vectors. Each round aligns every layer to the consensus by orthogonal
     Procrustes and orthonormalises the sum, until the projector settles.
+
+    The signs of singular vectors are arbitrary and a plain sum of them can
+    start, and stay, at a difference of layers. By default the layers are
+    therefore turned towards the first one before the first sum;
+    ``align_start=False`` sums them as they come.
     """
     width = len(layers) * rank
     wanted = layer_scores.filter(F.col("component") <= rank).withColumn(
@@ -80,14 +86,18 @@ def consensus_scores(
     rows = materialise(pack(wanted, "sample_id", ["_l", "component"], "coord"))
     gram = stacked_gram(rows, width)
     parts = [np.eye(width)[:, i * rank : (i + 1) * rank] for i in range(len(layers))]
-    coef = _orthonormal(sum(parts), gram)
+
+    def aligned(target: np.ndarray) -> np.ndarray:
+        total = np.zeros_like(target)
+        for part in parts:
+            u, _, vt = np.linalg.svd(part.T @ gram @ target)
+            total += part @ (u @ vt)
+        return total
+
+    coef = _orthonormal(aligned(parts[0]) if align_start else sum(parts), gram)
     rounds = 0
     for rounds in range(1, limit + 1):
-        aligned = []
-        for part in parts:
-            u, _, vt = np.linalg.svd(part.T @ gram @ coef)
-            aligned.append(part @ (u @ vt))
-        new = _orthonormal(sum(aligned), gram)
+        new = _orthonormal(aligned(coef), gram)
         gap = _projector_gap(coef, new, gram)
         coef = new
         if gap < tolerance:
