@@ -84,22 +84,12 @@ def spread(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def linear_bins(obs: DataFrame, stats: DataFrame, keys: Sequence[str], m: int = BIN_POINTS) -> DataFrame:
     """Linear binning onto ``m`` points between each group's min and max."""
-    joined = obs.join(stats.select(*keys, "x_min", "x_max"), list(keys))
-    pos = (F.col("x") - F.col("x_min")) / (F.col("x_max") - F.col("x_min")) * (m - 1)
-    low = F.least(F.floor(F.col("_pos")).cast("int"), F.lit(m - 2))
-    part = F.col("_pos") - F.col("_lo")
-    shares = F.array(
-        F.struct(F.col("_lo").alias("bin"), (1 - part).alias("w")),
-        F.struct((F.col("_lo") + 1).alias("bin"), part.alias("w")),
-    )
-    return (
-        joined.filter(F.col("x_max") > F.col("x_min"))
-        .withColumn("_pos", pos)
-        .withColumn("_lo", low)
-        .select(*keys, F.inline(shares))
-        .groupBy(*keys, "bin")
-        .agg(F.sum("w").alias("w"))
+    joined = obs.join(stats.select(*keys, "x_min", "x_max"), list(keys)).filter("x_max > x_min")
+    placed = joined.select(*keys, F.expr(f"(x - x_min) / (x_max - x_min) * {m - 1} AS _pos")).select(
+        *keys, "_pos", F.expr(f"CAST(least(floor(_pos), {m - 2}) AS INT) AS _lo")
     )
+    shares = "inline(array(struct(_lo AS bin, 1 - (_pos - _lo) AS w), struct(_lo + 1 AS bin, _pos - _lo AS w)))"
+    return placed.select(*keys, F.expr(shares)).groupBy(*keys, "bin").agg(F.sum("w").alias("w"))
 
 
 def _functional(counts: np.ndarray, delta: float, g: float, order: int) -> float:
@@ -194,12 +184,11 @@ def density_curve(
     keys = list(keys)
     if not keys:
         raise ContractError("density_curve needs at least one key column")
-    lo = F.col("x_min") - reach * F.col("h")
-    hi = F.col("x_max") + reach * F.col("h")
-    mass = 1 / (F.col("n_obs") * F.col("h") * F.lit(float(np.sqrt(2 * np.pi))))
+    span = f"((x_max - x_min + {2 * reach} * h) / {n_grid - 1})"
     frame = materialise(
-        bw.filter(F.col("h").isNotNull()).select(
-            *keys, "h", lo.alias("lo"), ((hi - lo) / (n_grid - 1)).alias("step"), mass.alias("mass")
+        bw.filter("h IS NOT NULL").select(
+            *keys, "h", F.expr(f"x_min - {reach} * h AS lo"), F.expr(f"{span} AS step"),
+            F.expr("1 / (n_obs * h * sqrt(2 * pi())) AS mass"),
         )
     )
     joined = obs.join(small_side(frame), keys).select(*keys, "x", "h", "lo", "step", "mass")
@@ -249,11 +238,15 @@ def quasi_potential(density) -> F.Column:
 
 def slopes(curve: DataFrame, keys: Sequence[str], u: str = "u_raw") -> DataFrame:
     """K7: finite-difference slope and midpoint of every grid interval."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    nx, nu = F.lead("x").over(w), F.lead(u).over(w)
-    return curve.select(
-        *keys, "i", ((nu - F.col(u)) / (nx - F.col("x"))).alias("slope"), ((nx + F.col("x")) / 2).alias("mid")
-    ).filter(F.col("slope").isNotNull())
+    by = ", ".join(f"`{k}`" for k in keys)
+    ahead = curve.selectExpr(
+        *[f"`{k}`" for k in keys], "i", "x", f"`{u}` AS _u",
+        f"lead(x) OVER (PARTITION BY {by} ORDER BY i) AS _x1", f"lead(`{u}`) OVER (PARTITION BY {by} ORDER BY i) AS _u1",
+        f"min(x) OVER (PARTITION BY {by}) AS _lo", f"max(x) OVER (PARTITION BY {by}) AS _hi",
+    )
+    return ahead.filter("_x1 IS NOT NULL").select(
+        *keys, "i", F.expr("(_u1 - _u) / (_x1 - x) AS slope"), F.expr("(_x1 + x) / 2 AS mid"), "_lo", "_hi"
+    )
 
 
 def critical_points(curve: DataFrame, keys: Sequence[str], u: str = "u_raw") -> DataFrame:
@@ -262,23 +255,16 @@ def critical_points(curve: DataFrame, keys: Sequence[str], u: str = "u_raw") ->
     Minus to plus is a well, plus to minus a barrier; a change that touches an
     exact zero slope is neither and is dropped.
     """
-    w = Window.partitionBy(*keys).orderBy("i")
-    limits = curve.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    s = slopes(curve, keys, u).withColumn("_s1", F.lead("slope").over(w)).withColumn("_m1", F.lead("mid").over(w))
-    root = F.col("mid") - F.col("slope") * (F.col("_m1") - F.col("mid")) / (F.col("_s1") - F.col("slope"))
-    kind = F.when((F.col("slope") < 0) & (F.col("_s1") > 0), "well").when(
-        (F.col("slope") > 0) & (F.col("_s1") < 0), "barrier"
-    )
-    found = (
-        s.filter(F.signum("slope") != F.signum("_s1"))
-        .select(*keys, kind.alias("kind"), root.alias("x"))
-        .filter(F.col("kind").isNotNull())
-        .join(limits, list(keys))
-        .withColumn("x", F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col("x"))))
-        .drop("_lo", "_hi")
+    by = ", ".join(f"`{k}`" for k in keys)
+    steps = slopes(curve, keys, u).selectExpr(
+        "*", f"lead(slope) OVER (PARTITION BY {by} ORDER BY i) AS _s1", f"lead(mid) OVER (PARTITION BY {by} ORDER BY i) AS _m1"
     )
-    order = Window.partitionBy(*keys, "kind").orderBy("x")
-    return found.withColumn("ordinal", F.row_number().over(order))
+    kind = "CASE WHEN slope < 0 AND _s1 > 0 THEN 'well' WHEN slope > 0 AND _s1 < 0 THEN 'barrier' END AS kind"
+    found = steps.filter("signum(slope) <> signum(_s1)").select(
+        *keys, F.expr(kind), F.expr("mid - slope * (_m1 - mid) / (_s1 - slope) AS _x"), "_lo", "_hi"
+    ).filter("kind IS NOT NULL")
+    placed = found.select(*keys, "kind", F.expr("greatest(_lo, least(_hi, _x)) AS x"))
+    return placed.selectExpr("*", f"row_number() OVER (PARTITION BY {by}, kind ORDER BY x) AS ordinal")
 
 
 # --- K11-K13: interpolation, smoothing, heights ---------------------------------
@@ -291,22 +277,19 @@ def interpolate(points: DataFrame, curve: DataFrame, keys: Sequence[str], u: str
     interval index; points outside the grid get null.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("i")
-    seg = curve.select(
-        *keys, "i", F.col("x").alias("_x0"), F.lead("x").over(w).alias("_x1"),
-        F.col(u).alias("_u0"), F.lead(u).over(w).alias("_u1"),
+    by = ", ".join(f"`{k}`" for k in keys)
+    seg = curve.selectExpr(
+        *[f"`{k}`" for k in keys], "i", "x AS _x0", f"lead(x) OVER (PARTITION BY {by} ORDER BY i) AS _x1",
+        f"`{u}` AS _u0", f"lead(`{u}`) OVER (PARTITION BY {by} ORDER BY i) AS _u1",
     )
-    frame = curve.groupBy(*keys).agg(
-        F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count("*").alias("_n")
-    )
-    pos = (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (F.col("_n") - 1)
+    frame = curve.groupBy(*keys).agg(F.expr("min(x) AS _lo"), F.expr("max(x) AS _hi"), F.expr("count(*) AS _n"))
     placed = points.join(frame, keys).withColumn(
-        "i", F.greatest(F.lit(0), F.least(F.floor(pos), F.col("_n") - 2)).cast("int")
+        "i", F.expr("CAST(greatest(0, least(floor((x - _lo) / (_hi - _lo) * (_n - 1)), _n - 2)) AS INT)")
+    )
+    value = "CASE WHEN x >= _lo AND x <= _hi THEN _u0 + (x - _x0) / (_x1 - _x0) * (_u1 - _u0) END"
+    return placed.join(seg, [*keys, "i"], "left").withColumn(out, F.expr(value)).drop(
+        "i", "_x0", "_x1", "_u0", "_u1", "_lo", "_hi", "_n"
     )
-    joined = placed.join(seg, [*keys, "i"], "left")
-    inside = (F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi"))
-    value = F.col("_u0") + (F.col("x") - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_u1") - F.col("_u0"))
-    return joined.withColumn(out, F.when(inside, value)).drop("i", "_x0", "_x1", "_u0", "_u1", "_lo", "_hi", "_n")
 
 
 def constrained_polynomial(x: np.ndarray, u: np.ndarray, points: np.ndarray, degree: int = POLY_DEGREE) -> np.ndarray:
@@ -429,12 +412,14 @@ def landscape(
 ) -> Landscape:
     """Bandwidth, density, critical points, smooth curve and heights.
 
-    The curve (``n_grid`` rows per group) is materialised once; everything
-    after it works on that. Groups below the minimum size are reported.
+    The observations are read four times (ranges, quartiles, bins, density), so
+    they are materialised first; the curve (``n_grid`` rows per group) is what
+    everything after it works on. Groups below the minimum size are reported.
     """
     if design != "cross_sectional":
         raise ContractError(f"the density estimator does not support a {design} design")
     keys = list(keys)
+    obs = materialise(obs.select(*keys, "x"))
     stats = spread(obs, keys)
     usable = stats.filter(F.col("n_obs") >= MIN_OBSERVATIONS)
     params = materialise(bandwidths(obs, keys, bandwidth, usable))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewell.common import ContractError, materialise, small_side
@@ -45,47 +45,39 @@ def refine_quantiles(
     """Second pass: exact quantiles inside the brackets of ``rank_sketch``."""
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (F.col("_min") if lo == 0.0 else F.col("_q")[2 * i]).alias("lo"),
-                (F.col("_max") if hi == 1.0 else F.col("_q")[2 * i + 1]).alias("hi"),
-            )
-            for i, (p, (lo, hi)) in enumerate(zip(probs, _marks(probs, accuracy)))
-        ]
+    brackets = ", ".join(
+        f"struct({float(p)}D AS prob, {'_min' if lo == 0.0 else f'_q[{2 * i}]'} AS lo, "
+        f"{'_max' if hi == 1.0 else f'_q[{2 * i + 1}]'} AS hi)"
+        for i, (p, (lo, hi)) in enumerate(zip(probs, _marks(probs, accuracy)))
     )
-    bracketed = sketch.select(*keys, "_n", brackets.alias("_b"))
+    bracketed = sketch.select(*keys, "_n", F.expr(f"array({brackets}) AS _b"))
     if keys:
         joined = data.join(small_side(bracketed), keys)
     else:
         joined = data.withColumn("_s", bracketed.select(F.struct("_n", "_b")).scalar()).select("_x", "_s._n", "_s._b")
     # side -1 and 1 hold everything outside the bracket as one row each, with the
     # value next to it: for small groups a wanted rank may be one step outside
-    side = F.when(F.col("_x") < F.col("lo"), -1).when(F.col("_x") > F.col("hi"), 1).otherwise(0)
     inside = (
-        joined.select(*keys, "_n", "_x", F.inline("_b"))
-        .withColumn("_side", side)
-        .groupBy(*keys, "_n", "prob", "_side", F.when(F.col("_side") == 0, F.col("_x")).alias("_v"))
-        .agg(F.count("*").alias("_c"), F.min("_x").alias("_lowest"), F.max("_x").alias("_highest"))
+        joined.select(*keys, "_n", "_x", F.expr("inline(_b)"))
+        .withColumn("_side", F.expr("CASE WHEN _x < lo THEN -1 WHEN _x > hi THEN 1 ELSE 0 END"))
+        .groupBy(*keys, "_n", "prob", "_side", F.expr("CASE WHEN _side = 0 THEN _x END AS _v"))
+        .agg(F.expr("count(*) AS _c"), F.expr("min(_x) AS _lowest"), F.expr("max(_x) AS _highest"))
     )
-    order = Window.partitionBy(*keys, "prob").orderBy("_side", "_v")
-    ranked = inside.withColumn("_end", F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
-    h = (F.col("_n") - 1) * F.col("prob")
-    k0 = F.floor(h)
-    k1 = F.least(k0 + 1, F.col("_n") - 1)
-
-    def at(rank):
-        value = (
-            F.when((F.col("_side") == 0) & (F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v"))
-            .when((F.col("_side") == -1) & (rank == F.col("_end") - 1), F.col("_highest"))
-            .when((F.col("_side") == 1) & (rank == F.col("_start")), F.col("_lowest"))
+    by = ", ".join([*[f"`{k}`" for k in keys], "prob"])
+    ranked = inside.selectExpr("*", f"sum(_c) OVER (PARTITION BY {by} ORDER BY _side, _v) AS _end").selectExpr(
+        "*", "_end - _c AS _start", "(_n - 1) * prob AS _h"
+    )
+
+    def at(rank: str) -> str:
+        return (
+            f"max(CASE WHEN _side = 0 AND _start <= {rank} AND {rank} < _end THEN _v "
+            f"WHEN _side = -1 AND {rank} = _end - 1 THEN _highest WHEN _side = 1 AND {rank} = _start THEN _lowest END)"
         )
-        return F.max(value)
 
-    picked = ranked.groupBy(*keys, "_n", "prob").agg(at(k0).alias("_a"), at(k1).alias("_b"))
-    q = F.col("_a") + (h - k0) * (F.col("_b") - F.col("_a"))
-    return picked.select(*keys, "prob", q.alias("q"), F.col("_n").alias("n"))
+    picked = ranked.groupBy(*keys, "_n", "prob", "_h").agg(
+        F.expr(f"{at('floor(_h)')} AS _a"), F.expr(f"{at('least(floor(_h) + 1, _n - 1)')} AS _b")
+    )
+    return picked.select(*keys, "prob", F.expr("_a + (_h - floor(_h)) * (_b - _a) AS q"), F.expr("_n AS n"))
 
 
 def grouped_quantiles(

@@ -176,7 +176,7 @@ def k6(spark, sf):
     f"WITH {SEGMENTS}, {PLUGIN}, {curve_sql()}, {CRITICAL} SELECT g, i, round(slope, 9) + 0.0 AS slope, round(mid, 4) + 0.0 AS mid FROM sl",
 )
 def k7(spark, sf):
-    return rounded(rounded(ls.slopes(seg_curve(spark, sf), ["g"]), 9, "slope"), 4, "mid")
+    return rounded(rounded(ls.slopes(seg_curve(spark, sf), ["g"]).drop("_lo", "_hi"), 9, "slope"), 4, "mid")
 
 
 @query("k8_k10_critical_points", SEG_K + " SELECT g, kind, round(x, 3) + 0.0 AS x, ordinal FROM cp")
