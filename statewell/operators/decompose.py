@@ -376,13 +376,12 @@ def decompose(
     warnings = own.warnings.unionByName(rank_warnings(own.spectrum, k, keys))
     if strategy == "svd":
         return Decomposition(own.loadings, own.scores, own.spectrum, warnings, tuple(keys))
-    scores = materialise(own.scores)
     if strategy == "averaged":
         shared = average_axes(own.loadings, own.spectrum, keys, align_signs)
     else:
         shared = strongest_layer_axes(own.loadings, own.spectrum, keys)
     shared = materialise(shared)
-    coords = rescale_scores(scores, own.loadings, shared, keys)
+    coords = rescale_scores(own.scores, own.loadings, shared, keys)
     return Decomposition(shared, coords, own.spectrum, warnings, tuple(keys))
 
 

@@ -12,7 +12,7 @@ from statewell.plans.landscape_queries import (
 )
 from statewell.plans.prep_queries import document_cohort
 from statewell.plans.registry import query, rounded, table
-from statewell.plans.stage1_queries import LABEL_AXES, PROJECTORS, UNCENTRED
+from statewell.plans.stage1_queries import LABEL_AXES, PROJECTORS, UNCENTRED, projection_sql
 
 
 @query(
@@ -147,7 +147,17 @@ def e5(spark, sf):
     return rounded(ev.exclusive_leakage(scores, ex[0].unionByName(ex[1]), 2), 7, "exclusive_leakage")
 
 
-@query("e6_projection_error")
+@query(
+    "e6_projection_error",
+    projection_sql("label < 5", "label >= 5")
+    + """, x AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b
+                 FROM embeddings WHERE label >= 5),
+         v1 AS (SELECT sample_id, a / sqrt(sum(a * a) OVER ()) AS p1, b FROM x),
+         v2 AS (SELECT sample_id, p1, b - p1 * sum(p1 * b) OVER () AS b2 FROM v1),
+         v3 AS (SELECT sample_id, p1, b2 / sqrt(sum(b2 * b2) OVER ()) AS p2 FROM v2)
+         SELECT round(sqrt(2 * (2 - pow(sum(p1 * q1), 2) - pow(sum(p1 * q2), 2) - pow(sum(p2 * q1), 2) - pow(sum(p2 * q2), 2))) / 2, 6)
+                AS projection_error FROM q JOIN v3 USING (sample_id)""",
+)
 def e6(spark, sf):
     cells = src.two_layers(spark, sf)
     label = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), "label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,8 @@ CELLS = """cells AS (SELECT 'all' AS layer, CAST(vec_id AS VARCHAR) AS sample_id
              FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 TWO = """cells AS (SELECT CASE WHEN i <= 32 THEN 'A' ELSE 'B' END AS layer, CAST(vec_id AS VARCHAR) AS sample_id,
-             'f' || lpad(CAST((i - 1) % 32 AS VARCHAR), 3, '0') AS feature_id, CAST(embedding[i] AS DOUBLE) AS value
-             FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
+             'f' || lpad(CAST((i - 1) % 32 AS VARCHAR), 3, '0') AS feature_id, CAST(embedding[i] AS DOUBLE) AS value, label
+             FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 CENTRED = """centred AS (SELECT layer, sample_id, feature_id,
              value - avg(value) OVER (PARTITION BY layer, feature_id) AS v FROM cells)"""
@@ -85,12 +87,12 @@ GRAM = """g1 AS MATERIALIZED (SELECT a.layer, a.feature_id AS i, b.feature_id AS
              FROM centred a JOIN centred b ON a.layer = b.layer AND a.sample_id = b.sample_id GROUP BY ALL)"""
 
 
-def eigen_sql(k: int, squarings: int = 13) -> str:
+def eigen_sql(k: int, squarings: int = 13, tag: str = "") -> str:
     """CTEs for the ``k`` leading eigenpairs of ``g1(layer, i, j, v)``.
 
     Repeated squaring of the trace-normalised matrix converges to the projector
     on the leading eigenvector; deflation gives the next one. The results are
-    ``axis1.. axisk (layer, i, v)`` and ``lam1.. lamk (layer, v)``.
+    ``loadings`` and ``spectrum``; ``tag`` prefixes every name, the input's too.
     """
     out = []
     for c in range(1, k + 1):
@@ -126,7 +128,8 @@ def eigen_sql(k: int, squarings: int = 13) -> str:
     lams = " UNION ALL ".join(f"SELECT layer, {c} AS component, sqrt(v) AS sigma FROM lam{c}" for c in range(1, k + 1))
     out.append(f"loadings AS MATERIALIZED ({axes})")
     out.append(f"spectrum AS MATERIALIZED ({lams})")
-    return ", ".join(out)
+    text = ", ".join(out)
+    return re.sub(r"\b([gnmpr]\d+(?:_\d+)?|axis\d+|lam\d+|loadings|spectrum)\b", rf"{tag}\1", text) if tag else text
 
 
 SCORES = """scores AS MATERIALIZED (SELECT c.layer, c.sample_id, l.component, sum(c.v * l.loading) AS coord

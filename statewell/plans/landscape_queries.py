@@ -271,6 +271,23 @@ def k14_labels(spark, sf):
     return rounded(rounded(rounded(out, 6, "x"), 5, "u_raw"), 4, "u")
 
 
+def smooth_heights_sql() -> str:
+    return heights_sql().replace("u_raw", "u").replace("pot", "sm")
+
+
+@query(
+    "k14_barriers_by_label",
+    f"""WITH {LABEL_OBS}, {PLUGIN}, {curve_sql()}, {CRITICAL}, {SMOOTH}, {NEAR}, {smooth_heights_sql()}
+        SELECT ba.g, ba.ordinal, round(ba.x, 5) + 0.0 AS x, round(ba.v, 4) + 0.0 AS u, round(ba.v - la.v, 4) + 0.0 AS left_height,
+               round(ba.v - ra.v, 4) + 0.0 AS right_height
+        FROM ba LEFT JOIN la USING (g, ordinal) LEFT JOIN ra USING (g, ordinal)""",
+)
+def k14_label_barriers(spark, sf):
+    land = ls.landscape(label_obs(spark, sf), ["g"])
+    out = land.barriers.select("g", "ordinal", "x", "u", "left_height", "right_height")
+    return rounded(rounded(out, 5, "x"), 4, "u", "left_height", "right_height")
+
+
 @query(
     "k15_empirical_density",
     f"WITH {SEGMENTS}, {NRD0}, {curve_sql(3.0)} SELECT g, i, round(x, 4) + 0.0 AS x, round(density, 12) AS density FROM curve",

@@ -286,6 +286,34 @@ def d14(spark, sf):
     return rounded(consensus.unpack(fit.scores, "sample_id"), 6, "coord")
 
 
+CONSENSUS = (
+    TWO_SVD
+    + """, u AS (SELECT sample_id, sum(CASE WHEN layer = 'A' AND component = 1 THEN coord / sigma END) AS a1,
+              sum(CASE WHEN layer = 'A' AND component = 2 THEN coord / sigma END) AS a2,
+              sum(CASE WHEN layer = 'B' AND component = 1 THEN coord / sigma END) AS b1,
+              sum(CASE WHEN layer = 'B' AND component = 2 THEN coord / sigma END) AS b2
+              FROM scores JOIN spectrum USING (layer, component) GROUP BY 1),
+         m AS (SELECT sum(b1 * a1) AS a, sum(b1 * a2) AS b, sum(b2 * a1) AS c, sum(b2 * a2) AS d FROM u),
+         k AS (SELECT a + s * d AS a, b - s * c AS b, c - s * b AS c, d + s * a AS d
+               FROM (SELECT *, CASE WHEN a * d - b * c < 0 THEN -1 ELSE 1 END AS s FROM m)),
+         r AS (SELECT a / n AS a, b / n AS b, c / n AS c, d / n AS d FROM (SELECT *, sqrt(a * a + b * b) AS n FROM k)),
+         t AS (SELECT sample_id, a1 + b1 * a + b2 * c AS t1, a2 + b1 * b + b2 * d AS t2 FROM u, r),
+         g AS (SELECT sum(t1 * t1) AS x, sum(t1 * t2) AS y, sum(t2 * t2) AS z FROM t)"""
+)
+
+
+@query(
+    "d14_consensus_leverage",
+    CONSENSUS
+    + """ SELECT sample_id, round((z * t1 * t1 - 2 * y * t1 * t2 + x * t2 * t2) / (x * z - y * y), 7) + 0.0 AS leverage FROM t, g""",
+)
+def d14_leverage(spark, sf):
+    """Diagonal of the consensus projector, free of rotation; two layers settle at their principal averages."""
+    fit = consensus.fit_candidate(src.two_layers(spark, sf), "consensus", ["A", "B"], 2, side="features")
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    return rounded(fit.scores.select("sample_id", square.alias("leverage")), 7, "leverage")
+
+
 @query(
     "d14_consensus_orthonormal",
     "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM (SELECT DISTINCT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j FROM embeddings)",
@@ -359,7 +387,32 @@ def d16(spark, sf):
     return rounded(picked, 7, "b1", "b2")
 
 
-@query("d17_project_samples")
+def projection_sql(fit: str = "TRUE", new: str = "TRUE") -> str:
+    """CTE ``q(sample_id, q1, q2)``: the candidate-2 projection written out for rank 2."""
+    return f"""WITH {TWO}, mu AS (SELECT layer, feature_id, avg(value) AS m FROM cells WHERE {fit} GROUP BY ALL),
+       c0 AS (SELECT layer, sample_id, feature_id, value - m AS v FROM cells JOIN mu USING (layer, feature_id) WHERE {fit}),
+       sc AS (SELECT layer, sqrt(sum(v * v)) AS s FROM c0 GROUP BY layer),
+       centred AS (SELECT 'all' AS layer, sample_id, layer || ':' || feature_id AS feature_id, v / s AS v FROM c0 JOIN sc USING (layer)),
+       {GRAM}, {eigen_sql(2)}, {SCORES},
+       un AS (SELECT sample_id, sum(CASE WHEN component = 1 THEN coord / sigma END) AS u1,
+                     sum(CASE WHEN component = 2 THEN coord / sigma END) AS u2 FROM scores JOIN spectrum USING (layer, component) GROUP BY 1),
+       b AS (SELECT split_part(feature_id, ':', 1) AS layer, split_part(feature_id, ':', 2) AS feature_id, sum(u1 * v) AS b1, sum(u2 * v) AS b2
+             FROM centred JOIN un USING (sample_id) GROUP BY ALL),
+       bb AS (SELECT layer, sum(b1 * b1) AS x, sum(b1 * b2) AS y, sum(b2 * b2) AS z FROM b GROUP BY layer),
+       yb AS (SELECT c.layer, sample_id, sum((value - m) / s * b1) AS y1, sum((value - m) / s * b2) AS y2 FROM cells c
+              JOIN mu USING (layer, feature_id) JOIN sc USING (layer) JOIN b USING (layer, feature_id) WHERE {new} GROUP BY ALL),
+       t AS (SELECT sample_id, sum((z * y1 - y * y2) / (x * z - y * y)) AS t1, sum((x * y2 - y * y1) / (x * z - y * y)) AS t2
+             FROM yb JOIN bb USING (layer) GROUP BY sample_id),
+       o1 AS (SELECT sample_id, t1 / sqrt(sum(t1 * t1) OVER ()) AS q1, t2 FROM t),
+       o2 AS (SELECT sample_id, q1, t2 - q1 * sum(q1 * t2) OVER () AS r2 FROM o1),
+       q AS MATERIALIZED (SELECT sample_id, q1, r2 / sqrt(sum(r2 * r2) OVER ()) AS q2 FROM o2)"""
+
+
+@query(
+    "d17_project_samples",
+    projection_sql()
+    + """ SELECT sample_id, 1 AS component, round(q1, 6) + 0.0 AS coord FROM q UNION ALL SELECT sample_id, 2, round(q2, 6) + 0.0 FROM q""",
+)
 def d17(spark, sf):
     cells = src.two_layers(spark, sf)
     fit = consensus.fit_candidate(cells, "concatenated", ["A", "B"], 2, side="features")
@@ -436,7 +489,21 @@ def d21(spark, sf):
     return rounded(dec.assign_axes(scores, truth, ["trunk", "branch"]), 8, "correlation")
 
 
-@query("d22_pooled_layer_scores")
+POOLED = (
+    TWO_SVD
+    + f""", pc AS MATERIALIZED (SELECT 'pool' AS layer, sample_id, layer || ':' || component AS feature_id, coord / sigma AS v
+             FROM scores JOIN spectrum USING (layer, component)),
+         zg1 AS MATERIALIZED (SELECT a.layer, a.feature_id AS i, b.feature_id AS j, sum(a.v * b.v) AS v
+             FROM pc a JOIN pc b USING (layer, sample_id) GROUP BY ALL), {eigen_sql(2, tag="z")}"""
+)
+
+
+@query(
+    "d22_pooled_layer_scores",
+    POOLED
+    + """ SELECT sample_id, component, round(sum(v * loading) / any_value(sigma), 6) + 0.0 AS coord
+          FROM pc JOIN zloadings USING (layer, feature_id) JOIN zspectrum USING (layer, component) GROUP BY ALL""",
+)
 def d22(spark, sf):
     cells = src.two_layers(spark, sf)
     own = dec.svd(cells, k=2, side="features")
