@@ -292,12 +292,28 @@ def interpolate(points: DataFrame, curve: DataFrame, keys: Sequence[str], u: str
     )
 
 
+def _independent_columns(system: np.ndarray, tolerance: float = 1e-7) -> list[int]:
+    """Columns, first come first kept, that are not combinations of earlier ones."""
+    kept: list[int] = []
+    basis: list[np.ndarray] = []
+    for j in range(system.shape[1]):
+        rest = system[:, j].copy()
+        for _ in range(2):
+            for q in basis:
+                rest -= q * (q @ rest)
+        size = np.linalg.norm(rest)
+        if size >= tolerance * np.linalg.norm(system[:, j]) and len(kept) < system.shape[0]:
+            kept.append(j)
+            basis.append(rest / size)
+    return kept
+
+
 def constrained_polynomial(x: np.ndarray, u: np.ndarray, points: np.ndarray, degree: int = POLY_DEGREE) -> np.ndarray:
     """Polynomial through the critical points with zero slope there.
 
     ``x`` is scaled to [-1, 1]. With too few constraints for all coefficients
-    the lowest powers are used, one per constraint; with more it is a
-    least-squares fit; a singular system returns the raw curve.
+    the lowest independent powers are used, one per constraint; with more it is
+    a least-squares fit; a singular system returns the raw curve.
     """
     points = np.sort(points)
     if len(points) < 2 or points[0] < x[0] or points[-1] > x[-1]:
@@ -305,17 +321,17 @@ def constrained_polynomial(x: np.ndarray, u: np.ndarray, points: np.ndarray, deg
     at = np.interp(points, x, u)
     span = x[-1] - x[0]
     t = 2 * (points - x[0]) / span - 1
-    terms = min(2 * len(points), degree + 1)
-    powers = np.arange(terms)
+    powers = np.arange(degree + 1)
     value = t[:, None] ** powers
     slope = np.where(powers == 0, 0.0, powers * t[:, None] ** np.maximum(powers - 1, 0)) * (2 / span)
     system = np.vstack([value, slope])
-    target = np.concatenate([at, np.zeros(len(points))])
-    coef, _, rank, _ = np.linalg.lstsq(system, target, rcond=1e-12)
-    if rank < terms:
+    kept = _independent_columns(system)
+    if len(kept) < min(system.shape):
         return u
+    target = np.concatenate([at, np.zeros(len(points))])
+    coef = np.linalg.lstsq(system[:, kept], target, rcond=None)[0]
     grid = 2 * (x - x[0]) / span - 1
-    return (grid[:, None] ** powers) @ coef
+    return (grid[:, None] ** powers[kept]) @ coef
 
 
 def smooth_curve(curve: DataFrame, critical: DataFrame, keys: Sequence[str], degree: int = POLY_DEGREE) -> DataFrame:

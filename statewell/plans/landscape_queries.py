@@ -67,15 +67,47 @@ RAW_AT = """(SELECT q.*, a.u_raw + (q.x - a.x) / (b.x - a.x) * (b.u_raw - a.u_ra
              JOIN pot a ON a.g = q.g AND a.i = CAST(least(floor((q.x - r.lo) / (r.hi - r.lo) * 511), 510) AS INTEGER)
              JOIN pot b ON b.g = q.g AND b.i = a.i + 1)"""
 
-# with two or three critical points the constrained polynomial is the Hermite
-# interpolant with zero slopes; with fewer the raw curve is kept
-SMOOTH = f"""cf AS MATERIALIZED (SELECT g, x AS xi, v AS f FROM {RAW_AT.format(q='cp')}),
-       cn AS (SELECT g, count(*) AS c FROM cf GROUP BY g),
-       lg AS (SELECT p.g, p.i, p.x, a.xi, a.f, product((p.x - b.xi) / (a.xi - b.xi)) AS l,
-                     sum(1 / (a.xi - b.xi)) AS dl
-              FROM pot p JOIN cf a ON p.g = a.g JOIN cf b ON p.g = b.g AND b.xi <> a.xi GROUP BY ALL),
-       hm AS (SELECT g, i, sum(f * (1 - 2 * (x - xi) * dl) * l * l) AS u FROM lg GROUP BY g, i),
-       sm AS MATERIALIZED (SELECT p.g, p.i, p.x, p.u_raw, coalesce(hm.u, p.u_raw) AS u FROM pot p LEFT JOIN hm USING (g, i))"""
+
+
+def _smooth_sql() -> str:
+    """CTE ``sm(g, i, x, u_raw, u)``: the constrained polynomial of degree 6.
+
+    Constraint rows (weight 1) and grid rows (weight 0) go through one
+    Gram-Schmidt pass over the powers; inner products see the constraints only,
+    so the fitted values appear on the grid without solving for coefficients.
+    """
+    powers = range(7)
+    value = ", ".join(f"pow(t, {k}) AS c{k}" for k in powers)
+    slope = ", ".join("0.0::DOUBLE AS c0" if k == 0 else f"{k} * pow(t, {k - 1}) * s AS c{k}" for k in powers)
+    out = [
+        f"cf AS MATERIALIZED (SELECT g, x, v AS f FROM {RAW_AT.format(q='cp')})",
+        "rg AS (SELECT g, min(x) AS lo, max(x) AS hi FROM pot GROUP BY g)",
+        "pts AS (SELECT g, 2 * (x - lo) / (hi - lo) - 1 AS t, 2 / (hi - lo) AS s, f FROM cf JOIN rg USING (g))",
+        f"""st0 AS MATERIALIZED (SELECT g, NULL AS i, 1 AS w, {value}, f AS y, 0.0::DOUBLE AS fit FROM pts
+            UNION ALL SELECT g, NULL, 1, {slope}, 0, 0 FROM pts
+            UNION ALL SELECT g, i, 0, {value}, 0, 0 FROM (SELECT g, i, 2 * (x - lo) / (hi - lo) - 1 AS t FROM pot JOIN rg USING (g)))""",
+        "o AS (SELECT g, " + ", ".join(f"sqrt(sum(w * c{k} * c{k})) AS o{k}" for k in powers) + " FROM st0 GROUP BY g)",
+    ]
+    for k in powers:
+        rest = "".join(f", c{j}" for j in range(k + 1, 7))
+        out.append(
+            f"""q{k} AS MATERIALIZED (SELECT g, i, w, y, fit{rest}, CASE WHEN n >= 1e-7 * o{k} THEN c{k} / n ELSE 0 END AS q
+            FROM (SELECT *, sqrt(sum(w * c{k} * c{k}) OVER (PARTITION BY g)) AS n FROM st{k}) JOIN o USING (g))"""
+        )
+        next_ = "".join(f", c{j} - q * sum(w * q * c{j}) OVER (PARTITION BY g) AS c{j}" for j in range(k + 1, 7))
+        out.append(
+            f"""st{k + 1} AS MATERIALIZED (SELECT g, i, w, y - q * sum(w * q * y) OVER (PARTITION BY g) AS y,
+            fit + q * sum(w * q * y) OVER (PARTITION BY g) AS fit{next_} FROM q{k})"""
+        )
+    out.append("cn AS (SELECT g, count(*) AS c FROM cp GROUP BY g)")
+    out.append(
+        """sm AS MATERIALIZED (SELECT p.g, p.i, p.x, p.u_raw, CASE WHEN c >= 2 THEN fit ELSE p.u_raw END AS u
+            FROM pot p LEFT JOIN cn USING (g) LEFT JOIN st7 ON st7.g = p.g AND st7.i = p.i)"""
+    )
+    return ", ".join(out)
+
+
+SMOOTH = _smooth_sql()
 
 NEAR = """near AS MATERIALIZED (SELECT b.g, b.ordinal, b.x,
              (SELECT max(w.x) FROM cp w WHERE w.g = b.g AND w.kind = 'well' AND w.x < b.x) AS left_well,
@@ -195,11 +227,14 @@ def k11(spark, sf):
     return rounded(ls.interpolate(obs, curve, ["g"], "u_raw", "u"), 6, "u")
 
 
-@query("k12_polynomial_smooth")
+@query(
+    "k12_polynomial_smooth",
+    SEG_K + f", {SMOOTH} SELECT g, i, round(u_raw, 5) + 0.0 AS u_raw, round(u, 4) + 0.0 AS u FROM sm",
+)
 def k12(spark, sf):
     curve = seg_curve(spark, sf)
     out = ls.smooth_curve(curve, ls.critical_points(curve, ["g"]), ["g"])
-    return rounded(out.select("g", "i", "u_raw", "u"), 5, "u_raw", "u")
+    return rounded(rounded(out.select("g", "i", "u_raw", "u"), 5, "u_raw"), 4, "u")
 
 
 @query(
@@ -231,10 +266,21 @@ def k13_raw(spark, sf):
     return rounded(out.select("g", "ordinal", "u", "left_height", "right_height"), 5, "u", "left_height", "right_height")
 
 
-@query("k14_landscape_barriers")
+def smooth_heights_sql() -> str:
+    return heights_sql().replace("u_raw", "u").replace("pot", "sm")
+
+
+@query(
+    "k14_landscape_barriers",
+    SEG_K
+    + f""", {SMOOTH}, {NEAR}, {smooth_heights_sql()}
+        SELECT near.g, near.ordinal, round(near.x, 3) + 0.0 AS x, round(ba.v, 3) + 0.0 AS u, round(left_well, 3) + 0.0 AS left_well,
+               round(right_well, 3) + 0.0 AS right_well, round(ba.v - la.v, 3) + 0.0 AS left_height, round(ba.v - ra.v, 3) + 0.0 AS right_height
+        FROM near JOIN ba USING (g, ordinal) LEFT JOIN la USING (g, ordinal) LEFT JOIN ra USING (g, ordinal)""",
+)
 def k14_barriers(spark, sf):
     land = ls.landscape(src.segments(spark, sf), ["g"])
-    return rounded(land.barriers, 4, "x", "u", "left_well", "right_well", "left_height", "right_height")
+    return rounded(land.barriers, 3, "x", "u", "left_well", "right_well", "left_height", "right_height")
 
 
 SVD_OBS = f"""{CELLS}, {CENTRED}, {GRAM}, {eigen_sql(1)}, {SCORES},
@@ -271,10 +317,6 @@ def k14_labels(spark, sf):
     return rounded(rounded(rounded(out, 6, "x"), 5, "u_raw"), 4, "u")
 
 
-def smooth_heights_sql() -> str:
-    return heights_sql().replace("u_raw", "u").replace("pot", "sm")
-
-
 @query(
     "k14_barriers_by_label",
     f"""WITH {LABEL_OBS}, {PLUGIN}, {curve_sql()}, {CRITICAL}, {SMOOTH}, {NEAR}, {smooth_heights_sql()}
