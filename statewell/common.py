@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Numbers (rows times components) up to which component arrays are broadcast: 32 MB.
+BROADCAST_VALUES = 4_000_000
+
 VIOLATION_COLUMNS = ("check", "key", "detail")
 
 #: Rows up to which a small side may be broadcast. Always compared with a real

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewell.common import BROADCAST_ROWS, ContractError, materialise, union_all
+from statewell.common import BROADCAST_VALUES, ContractError, materialise, union_all
 from statewell.operators.linalg import MAX_SIDE, eigen_components, gram_blocks, rows_from_cells
 
 LAYER = ("layer",)
@@ -71,13 +71,13 @@ def block_scale(cells: DataFrame, scaling: DataFrame, keys: Sequence[str] = LAYE
 
 def dimensions(cells: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
     return cells.groupBy(*keys).agg(
-        F.countDistinct("sample_id").alias("n"), F.countDistinct("feature_id").alias("p")
+        F.countDistinct("sample_id").alias("n"), F.countDistinct("feature_id").alias("p"), F.count("*").alias("n_cells")
     )
 
 
 def detectability(cells: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
     """Smallest detectable singular value ``(n p)^(1/4)`` per layer."""
-    return dimensions(cells, keys).withColumn("threshold", F.pow(F.col("n") * F.col("p").cast("double"), F.lit(0.25)))
+    return dimensions(cells, keys).drop("n_cells").withColumn("threshold", F.pow(F.col("n") * F.col("p").cast("double"), F.lit(0.25)))
 
 
 # --- the SVD kernel --------------------------------------------------------
@@ -85,13 +85,20 @@ def detectability(cells: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
 
 def choose_side(dims: DataFrame) -> str:
     """Pick the side whose square fits one task for every group."""
-    worst = dims.agg(F.max("n").alias("n"), F.max("p").alias("p")).first()
-    return _side_for(worst["n"], worst["p"])
+    worst = dims.agg(F.max("n").alias("n"), F.max("p").alias("p"), _holes().alias("holes")).first()
+    return _side_for(worst["n"], worst["p"], worst["holes"])
 
 
-def _side_for(n: int | None, p: int | None) -> str:
+def _holes():
+    """Groups that are not complete matrices of one cell per sample and feature."""
+    return F.count_if(F.col("n_cells") != F.col("n") * F.col("p"))
+
+
+def _side_for(n: int | None, p: int | None, holes: int) -> str:
     if n is None:
         raise ContractError("no cells to decompose")
+    if holes:
+        raise ContractError(f"{holes} groups have missing cells or repeated cells")
     if p <= MAX_SIDE and p <= n:
         return "features"
     if n <= MAX_SIDE:
@@ -117,6 +124,48 @@ def _long_components(df: DataFrame, keep: Sequence[str], k: int, out: str) -> Da
     return df.select(*keep, F.inline(packed)).filter(F.col(out).isNotNull())
 
 
+#: Components summed in one pass over the cells (keeps generated code compact).
+_PASS = 64
+
+
+def _fits_broadcast(rows: int | None, k: int | None) -> bool:
+    return (rows or 0) * (k or 0) <= BROADCAST_VALUES
+
+
+def apply_components(
+    cells: DataFrame,
+    weights: DataFrame,
+    keys: Sequence[str],
+    on: str,
+    by: str,
+    weight: str,
+    out: str,
+    k: int,
+    means: DataFrame | None = None,
+    small: bool = False,
+) -> DataFrame:
+    """``sum_on (x - mean) * weight`` per ``by`` and component.
+
+    All components of a pass travel in one array, so the cells are read once
+    per 64 components: one join and one partially aggregated group-by.
+    """
+    parts = []
+    for first in range(1, k + 1, _PASS):
+        last = min(first + _PASS - 1, k)
+        chosen = weights.filter(F.col("component").between(first, last)) if k > _PASS else weights
+        axes = _wide(chosen, keys, on, weight)
+        value = F.col("value")
+        if means is not None:
+            axes = axes.join(means, [*keys, on])
+            value = value - F.col("mean")
+        axes = F.broadcast(axes) if small else axes
+        n = last - first + 1
+        sums = cells.join(axes, [*keys, on]).groupBy(*keys, by).agg(*_sums("w", value, n))
+        long = _long_components(sums, [*keys, by], n, out)
+        parts.append(long.withColumn("component", F.col("component") + (first - 1)) if first > 1 else long)
+    return union_all(parts)
+
+
 def project(
     cells: DataFrame,
     loadings: DataFrame,
@@ -125,24 +174,16 @@ def project(
     k: int | None = None,
     small: bool = False,
 ) -> DataFrame:
-    """Scores ``sum_f (x - mean) * loading`` per sample and component.
+    """Scores ``sum_f (x - mean) * loading`` per sample and component.
 
-    One join on the feature and one partially aggregated group-by; all
-    components travel in one array, so the cells are read once. ``small``
-    states that the loadings have been counted and fit a broadcast.
+    ``means`` decides the centring: the discovery cohort's or the new cohort's.
+    ``small`` states that the loadings have been counted and fit a broadcast.
     """
     if k is None:
         k = loadings.agg(F.max("component")).first()[0] or 0
     if k < 1:
         raise ContractError("no components to project on")
-    axes = _wide(loadings, keys, "feature_id", "loading")
-    value = F.col("value")
-    if means is not None:
-        axes = axes.join(means, [*keys, "feature_id"])
-        value = value - F.col("mean")
-    axes = F.broadcast(axes) if small else axes
-    sums = cells.join(axes, [*keys, "feature_id"]).groupBy(*keys, "sample_id").agg(*_sums("w", value, k))
-    return _long_components(sums, [*keys, "sample_id"], k, "coord")
+    return apply_components(cells, loadings, keys, "feature_id", "sample_id", "loading", "coord", k, means, small)
 
 
 def svd(
@@ -205,7 +246,7 @@ def svd(
             size = model.agg(
                 F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
             ).first()
-            scores = project(cells, loadings, keys, means, size["k"], (size["m"] or 0) <= BROADCAST_ROWS)
+            scores = project(cells, loadings, keys, means, size["k"], _fits_broadcast(size["m"], size["k"]))
     else:
         source = rows_from_cells(cells, keys, "feature_id", "sample_id")
         blocks = gram_blocks(source, keys, "rows" if center else "none")
@@ -220,13 +261,13 @@ def svd(
                 F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
             ).first()
             by_sigma = left.withColumn("u", F.col("u") / F.col("sigma"))
-            wide = _wide(by_sigma, keys, "sample_id", "u")
-            wide = F.broadcast(wide) if (size["m"] or 0) <= BROADCAST_ROWS else wide
             # centred u is orthogonal to the ones vector, so raw values suffice
-            sums = cells.join(wide, [*keys, "sample_id"]).groupBy(*keys, "feature_id").agg(
-                *_sums("w", F.col("value"), size["k"])
+            loadings = materialise(
+                apply_components(
+                    cells, by_sigma, keys, "sample_id", "feature_id", "u", "loading", size["k"],
+                    small=_fits_broadcast(size["m"], size["k"]),
+                )
             )
-            loadings = materialise(_long_components(sums, [*keys, "feature_id"], size["k"], "loading"))
             sign = leading_sign(loadings, [*keys, "component"])
             loadings = loadings.join(sign, [*keys, "component"]).withColumn(
                 "loading", F.col("loading") * F.col("sign")
@@ -364,14 +405,16 @@ def decompose(
         raise ContractError(f"unknown decomposition {strategy}")
     cohort = _cohort_keys(keys)
     per_cohort = dimensions(cells, keys).groupBy(*cohort).agg(
-        F.count("*").alias("l"), F.max("n").alias("n"), F.max("p").alias("p")
+        F.count("*").alias("l"), F.max("n").alias("n"), F.max("p").alias("p"), _holes().alias("holes")
     )
-    size = per_cohort.agg(F.min("l").alias("few"), F.max("l").alias("many"), F.max("n").alias("n"), F.max("p").alias("p")).first()
+    size = per_cohort.agg(
+        F.min("l").alias("few"), F.max("l").alias("many"), F.max("n").alias("n"), F.max("p").alias("p"), F.sum("holes").alias("holes")
+    ).first()
     if strategy == "svd" and size["many"] != 1:
         raise ContractError("svd requires exactly 1 layer")
     if strategy != "svd" and (size["few"] or 0) < 2:
         raise ContractError(f"{strategy} requires at least 2 layers")
-    side = side or _side_for(size["n"], size["p"])
+    side = side or _side_for(size["n"], size["p"], size["holes"])
     own = svd(cells, keys, k, center, side)
     warnings = own.warnings.unionByName(rank_warnings(own.spectrum, k, keys))
     if strategy == "svd":

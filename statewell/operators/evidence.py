@@ -80,10 +80,13 @@ def grid_from_table(df: DataFrame, fields: Sequence[str], limit: int = 1000) ->
 
     Fields are categorical; more than ``limit`` values in one field is refused.
     """
-    sets = df.agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in fields])
-    text = F.lit("a grid field has too many values")
-    one = sets.select(*[F.when(F.size(f) <= limit, F.col(f)).otherwise(F.raise_error(text)).alias(f) for f in fields])
-    return _expand_grid(one, list(fields))
+    lists = {}
+    for f in fields:
+        seen = [r[0] for r in df.select(f).filter(F.col(f).isNotNull()).distinct().limit(limit + 1).collect()]
+        if len(seen) > limit:
+            raise ContractError(f"grid field {f} has more than {limit} values")
+        lists[f] = F.array_sort(F.array(*[F.lit(v).cast(df.schema[f].dataType) for v in seen]))
+    return _expand_grid(df.sparkSession.range(1).select(*[c.alias(f) for f, c in lists.items()]), list(fields))
 
 
 def _expand_grid(one: DataFrame, fields: list[str]) -> DataFrame:
@@ -100,11 +103,10 @@ def task_table(strata: DataFrame, seeds: DataFrame, fields: Sequence[str], limit
 
     Strata are few and travel as one checked array; seeds stay distributed.
     """
+    if strata.limit(limit + 1).count() > limit:
+        raise ContractError(f"more than {limit} strata")
     packed = strata.agg(F.array_sort(F.collect_list(F.struct("canonical_index", *fields))).alias("_s"))
-    checked = packed.select(
-        F.when(F.size("_s") <= limit, F.col("_s")).otherwise(F.raise_error(F.lit("too many strata"))).alias("_s")
-    )
-    spread = with_scalar(seeds, checked, "_s").select(*seeds.columns, F.inline("_s"))
+    spread = with_scalar(seeds, packed, "_s").select(*seeds.columns, F.inline("_s"))
     return spread.withColumn("task_key", canonical_digest([*fields, "seed"]))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from statewell.common import ContractError
 from statewell.operators import decompose as dec
 from statewell.operators.sketch import sketch_components
-from tests.helpers import angle, cells, matrix, planted
+from tests.helpers import angle, cells, matrix, planted, projector_gap
 
 
 def scores_of(d, layer=None):
@@ -101,6 +101,31 @@ def test_missing_and_infinite_cells_are_refused(spark):
         dec.svd(cells(spark, {"A": x}), side="features")
 
 
+def test_holes_and_repeats_are_found_while_sizing(spark):
+    data = cells(spark, {"A": np.random.default_rng(14).normal(size=(6, 4))})
+    for bad in (data.filter("NOT (sample_id = 's001' AND feature_id = 'f0002')"), data.union(data.filter("sample_id = 's001'"))):
+        with pytest.raises(ContractError, match="missing cells or repeated"):
+            dec.svd(bad)
+
+
+def test_many_components_take_several_passes(spark):
+    x = np.random.default_rng(15).normal(size=(90, 80))
+    d = dec.svd(cells(spark, {"A": x}), k=None, side="features")
+    u = scores_of(d)
+    v = matrix(d.loadings, "feature_id", "component", "loading")
+    assert u.shape[1] == 80 and np.allclose(u @ v.T, x - x.mean(0), atol=1e-7)
+
+
+def test_pooled_layers_equal_dense(spark):
+    rng = np.random.default_rng(16)
+    layers = {"A": rng.normal(size=(13, 5)), "B": rng.normal(size=(13, 6))}
+    own = dec.svd(cells(spark, layers), k=2, side="features")
+    got = matrix(dec.pooled_layer_scores(own.scores, own.spectrum), "sample_id", "component", "coord")
+    us = [np.linalg.svd(x - x.mean(0), full_matrices=False)[0][:, :2] for x in layers.values()]
+    want = np.linalg.svd(np.hstack(us))[0][:, :2]
+    assert projector_gap(got, want) < 1e-6
+
+
 def test_projection_uses_chosen_means(spark):
     rng = np.random.default_rng(9)
     old, new = rng.normal(size=(9, 5)), rng.normal(size=(7, 5)) + 2
