@@ -21,10 +21,10 @@ LAYER = ("layer",)
 
 @dataclass(frozen=True)
 class Decomposition:
-    """Tables of one decomposition; ``axes`` is the wide form of ``loadings``."""
+    """Tables of one decomposition; a values-only one has no loadings and scores."""
 
-    loadings: DataFrame
-    scores: DataFrame
+    loadings: DataFrame | None
+    scores: DataFrame | None
     spectrum: DataFrame
     warnings: DataFrame
     keys: tuple[str, ...]
@@ -226,6 +226,8 @@ def svd(
         blocks = gram_blocks(source, keys, "columns" if center else "none")
         model = materialise(eigen_components(blocks, keys, k, lost, side))
         shape = model.select(*keys, F.col("n"), F.col("m").cast("long").alias("p"), "component", "sigma")
+        if not vectors:
+            return Decomposition(None, None, shape.select(*keys, "component", "sigma"), threshold_warnings(shape, keys), tuple(keys))
         if feature_ids is not None:
             ids = F.array(*[F.lit(f) for f in feature_ids])
             named = model.withColumn("ids", ids)
@@ -241,40 +243,38 @@ def svd(
         )
         loadings = long.drop("mean")
         means = long.filter(F.col("component") == 1).drop("loading", "component") if center else None
-        scores = None
-        if vectors:
-            size = model.agg(
-                F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
-            ).first()
-            scores = project(cells, loadings, keys, means, size["k"], _fits_broadcast(size["m"], size["k"]))
+        size = model.agg(
+            F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
+        ).first()
+        scores = project(cells, loadings, keys, means, size["k"], _fits_broadcast(size["m"], size["k"]))
     else:
         source = rows_from_cells(cells, keys, "feature_id", "sample_id")
         blocks = gram_blocks(source, keys, "rows" if center else "none")
         model = materialise(eigen_components(blocks, keys, k, lost, side))
         shape = model.select(*keys, F.col("m").cast("long").alias("n"), F.col("n").alias("p"), "component", "sigma")
-        loadings = scores = None
-        if vectors:
-            left = model.join(_ids(cells, keys, "sample_id"), keys).select(
-                *keys, "component", "sigma", F.explode(F.arrays_zip("ids", "axis")).alias("z")
-            ).select(*keys, "component", "sigma", F.col("z.ids").alias("sample_id"), F.col("z.axis").alias("u"))
-            size = model.agg(
-                F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
-            ).first()
-            by_sigma = left.withColumn("u", F.col("u") / F.col("sigma"))
-            # centred u is orthogonal to the ones vector, so raw values suffice
-            loadings = materialise(
-                apply_components(
-                    cells, by_sigma, keys, "sample_id", "feature_id", "u", "loading", size["k"],
-                    small=_fits_broadcast(size["m"], size["k"]),
-                )
-            )
-            sign = leading_sign(loadings, [*keys, "component"])
-            loadings = loadings.join(sign, [*keys, "component"]).withColumn(
-                "loading", F.col("loading") * F.col("sign")
-            ).drop("sign")
-            scores = left.join(sign, [*keys, "component"]).select(
-                *keys, "sample_id", "component", (F.col("u") * F.col("sigma") * F.col("sign")).alias("coord")
+        if not vectors:
+            return Decomposition(None, None, shape.select(*keys, "component", "sigma"), threshold_warnings(shape, keys), tuple(keys))
+        left = model.join(_ids(cells, keys, "sample_id"), keys).select(
+            *keys, "component", "sigma", F.explode(F.arrays_zip("ids", "axis")).alias("z")
+        ).select(*keys, "component", "sigma", F.col("z.ids").alias("sample_id"), F.col("z.axis").alias("u"))
+        size = model.agg(
+            F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
+        ).first()
+        by_sigma = left.withColumn("u", F.col("u") / F.col("sigma"))
+        # centred u is orthogonal to the ones vector, so raw values suffice
+        loadings = materialise(
+            apply_components(
+                cells, by_sigma, keys, "sample_id", "feature_id", "u", "loading", size["k"],
+                small=_fits_broadcast(size["m"], size["k"]),
             )
+        )
+        sign = leading_sign(loadings, [*keys, "component"])
+        loadings = loadings.join(sign, [*keys, "component"]).withColumn(
+            "loading", F.col("loading") * F.col("sign")
+        ).drop("sign")
+        scores = left.join(sign, [*keys, "component"]).select(
+            *keys, "sample_id", "component", (F.col("u") * F.col("sigma") * F.col("sign")).alias("coord")
+        )
     spectrum = shape.select(*keys, "component", "sigma")
     warnings = threshold_warnings(shape, keys)
     return Decomposition(loadings, scores, spectrum, warnings, tuple(keys))
@@ -429,7 +429,8 @@ def decompose(
 
 
 def concatenated_svd(
-    cells: DataFrame, keys: Sequence[str] = (), rank: int = 2, side: str | None = None, scaling: DataFrame | None = None
+    cells: DataFrame, keys: Sequence[str] = (), rank: int = 2, side: str | None = None,
+    scaling: DataFrame | None = None, vectors: bool = True,
 ) -> Decomposition:
     """SVD of all block-scaled layers side by side.
 
@@ -445,7 +446,7 @@ def concatenated_svd(
         F.concat_ws(":", "layer", "feature_id").alias("feature_id"),
         "value",
     )
-    return svd(joined, layer_keys, rank, center=False, side=side)
+    return svd(joined, layer_keys, rank, center=False, side=side, vectors=vectors)
 
 
 def unit_scores(scores: DataFrame, spectrum_: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:

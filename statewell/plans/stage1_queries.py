@@ -338,7 +338,7 @@ SCALED = f"""WITH {TWO}, c0 AS (SELECT layer, sample_id, feature_id, value - avg
 
 @query("d15_concatenated_spectrum", SCALED + f", {GRAM}, {eigen_sql(2)} SELECT layer, component, round(sigma, 7) AS sigma FROM spectrum")
 def d15(spark, sf):
-    return rounded(dec.concatenated_svd(src.two_layers(spark, sf), side="features").spectrum, 7, "sigma")
+    return rounded(dec.concatenated_svd(src.two_layers(spark, sf), side="features", vectors=False).spectrum, 7, "sigma")
 
 
 @query(
