@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewell.common import BROADCAST_VALUES, ContractError, materialise, union_all
-from statewell.operators.linalg import MAX_SIDE, eigen_components, gram_blocks, rows_from_cells
+from statewell.operators.linalg import MAX_SIDE, eigen_components, gram_blocks, gram_tasks, rows_from_cells
 
 LAYER = ("layer",)
 
@@ -83,10 +83,11 @@ def detectability(cells: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
 # --- the SVD kernel --------------------------------------------------------
 
 
-def choose_side(dims: DataFrame) -> str:
-    """Pick the side whose square fits one task for every group."""
+def choose_side(dims: DataFrame) -> tuple[str, int]:
+    """Pick the side whose square fits one task for every group, and its width."""
     worst = dims.agg(F.max("n").alias("n"), F.max("p").alias("p"), _holes().alias("holes")).first()
-    return _side_for(worst["n"], worst["p"], worst["holes"])
+    side = _side_for(worst["n"], worst["p"], worst["holes"])
+    return side, worst["n"] if side == "samples" else worst["p"]
 
 
 def _holes():
@@ -195,6 +196,7 @@ def svd(
     vectors: bool = True,
     rows: DataFrame | None = None,
     feature_ids: Sequence[str] | None = None,
+    width: int | None = None,
 ) -> Decomposition:
     """Truncated SVD of every group's sample-by-feature matrix.
 
@@ -203,6 +205,7 @@ def svd(
     on both sides. ``rows`` may supply the matrix as array rows
     (``sample_id, vec`` with ``feature_ids`` naming the positions) so that long
     cells need not be regrouped. Only the solved components are materialised.
+    With an explicit ``side``, ``width`` tells its largest size when it is known.
     """
     if not isinstance(center, bool):
         raise ContractError("center must be a single logical")
@@ -213,7 +216,10 @@ def svd(
         raise ContractError("at least one key column (layer) is needed")
     if rows is not None and feature_ids is None:
         raise ContractError("array rows need feature_ids")
-    side = side or ("features" if rows is not None else choose_side(dimensions(cells, keys)))
+    if rows is not None:
+        side, width = side or "features", len(feature_ids)
+    elif side is None:
+        side, width = choose_side(dimensions(cells, keys))
     lost = 1 if center else 0
     if side == "sketch":
         from statewell.operators.sketch import sketch_components
@@ -223,7 +229,7 @@ def svd(
         return sketch_components(cells, keys, k, center)
     if side == "features":
         source = rows if rows is not None else rows_from_cells(cells, keys, "sample_id", "feature_id")
-        blocks = gram_blocks(source, keys, "columns" if center else "none")
+        blocks = gram_blocks(source, keys, "columns" if center else "none", tasks=gram_tasks(source, width))
         model = materialise(eigen_components(blocks, keys, k, lost, side))
         shape = model.select(*keys, F.col("n"), F.col("m").cast("long").alias("p"), "component", "sigma")
         if not vectors:
@@ -249,7 +255,7 @@ def svd(
         scores = project(cells, loadings, keys, means, size["k"], _fits_broadcast(size["m"], size["k"]))
     else:
         source = rows_from_cells(cells, keys, "feature_id", "sample_id")
-        blocks = gram_blocks(source, keys, "rows" if center else "none")
+        blocks = gram_blocks(source, keys, "rows" if center else "none", tasks=gram_tasks(source, width))
         model = materialise(eigen_components(blocks, keys, k, lost, side))
         shape = model.select(*keys, F.col("m").cast("long").alias("n"), F.col("n").alias("p"), "component", "sigma")
         if not vectors:
@@ -415,7 +421,8 @@ def decompose(
     if strategy != "svd" and (size["few"] or 0) < 2:
         raise ContractError(f"{strategy} requires at least 2 layers")
     side = side or _side_for(size["n"], size["p"], size["holes"])
-    own = svd(cells, keys, k, center, side)
+    width = size["n"] if side == "samples" else size["p"]
+    own = svd(cells, keys, k, center, side, width=width)
     warnings = own.warnings.unionByName(rank_warnings(own.spectrum, k, keys))
     if strategy == "svd":
         return Decomposition(own.loadings, own.scores, own.spectrum, warnings, tuple(keys))

@@ -42,6 +42,16 @@ def rows_from_cells(cells: DataFrame, keys: Sequence[str], row: str, column: str
     )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their dense copies stay near 16 MiB."""
+    for batch in batches:
+        if batch.num_rows:
+            width = max(1, len(batch.column(n_keys)[0]))
+            step = max(1, 2_000_000 // width)
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+
 def _list_matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
     return flat.reshape(len(column), -1)
@@ -81,12 +91,26 @@ def _partial_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def gram_blocks(rows: DataFrame, keys: Sequence[str] = (), center: str = "none", vec: str = "vec") -> DataFrame:
+def gram_tasks(rows: DataFrame, width: int | None) -> int | None:
+    """Bound on the number of partial matrices, for matrices beyond 1 MiB.
+
+    Every task emits one partial per group. For wide matrices a partial weighs
+    as much as a small input split, so splits are read by a few tasks per core.
+    """
+    if width is None or width * width * 8 <= 1 << 20:
+        return None
+    return 4 * rows.sparkSession.sparkContext.defaultParallelism
+
+
+def gram_blocks(
+    rows: DataFrame, keys: Sequence[str] = (), center: str = "none", vec: str = "vec", tasks: int | None = None
+) -> DataFrame:
     """Cross-products ``sum(v v')`` of array rows, per group, in row blocks.
 
     ``center``: ``columns`` subtracts the group mean vector, merged pairwise so
     that one pass is both exact and free of cancellation; ``rows`` subtracts
-    each array's own mean; ``none`` leaves values as they are.
+    each array's own mean; ``none`` leaves values as they are. ``tasks`` bounds
+    the number of partial matrices (see ``gram_tasks``).
     """
     if center not in ("columns", "rows", "none"):
         raise ContractError("center must be columns, rows or none")
@@ -117,9 +141,7 @@ def gram_blocks(rows: DataFrame, keys: Sequence[str] = (), center: str = "none",
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
         held = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches, n_keys):
             vectors, hashes = batch.column(n_keys), batch.column(n_keys + 1).to_numpy()
             for key, idx in _group_codes(batch, n_keys):
                 x = _list_matrix(vectors.take(pa.array(idx)) if n_keys else vectors)
@@ -146,7 +168,8 @@ def gram_blocks(rows: DataFrame, keys: Sequence[str] = (), center: str = "none",
                 states, held = {}, 0
         yield from emit(states)
 
-    partial = rows.select(*keys, F.col(vec).cast("array<double>").alias("vec"), "ids_hash").mapInArrow(partials, schema)
+    narrow = rows.select(*keys, F.col(vec).cast("array<double>").alias("vec"), "ids_hash")
+    partial = (narrow.coalesce(tasks) if tasks else narrow).mapInArrow(partials, schema)
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None

@@ -108,6 +108,16 @@ def test_holes_and_repeats_are_found_while_sizing(spark):
             dec.svd(bad)
 
 
+def test_wide_matrices_use_blocks_and_bounded_tasks(spark):
+    """p = 600: several row blocks per matrix and coalesced partials."""
+    x = np.random.default_rng(17).normal(size=(700, 600)).astype("float32").astype(float)
+    ids = [f"f{j:04d}" for j in range(600)]
+    rows = spark.createDataFrame([("A", f"s{i:03d}", [float(v) for v in x[i]]) for i in range(700)], "layer string, sample_id string, vec array<double>")
+    d = dec.svd(None, k=5, rows=rows.repartition(40), feature_ids=ids, vectors=False)
+    want = np.linalg.svd(x - x.mean(0))[1][:5]
+    assert np.allclose([r.sigma for r in d.spectrum.orderBy("component").collect()], want, rtol=1e-9)
+
+
 def test_many_components_take_several_passes(spark):
     x = np.random.default_rng(15).normal(size=(90, 80))
     d = dec.svd(cells(spark, {"A": x}), k=None, side="features")
