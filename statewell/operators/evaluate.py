@@ -169,6 +169,10 @@ def calibration_rows(
     )
 
 
+# Failure reasons written to benchmark rows.
+CONTROL_FAILED_AS_EXPECTED = "expected projection feature-ID typed failure"
+CONTROL_DID_NOT_FAIL = "missing-ID negative control did not produce a typed failure"
+
 NUMERIC_METRICS = ("shared_recovery_error", "response_recovery_error", "exclusive_leakage", "projection_error")
 
 
@@ -194,9 +198,7 @@ def gate_columns(rows: DataFrame) -> DataFrame:
             "gate_passed": passed,
             "failure_reason": F.when(
                 negative,
-                F.when(passed, "expected projection feature-ID typed failure").otherwise(
-                    "missing-ID negative control did not produce a typed failure"
-                ),
+                F.when(passed, CONTROL_FAILED_AS_EXPECTED).otherwise(CONTROL_DID_NOT_FAIL),
             ),
         }
     )
