@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewell.llm import decontaminate, mixing, pii, sharding, simhash
-from statewell.llm.base import table
+from statewell.llm import decontaminate, mixing, pii, sharding, simhash, toxicity
+from statewell.llm.base import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    named = rated.select(F.col("row.doc_id").alias("doc_id"), "score")
+    return named.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return decontaminate.digest_columns(found)
@@ -63,7 +70,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op7_personal_data, op8_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op7_personal_data, op8_mixing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
