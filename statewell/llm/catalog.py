@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewell.llm import decontaminate, mixing, pii, sharding, simhash, toxicity
+from statewell.llm import decontaminate, extract, mixing, pii, sharding, simhash, toxicity
 from statewell.llm.base import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -70,7 +74,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op7_personal_data, op8_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op5_main_text, op7_personal_data, op8_mixing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
