@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewell.llm import decontaminate, extract, mixing, pii, sharding, simhash, toxicity
+from statewell.llm import brown, decontaminate, extract, mixing, neighbours, pii, sharding, simhash, toxicity
 from statewell.llm.base import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), train=~held_out(5, 1))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -73,8 +77,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op5_main_text, op7_personal_data, op8_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op5_main_text, op6_language_model, op7_personal_data, op8_mixing, op9_sharding, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
