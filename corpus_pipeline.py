@@ -1,22 +1,50 @@
-"""Corpus pipeline: stages of (name, function), each on all that the stage before it kept."""
+"""Corpus pipeline: stages of (name, function), each on all that the stage before it kept.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statewell.llm import sharding
+from statewell.llm import decontaminate, mixing, sharding, simhash, toxicity
 from statewell.llm.base import stored, table
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its position there."""
-    done = sharding.shard_documents(docs, shards=24)
-    return done.select("row.*", "size", "vslot", "shard", "slot")
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression distance rates toxic go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, 4 of 64 bits)."""
+    return simhash.keep_first(docs, words=5, distance=4)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stretches of 10 or more words of a benchmark item are cut out; documents that are mostly that go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, coverage=0.5)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights; a document can stay once, twice or not at all."""
+    return mixing.mix_documents(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its size, virtual slot, shard and position in the shard."""
+    return sharding.shard_documents(docs, shards=24).select("row.*", "size", "vslot", "shard", "slot")
 
 
-STAGES = [("sharding", shard)]
+STAGES = [
+    ("toxicity", toxic),
+    ("near_copies", near_copies),
+    ("benchmark_free", benchmark_free),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
-#: The toxicity model and the balanced draw have no SQL form; tests hold the stages against brute force.
+#: A trained dictionary, ball hashing and a balanced draw have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -42,3 +42,17 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+
+
+def identity(key: str, *parts: str) -> list[Column]:
+    """Columns that name a row of a table by value: its id, whether that is null, and a hash of further columns.
+
+    Equal rows share them; whoever joins by them tells equal rows apart by counting.
+    """
+    empty = F.lit(0).cast("long")
+    number = F.col(key).cast("long")
+    other = F.when(number.isNull(), F.col(key).cast("string"))
+    return [
+        F.coalesce(number, empty).alias("_k"), number.isNull().alias("_no"),
+        F.xxhash64(other, *[F.col(p) for p in parts], *[F.col(p).isNull() for p in parts]).alias("_h"),
+    ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewell.llm import brown, decontaminate, extract, mixing, neighbours, pii, sharding, simhash, toxicity
+from statewell.llm import brown, decontaminate, extract, licenses, mixing, neighbours, pii, sharding, simhash, toxicity
 from statewell.llm.base import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -82,8 +86,8 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op5_main_text, op6_language_model, op7_personal_data, op8_mixing, op9_sharding, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_license_scan, op5_main_text, op6_language_model, op7_personal_data, op8_mixing, op9_sharding, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_license_scan": licenses.oracle()}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewell.llm.base import stored, word_count
+from statewell.llm.base import identity, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 512
@@ -226,6 +226,21 @@ def mix(
     return whole.select("row", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
 
 
-def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it is taken."""
-    return mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+def mix_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
+    most: float = 2.0, seed: int = 17, block: int = BLOCK,
+) -> DataFrame:
+    """The mix itself: every row as often as it is taken; same columns.
+
+    The walk has ids, sizes and hashes only; the texts are shuffled once, to meet their counts. Equal rows can only differ
+    by one copy, so the number of those with the higher count settles them all.
+    """
+    ident = identity(key, text, source)
+    taken = mix(docs.select(key, text, source, *ident), key, text, source, weights, share, most, seed, block, carry=["_k", "_no", "_h"])
+    counts = taken.select("row.*", "copies").groupBy("_k", "_no", "_h").agg(F.min("copies").alias("low"), F.max("copies").alias("high"), F.sum("copies").alias("sum"), F.count("*").alias("n"))
+    more = F.when(F.col("high") > F.col("low"), F.col("sum") - F.col("n") * F.col("low")).otherwise(F.lit(0))
+    counts = counts.filter("high > 0").select("_k", "_no", "_h", "low", more.alias("more"))
+    same = Window.partitionBy("_k", "_no", "_h").orderBy(F.lit(1))
+    rows = docs.select(F.struct("*").alias("row"), *ident).join(counts, ["_k", "_no", "_h"]).withColumn("nth", F.row_number().over(same))
+    copies = F.col("low") + (F.col("nth") <= F.col("more")).cast("int")
+    return rows.withColumn("copies", copies).filter("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

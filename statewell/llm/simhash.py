@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewell.llm.base import LOWER_BYTES, stored
+from statewell.llm.base import LOWER_BYTES, identity, stored
 from statewell.llm.components import components
 
 BITS = 64
@@ -55,14 +55,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, carry: list[str] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, carry: list[Column] | None = None) -> DataFrame:
     """``(row, id, fp)``: the columns ``carry`` of every row, its id and its fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).astype(np.int64))
 
-    return docs.select(F.struct(*(carry or [key])).alias("row"), F.col(key).alias("id"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.struct(*(carry or [F.col(key)])).alias("row"), F.col(key).alias("id"), fp(F.col(text)).alias("fp"))
 
 
 def leading_bits(n: int) -> int:
@@ -174,9 +174,12 @@ def linked(fps: DataFrame, leading: int, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, carry: list[str] | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, carry: list[Column] | None = None
 ) -> DataFrame:
-    """``(row, id, fp, component_id)`` for every row; fingerprints link at ``distance`` or fewer differing bits (an even number)."""
+    """``(row, id, fp, component_id, root)`` for every row; fingerprints link at ``distance`` or fewer differing bits (an even number).
+
+    ``row`` holds the columns ``carry`` (the id, if none are named); ``root`` is the fingerprint that names the group.
+    """
     if distance % 2:
         raise ValueError("distance must be even: a ball has half of it as its radius")
     prints = stored(fingerprints(docs, key, text, words, carry), "simhash-prints")
@@ -184,8 +187,22 @@ def near_duplicates(
     root = components(linked(distinct, leading_bits(distinct.count()), distance // 2), "simhash-edges")
     named = distinct.join(root, distinct["fp"] == root["vertex"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = named.join(first, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select("row", "id", "fp", "component_id")
+    member = named.join(first, "root").select("fp", "root", "component_id")
+    return prints.join(member, "fp").select("row", "id", "fp", "component_id", "root")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id (null last); same columns.
+
+    Groups are found on ids and hashes alone; the texts are shuffled once, to meet the rows that stay. Of equal rows one stays.
+    """
+    ident = identity(key, text)
+    found = near_duplicates(docs, key, text, words, distance, carry=ident)
+    order = F.struct(F.col("row._no").alias("no"), F.col("row._k").alias("k"), F.col("row._h").alias("h"))
+    first = found.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.no").alias("_no"), F.col("r.h").alias("_h"))
+    rows = docs.select(F.struct("*").alias("row"), *ident).join(first.distinct(), ["_k", "_no", "_h"], "left_semi")
+    same = Window.partitionBy("_k", "_no", "_h").orderBy(F.lit(1))
+    return rows.withColumn("copy", F.row_number().over(same)).filter("copy = 1").select("row.*")
 
 
 def fingerprint_text(fp):
