@@ -41,26 +41,29 @@ def usable(vector):
     return F.coalesce(F.forall(vector, good) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def spread(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first choice of up to n directions."""
+def spread(sample: np.ndarray, n: int, closest: float) -> np.ndarray:
+    """Farthest-first choice of up to n directions, none with a cosine above ``closest`` to another.
+
+    Pivots closer than twice the angle searched for would cut groups of near vectors apart.
+    """
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen, nearest = [0], x @ x[0]
     while len(chosen) < min(n, len(x)):
         at = int(np.argmin(nearest))
-        if nearest[at] > 1 - 1e-9:
+        if nearest[at] > closest:
             break
         chosen.append(at)
         nearest = np.maximum(nearest, x @ x[at])
     return x[chosen]
 
 
-def choose_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+def choose_pivots(vectors: DataFrame, least: float, n: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     """Pivots by vector length, from the ``sample`` usable vectors that come first by a hash: a bounded set on the driver."""
     rows = vectors.orderBy(F.xxhash64("vector")).limit(sample).collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r["vector"]), []).append(r["vector"])
-    return {d: spread(np.array(v, float), n) for d, v in by.items()}
+    return {d: spread(np.array(v, float), n, 2 * least * least - 1) for d, v in by.items()}
 
 
 def random_pivots(dim: int, n: int) -> np.ndarray:
@@ -219,7 +222,7 @@ def near_duplicates(
         rows.filter("usable").groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "vector-classes",
     )
-    pivots = choose_pivots(classes)
+    pivots = choose_pivots(classes, least)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
