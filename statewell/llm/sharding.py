@@ -81,9 +81,8 @@ def rebalance(current: DataFrame, by_slot: DataFrame, shards: int) -> DataFrame:
     order = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
     mean = by_slot.agg(F.ceil(F.sum("bytes") / shards).cast("long").alias("mean")).scalar()
     placed = held.withColumn("stays", (F.sum("bytes").over(order) <= mean) & (F.col("shard") < shards))
-    kept = placed.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
-    loads = kept.agg(F.map_from_entries(F.collect_list(F.struct("shard", "bytes"))).alias("m")).scalar()
-    start = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.element_at(loads, s), F.lit(0).cast("long")))
+    kept = {r["shard"]: r["bytes"] for r in placed.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    start = F.array(*[F.lit(kept.get(s, 0)).cast("long") for s in range(shards)])  # one number a shard
     moved = _deal(placed.filter("not stays").select("vslot", "bytes"), start)
     version = current.agg((F.max("version") + 1).alias("v")).scalar()
     return placed.filter("stays").select("vslot", "shard").unionByName(moved).select(version.alias("version"), "vslot", "shard")
