@@ -17,6 +17,12 @@ def hex_number(c: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint")
 
 
+def row_text(columns: Sequence[str]) -> Column:
+    """One text for a row: every value after its length, a null as N, so that no two rows share it."""
+    parts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("N")) for p in parts])
+
+
 def content_digest(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
     """One order-free digest row of a table's content.
 
@@ -24,8 +30,7 @@ def content_digest(df: DataFrame, columns: Sequence[str], buckets: int = 256) ->
     rows are shuffled and the result does not depend on partitioning. Added
     hashes keep multiplicity: a repeated row changes the digest.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
-    hashed = df.select(F.md5(text).alias("_h")).select(
+    hashed = df.select(F.md5(row_text(columns)).alias("_h")).select(
         hex_number(F.col("_h"), 2).alias("_b"), hex_number(F.col("_h"), 15).cast("decimal(38,0)").alias("_v")
     )
     summed = hashed.groupBy(F.pmod("_b", F.lit(buckets)).alias("_b")).agg(

@@ -274,6 +274,7 @@ def feature_identity_violations(new: DataFrame, known: DataFrame, keys: Sequence
 
 # --- V12-V14, V19: benchmark tables ----------------------------------------------------
 
+# The required columns of a benchmark table.
 BENCH_COLUMNS = (
     "candidate", "seed", "split", "stratum_digest", "stratum", "protocol_id", "generator", "protocol_digest",
     "generator_digest", "tier", "gate_expected", "gate_observed", "gate_passed", "projection_case",
@@ -288,7 +289,9 @@ def bench_violations(rows: DataFrame, split: str | None = None, selected: str |
     if absent:
         return _schema_violations(rows.sparkSession, absent)
     identity = ["protocol_id", "generator", "protocol_digest", "generator_digest"]
-    aggs = [F.min(c).eqNullSafe(F.max(c)).alias(f"one_{c}") for c in identity]
+    aggs = [
+        (F.min(c).eqNullSafe(F.max(c)) & F.count_if(F.col(c).isNull()).isin(0, F.count("*"))).alias(f"one_{c}") for c in identity
+    ]
     aggs += [
         F.count_if(~F.col("split").eqNullSafe(F.lit(split))).alias("other_split") if split else F.lit(0).alias("other_split"),
         F.count_if(~F.col("candidate").eqNullSafe(F.lit(selected))).alias("other_candidate")
@@ -361,16 +364,30 @@ def version_violations(table: DataFrame, current: str, column: str = "schema_ver
     return violation(other, "schema_version", F.col(column), F.format_string("%d rows", F.col("n")))
 
 
+def _upgrade_path(steps: Mapping[str, tuple], start: str, current: str) -> list[str] | None:
+    """Versions from ``start`` to the one before ``current``, or None when the chain ends elsewhere."""
+    path: list[str] = []
+    while start != current:
+        if start not in steps or start in path:
+            return None
+        path.append(start)
+        start = steps[start][0]
+    return path
+
+
 def upgrade_version(
     table: DataFrame, steps: Mapping[str, tuple[str, Mapping[str, object]]], current: str, column: str = "schema_version"
 ) -> DataFrame:
-    """Apply declared one-version steps: ``{from: (to, {new column: default})}``.
+    """Apply declared one-version steps ``{from: (to, {new column: default})}`` along the chain to ``current``.
 
-    New columns keep a value they already have, so an upgrade can be repeated.
+    New columns keep a value they already have, so an upgrade can be repeated. Rows from whose version no chain leads
+    to ``current`` stay as they are; ``upgrade_violations`` reports them.
     """
+    paths = {v: _upgrade_path(steps, v, current) for v in steps}
+    order = sorted((v for v, path in paths.items() if path is not None), key=lambda v: -len(paths[v]))
     out = table
     version = F.col(column)
-    for old in sorted(steps):
+    for old in order:
         new, defaults = steps[old]
         for name, default in defaults.items():
             have = F.col(name) if name in out.columns else F.lit(None)
@@ -379,6 +396,15 @@ def upgrade_version(
     return out
 
 
+def upgrade_violations(
+    table: DataFrame, steps: Mapping[str, tuple[str, Mapping[str, object]]], current: str, column: str = "schema_version"
+) -> DataFrame:
+    """Versions in the table from which no chain of steps leads to ``current``."""
+    good = [current, *(v for v in steps if _upgrade_path(steps, v, current) is not None)]
+    other = table.groupBy(column).agg(F.count("*").alias("n")).filter(~F.coalesce(F.col(column).isin(good), F.lit(False)))
+    return violation(other, "no_upgrade_path", F.col(column), F.format_string("%d rows", F.col("n")))
+
+
 def with_digest(df: DataFrame, columns: Sequence[str], out: str = "digest") -> DataFrame:
     """Canonical digest column of a declaration or stratum."""
     return df.withColumn(out, canonical_digest(columns))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -13,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewell.common import ContractError, key_text, materialise, small_side, union_all, violation, with_scalar
+from statewell.common import ContractError, enforce, failed_checks, key_text, materialise, union_all, violation
 from statewell.functions.digests import canonical_digest
-from statewell.operators.contracts import coverage_violations
+from statewell.operators.contracts import BENCH_COLUMNS, bench_violations, coverage_violations
 from statewell.operators.quantiles import grouped_quantiles
 from statewell.operators.ranking import grouped_row_number
 
-#: Values of one stratum that are resampled inside a single row. Larger strata
-#: are split into blocks of about this size, see ``_block_means``.
-PACK_LIMIT = 50_000
+#: Values of a block of a resampled group; every group is cut into such blocks.
+BLOCK = 50_000
+#: Values of a group that may be drawn by ``mix``, which needs the group in one row.
+MIX_LIMIT = 1_000_000
 #: Bootstrap replicates computed per task row.
 REP_CHUNK = 200
 
+# The metrics of the evidence table.
 METRICS = (
     "shared_recovery_error", "response_recovery_error", "exclusive_leakage", "projection_error", "elapsed_sec",
     "peak_vcells_bytes",
@@ -75,18 +76,12 @@ def grid_strata(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
     return _expand_grid(one, list(grid))
 
 
-def grid_from_table(df: DataFrame, fields: Sequence[str], limit: int = 1000) -> DataFrame:
-    """B1: every combination of the values observed per field.
+def grid_from_table(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """B1: every combination of the values observed per field, nulls apart.
 
-    Fields are categorical; more than ``limit`` values in one field is refused.
+    The distinct values are reduced in the tasks; nothing passes the driver.
     """
-    lists = {}
-    for f in fields:
-        seen = [r[0] for r in df.select(f).filter(F.col(f).isNotNull()).distinct().limit(limit + 1).collect()]
-        if len(seen) > limit:
-            raise ContractError(f"grid field {f} has more than {limit} values")
-        lists[f] = F.array_sort(F.array(*[F.lit(v).cast(df.schema[f].dataType) for v in seen]))
-    return _expand_grid(df.sparkSession.range(1).select(*[c.alias(f) for f, c in lists.items()]), list(fields))
+    return _expand_grid(df.agg(*[F.array_sort(F.collect_set(f)).alias(f) for f in fields]), list(fields))
 
 
 def _expand_grid(one: DataFrame, fields: list[str]) -> DataFrame:
@@ -98,16 +93,16 @@ def _expand_grid(one: DataFrame, fields: list[str]) -> DataFrame:
     return out.select(*fields, (index + 1).alias("canonical_index"))
 
 
-def task_table(strata: DataFrame, seeds: DataFrame, fields: Sequence[str], limit: int = 100_000) -> DataFrame:
+def task_table(strata: DataFrame, seeds: DataFrame, fields: Sequence[str], buckets: int = 32) -> DataFrame:
     """B2: one task per stratum and seed, with a digest key.
 
-    Strata are few and travel as one checked array; seeds stay distributed.
+    Strata are dealt into buckets and every seed meets every bucket in an
+    ordinary join, so neither side travels whole.
     """
-    if strata.limit(limit + 1).count() > limit:
-        raise ContractError(f"more than {limit} strata")
-    packed = strata.agg(F.array_sort(F.collect_list(F.struct("canonical_index", *fields))).alias("_s"))
-    spread = with_scalar(seeds, packed, "_s").select(*seeds.columns, F.inline("_s"))
-    return spread.withColumn("task_key", canonical_digest([*fields, "seed"]))
+    dealt = strata.select("canonical_index", *fields, F.pmod("canonical_index", F.lit(buckets)).cast("int").alias("_b"))
+    spread = seeds.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(dealt, "_b")
+    tasks = spread.select(*seeds.columns, "canonical_index", *fields)
+    return tasks.withColumn("task_key", canonical_digest([*fields, "seed"]))
 
 
 def seed_split(rows: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -183,106 +178,91 @@ def unpaired_violations(pairs: DataFrame) -> DataFrame:
 
 
 def _key_mark(key: Sequence) -> int:
-    return zlib.crc32("|".join(str(k) for k in key).encode())
+    """A number for a group: the first eight hex digits of its text's md5."""
+    return int(hashlib.md5("|".join(str(k) for k in key).encode()).hexdigest()[:8], 16)
+
+
+# The modulus and factors of ``mix``.
+MIX_P, MIX_A, MIX_B, MIX_C = 2_147_483_647, 48_271, 104_729, 69_621
 
 
-def draw_indexes(seed: int, chunk: int, key: Sequence, n: int, reps: range, method: str) -> Iterator[np.ndarray]:
-    """Blocks of resamples: index arrays of shape ``(replicates, n)``.
+def mix_indexes(seed: int, mark: int, n: int, reps: range) -> np.ndarray:
+    """Draws ``(replicates, n)`` in whole-number arithmetic that any SQL engine can repeat.
 
-    Draws are fixed by seed, group and replicate, whatever the partitioning.
-    ``md5`` takes the first four digest bytes of ``seed-rep-key-draw``, which
-    any SQL engine can repeat; ``philox`` is a counter-based generator, keyed
-    by the chunk of replicates.
+    ``x = (seed * A + mark % P + rep * C + d * B) % P``, twice ``x = (x * x + x * A + B) % P``, then ``x % n``.
     """
-    if method == "md5":
-        for rep in reps:
-            base = hashlib.md5("-".join([str(seed), str(rep), *map(str, key), ""]).encode())
-            out = bytearray()
-            for d in range(n):
-                h = base.copy()
-                h.update(b"%d" % d)
-                out += h.digest()[:4]
-            yield np.frombuffer(bytes(out), dtype=">u4").astype("int64")[None, :] % n
-    elif method == "philox":
-        stream = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, _key_mark(key), chunk])))
-        step = max(1, 1_000_000 // n)
-        for start in range(0, len(reps), step):
-            yield stream.integers(0, n, (min(step, len(reps) - start), n))
-    else:
-        raise ContractError(f"unknown draws {method}")
-
-
-def _split_by_size(values: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Packed small groups (one array row each) and the rows of larger groups."""
-    sizes = materialise(values.groupBy(*keys).agg(F.count("*").alias("_n")))
-    small, large = values, None
-    if not sizes.filter(F.col("_n") > limit).isEmpty():
-        tagged = values.join(small_side(sizes), list(keys))
-        small, large = tagged.filter(F.col("_n") <= limit).drop("_n"), tagged.filter(F.col("_n") > limit)
-    packed = small.groupBy(*keys).agg(
+    rep, d = np.array(reps, np.int64)[:, None], np.arange(n, dtype=np.int64)[None, :]
+    x = (seed * MIX_A + mark % MIX_P + rep * MIX_C + d * MIX_B) % MIX_P
+    for _ in range(2):
+        x = (x * x % MIX_P + x * MIX_A + MIX_B) % MIX_P
+    return x % n
+
+
+def _packed(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every group as one array row, for ``mix``; larger groups are refused by name of the other draws."""
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > MIX_LIMIT)
+    if not sizes.isEmpty():
+        raise ContractError(f"mix draws take groups of at most {MIX_LIMIT} values; use philox")
+    return values.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda s: s["value"]).alias("_v")
     )
-    return packed, large
-
-
-def _chunked(df: DataFrame, keys: Sequence[str], resamples: int) -> DataFrame:
-    """Spread replicate ranges of every group over the cores."""
-    chunks = F.sequence(F.lit(0), F.lit((resamples - 1) // REP_CHUNK))
-    wide = df.withColumn("_chunk", F.explode(chunks))
-    return wide.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys, "_chunk")
 
 
-def _resample(
-    packed: DataFrame, keys: list[str], resamples: int, seed: int | str, draws: str, statistic: str
-) -> DataFrame:
-    """Statistic of every resample of every packed group: ``keys.., rep, statistic``."""
-    seed_column = F.col(seed) if isinstance(seed, str) else F.lit(seed)
-    work = _chunked(packed, keys, resamples).select(*keys, seed_column.cast("bigint").alias("_seed"), "_chunk", "_v")
+def _mix_resample(values: DataFrame, keys: list[str], resamples: int, seed: int | str, statistic: str) -> DataFrame:
+    """Statistic of every resample of every group: ``keys.., rep, statistic``."""
+    by = [*keys, seed] if isinstance(seed, str) else keys
+    fixed = F.col(seed) if isinstance(seed, str) else F.lit(seed)
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // REP_CHUNK)))
+    work = _packed(values, by).select(*keys, fixed.cast("bigint").alias("_seed"), "_v").withColumn("_chunk", chunks)
+    work = work.repartition(values.sparkSession.sparkContext.defaultParallelism, *keys, "_chunk")
     schema = T.StructType(
-        [packed.schema[k] for k in keys]
+        [work.schema[k] for k in keys]
         + [T.StructField("rep", T.IntegerType()), T.StructField(statistic, T.DoubleType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         take = np.mean if statistic == "mean" else np.median
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                key, (fixed, chunk, values) = row[: len(keys)], row[len(keys) :]
-                v = np.asarray(values)
-                reps = range(chunk * REP_CHUNK, min((chunk + 1) * REP_CHUNK, resamples))
-                got = [take(v[idx], axis=1) for idx in draw_indexes(fixed, chunk, key, len(v), reps, draws)]
+            for row in pdf.to_dict("records"):
+                v, mark = np.asarray(row["_v"]), _key_mark([row[k] for k in keys])
+                first = int(row["_chunk"]) * REP_CHUNK
+                reps = range(first, min(first + REP_CHUNK, resamples))
+                step = max(1, 2_000_000 // len(v))
+                got = [
+                    take(v[mix_indexes(int(row["_seed"]), mark, len(v), reps[i : i + step])], axis=1)
+                    for i in range(0, len(reps), step)
+                ]
                 out = pd.DataFrame({"rep": list(reps), statistic: np.concatenate(got)})
-                for i, name in enumerate(keys):
-                    out.insert(i, name, key[i])
+                for i, k in enumerate(keys):
+                    out.insert(i, k, row[k])
                 yield out
 
     return work.mapInPandas(run, schema)
 
 
 def bootstrap_means(
-    values: DataFrame, keys: Sequence[str], resamples: int, seed: int, draws: str = "philox", limit: int = PACK_LIMIT
+    values: DataFrame, keys: Sequence[str], resamples: int, seed: int, draws: str = "philox", block: int = BLOCK
 ) -> DataFrame:
     """Means of ``resamples`` resamples with replacement of every group.
 
-    ``values(keys.., seed, value)``, one row per seed. A group that fits
-    ``limit`` travels as one array and is resampled where it lies, so draws are
-    never shuffled. A larger group is cut into blocks: the number of draws
-    falling into each block is multinomial, and every block draws its share on
-    its own, which is the same resampling scheme without gathering the group.
+    ``values(keys.., seed, value)``, one row per seed. ``philox`` cuts every
+    group, whatever its size, into blocks: how many draws of a replicate fall
+    into each block is multinomial and drawn once per group; each block then
+    draws its share on its own. ``mix`` can be repeated in SQL.
     """
     keys = list(keys)
-    packed, large = _split_by_size(values, keys, limit)
-    out = _resample(packed, keys, resamples, seed, draws, "mean")
-    return out if large is None else out.unionByName(_block_means(large, keys, resamples, seed, limit))
-
-
-def _block_means(large: DataFrame, keys: list[str], resamples: int, seed: int, limit: int) -> DataFrame:
-    cut = large.withColumn("_block", F.pmod(F.xxhash64("seed"), F.ceil(F.col("_n") / limit)).cast("int"))
+    if draws == "mix":
+        return _mix_resample(values, keys, resamples, seed, "mean")
+    if draws != "philox":
+        raise ContractError(f"unknown draws {draws}")
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
+    cut = values.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("seed"), F.ceil(F.col("_n") / block)).cast("int"))
     blocks = cut.groupBy(*keys, "_block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda s: s["value"]).alias("_v")
     )
-    sizes = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", F.size("_v").alias("n")))).alias("_s"))
-    work = _chunked(blocks.join(sizes, keys), keys + ["_block"], resamples)
+    blocks = materialise(blocks)
+    counted = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", F.size("_v").alias("n")))).alias("_s"))
+    work = blocks.join(_shares(counted, keys, resamples, seed), [*keys, "_block"])
     schema = T.StructType(
         [work.schema[k] for k in keys]
         + [T.StructField("rep", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())]
@@ -291,43 +271,70 @@ def _block_means(large: DataFrame, keys: list[str], resamples: int, seed: int, l
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                v = np.asarray(row["_v"])
-                names = [int(s["_block"]) for s in row["_s"]]
-                n = np.array([int(s["n"]) for s in row["_s"]])
-                at = names.index(int(row["_block"]))
-                mark = _key_mark([row[k] for k in keys])
-                reps = range(int(row["_chunk"]) * REP_CHUNK, min((int(row["_chunk"]) + 1) * REP_CHUNK, resamples))
-                sums = []
-                for rep in reps:
-                    share = np.random.default_rng([seed, mark, rep]).multinomial(n.sum(), n / n.sum())[at]
-                    rng = np.random.default_rng([seed, mark, rep, names[at] + 1])
-                    sums.append(float(v[rng.integers(0, len(v), share)].sum()))
-                out = pd.DataFrame({"rep": list(reps), "s": sums, "n": int(n.sum())})
+                v, shares = np.asarray(row["_v"]), np.asarray(row["_shares"])
+                stream = np.random.SeedSequence([seed, _key_mark([row[k] for k in keys]), int(row["_block"])])
+                rng = np.random.Generator(np.random.Philox(stream))
+                sums = [float(v[rng.integers(0, len(v), share)].sum()) for share in shares.tolist()]
+                out = pd.DataFrame({"rep": np.arange(len(sums), dtype="int32"), "s": sums, "n": int(row["_total"])})
                 for i, k in enumerate(keys):
                     out.insert(i, k, row[k])
                 yield out
 
-    parts = work.select(*keys, "_block", "_chunk", "_v", "_s").mapInPandas(draw, schema)
+    parts = work.select(*keys, "_block", "_v", "_shares", "_total").mapInPandas(draw, schema)
     return parts.groupBy(*keys, "rep").agg((F.sum("s") / F.max("n")).alias("mean"))
 
 
+def _shares(counted: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
+    """``(keys.., _block, _shares, _total)``: draws of every replicate in each block, multinomial over the blocks."""
+    schema = T.StructType(
+        [counted.schema[k] for k in keys]
+        + [T.StructField("_block", T.IntegerType()), T.StructField("_shares", T.ArrayType(T.LongType())), T.StructField("_total", T.LongType())]
+    )
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                names = [int(s["_block"]) for s in row["_s"]]
+                left, total = np.full(resamples, sum(int(s["n"]) for s in row["_s"])), sum(int(s["n"]) for s in row["_s"])
+                rest = total
+                mark = _key_mark([row[k] for k in keys])
+                for i, s in enumerate(row["_s"]):
+                    # the blocks one after the other: a binomial share of what is left
+                    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, mark, 1, i])))
+                    last = i == len(names) - 1
+                    share = left if last else rng.binomial(left, int(s["n"]) / rest)
+                    rest -= int(s["n"])
+                    left = left - share
+                    out = pd.DataFrame({"_block": [names[i]], "_shares": [share.tolist()], "_total": [total]})
+                    for j, k in enumerate(keys):
+                        out.insert(j, k, row[k])
+                    yield out
+
+    return counted.mapInPandas(deal, schema)
+
+
 def bootstrap_medians(
-    values: DataFrame, keys: Sequence[str], resamples: int, seed_column: str, draws: str = "philox", limit: int = PACK_LIMIT
+    values: DataFrame, keys: Sequence[str], resamples: int, seed_column: str, draws: str = "philox"
 ) -> DataFrame:
     """Medians of ``resamples`` resamples of every group; the seed is a column.
 
-    A group beyond ``limit`` needs only the ranks of its resample medians. These
-    are order statistics of uniform draws and are drawn directly; the values at
-    the drawn ranks are then looked up in the distributed ordering.
+    A resample's median needs only the ranks of its middle draws. These are
+    order statistics of uniform draws and are drawn directly, whatever the
+    group's size; the values at the drawn ranks are looked up in the
+    distributed ordering. ``mix`` draws every value and can be repeated in SQL.
     """
     keys = list(keys)
-    packed, large = _split_by_size(values, [*keys, seed_column], limit)
-    out = _resample(packed, keys, resamples, seed_column, draws, "median")
-    return out if large is None else out.unionByName(_rank_medians(large, keys, resamples, seed_column))
+    if draws == "mix":
+        return _mix_resample(values, keys, resamples, seed_column, "median")
+    if draws != "philox":
+        raise ContractError(f"unknown draws {draws}")
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return _rank_medians(values.join(sizes, keys), keys, resamples, seed_column)
 
 
-def _rank_medians(large: DataFrame, keys: list[str], resamples: int, seed_column: str) -> DataFrame:
-    ordered = grouped_row_number(large.select(*keys, seed_column, "_n", "value"), keys, ["value"], "_rank")
+def _rank_medians(sized: DataFrame, keys: list[str], resamples: int, seed_column: str) -> DataFrame:
+    # equal values are told apart by seed, so that no repeated value lands in one task
+    ordered = grouped_row_number(sized.select(*keys, seed_column, "seed", "_n", "value"), keys, ["value", "seed"], "_rank")
     groups = ordered.groupBy(*keys).agg(F.min(seed_column).alias("_seed"), F.max("_n").alias("_n"))
     schema = T.StructType(
         [groups.schema[k] for k in keys] + [T.StructField("rep", T.IntegerType()), T.StructField("_rank", T.LongType())]
@@ -379,19 +386,37 @@ def median_ratio(rows: DataFrame, column: str, first: str, second: str) -> DataF
     return q.agg((a / b).alias("ratio"))
 
 
-def select_candidate(rows: DataFrame, first: str, second: str, rules: Rules = Rules()) -> DataFrame:
+def selection_violations(rows: DataFrame, first: str, second: str, split: str = "calibration", tier: str = "full") -> DataFrame:
+    """What keeps rows from being selected on: split, tier, identity, candidates, pairs, values that are not finite."""
+    exact = exact_rows(rows)
+    named = rows.groupBy("candidate").agg(F.count("*").alias("n"))
+    odd = named.filter(~F.coalesce(F.col("candidate").isin(first, second), F.lit(False)))
+    here = rows.agg(*[F.count_if(F.col("candidate") == c).alias(f"c{i}") for i, c in enumerate((first, second))])
+    absent = {f"candidate_missing_{i + 1}": (F.col(f"c{i}") == 0, c) for i, c in enumerate((first, second))}
+    return union_all(
+        [
+            bench_violations(rows, split, None, tier),
+            violation(odd, "other_candidate", "candidate", F.format_string("%d rows", F.col("n"))),
+            failed_checks(here, F.lit(""), absent),
+            metric_violations(exact, ["shared_recovery_error", "exclusive_leakage", "projection_error", "elapsed_sec"]),
+            unpaired_violations(paired_differences(exact, "shared_recovery_error", first, second)),
+        ]
+    )
+
+
+def select_candidate(
+    rows: DataFrame, first: str, second: str, rules: Rules = Rules(), split: str = "calibration", tier: str = "full"
+) -> DataFrame:
     """One row with the six conditions and the selected candidate.
 
+    Rows that break the contract are refused, see ``selection_violations``.
+
     All six true selects ``first``; otherwise an eligible ``second`` is the
     fallback; otherwise nothing is selected. The rows are materialised once for
     the statistics that read them.
     """
-    rows = materialise(
-        rows.select(
-            "candidate", "stratum_digest", "seed", "projection_case", "gate_expected", "gate_observed", "gate_passed",
-            "shared_recovery_error", "exclusive_leakage", "projection_error", "elapsed_sec",
-        )
-    )
+    rows = materialise(rows.select(*[c for c in rows.columns if c in BENCH_COLUMNS]))
+    enforce(selection_violations(rows, first, second, split, tier))
     exact = exact_rows(rows)
     metrics = ["shared_recovery_error", "exclusive_leakage", "projection_error"]
     means = stratum_means(exact, metrics)
@@ -460,14 +485,32 @@ def failed_gate_violations(rows: DataFrame) -> DataFrame:
     return violation(rows.filter(~ok), "failed_gate", key_text(["candidate", "stratum_digest", "seed"]), F.col("gate_observed"))
 
 
+def holdout_violations(
+    rows: DataFrame, index: DataFrame, selected: str, metrics: Sequence[str] = METRICS, split: str = "holdout", tier: str = "full"
+) -> DataFrame:
+    """What keeps holdout rows from being summed up: split, candidate, tier, identity, gates, grid, values."""
+    outside = rows.select("stratum_digest", "stratum").distinct().join(index.select("stratum_digest"), "stratum_digest", "left_anti")
+    return union_all(
+        [
+            bench_violations(rows, split, selected, tier),
+            failed_gate_violations(rows),
+            violation(outside, "stratum_outside_grid", "stratum_digest", F.col("stratum")),
+            metric_violations(exact_rows(rows), metrics),
+        ]
+    )
+
+
 def holdout_summary(
-    rows: DataFrame, index: DataFrame, rules: Rules = Rules(), metrics: Sequence[str] = METRICS
+    rows: DataFrame, index: DataFrame, selected: str, rules: Rules = Rules(), metrics: Sequence[str] = METRICS
 ) -> DataFrame:
     """Median and interval per stratum and metric, or the pass rate.
 
+    Rows that break the contract are refused, see ``holdout_violations``.
+
     ``index(stratum_digest, canonical_index)`` gives each stratum its bootstrap
     seed. All metrics travel in one long table and one pass per statistic.
     """
+    enforce(holdout_violations(rows, index, selected, metrics))
     exact = exact_rows(rows).join(index.select("stratum_digest", "canonical_index"), "stratum_digest")
     long = materialise(
         exact.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -271,15 +272,21 @@ def time_order_violations(
     )
 
 
-def cap_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], cap: int, smaller: Mapping[str, int] | None = None) -> DataFrame:
-    """First ``cap`` rows of every group; listed groups get a smaller cap.
+def cap_rows(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], cap: int, smaller: Mapping[str | tuple, int] | None = None
+) -> DataFrame:
+    """First ``cap`` rows of every group; listed groups (a value, or a tuple for several columns) get a smaller cap.
 
     Spark trims each map task to the cap before the shuffle.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     limit = F.lit(cap)
     for group, n in (smaller or {}).items():
-        limit = F.when(key_text(by) == group, F.least(F.lit(n), F.lit(cap))).otherwise(limit)
+        values = group if isinstance(group, tuple) else (group,)
+        if len(values) != len(by):
+            raise ContractError("a smaller cap needs one value per grouping column")
+        same = reduce(lambda a, b: a & b, [F.col(c).cast("string").eqNullSafe(F.lit(v)) for c, v in zip(by, values)])
+        limit = F.when(same, F.least(F.lit(n), F.lit(cap))).otherwise(limit)
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
     return ranked.filter(F.col("_rn") <= limit).drop("_rn")
 

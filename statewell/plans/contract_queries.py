@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewell.functions.digests import canonical_digest
+from statewell.functions.digests import canonical_digest, row_text
 from statewell.operators import contracts as v
 from statewell.operators.evidence import grid_from_table, task_table
 from statewell.plans import inputs as src
@@ -267,6 +267,46 @@ def v15_up(spark, sf):
     return v.upgrade_version(versioned(spark, sf), {"1": ("2", {"sampling_design": "unspecified"})}, "2")
 
 
+CHAIN = {"9": ("10", {"a": "from 9"}), "10": ("11", {"b": "from 10"}), "8": ("7", {"a": "lost"})}
+
+
+@query(
+    "v15_upgrade_chain",
+    """SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN '11' ELSE '8' END AS schema_version, CASE WHEN c_nationkey < 10 THEN 'from 9' END AS a,
+              CASE WHEN c_nationkey < 20 THEN 'from 10' END AS b FROM customer""",
+)
+def v15_chain(spark, sf):
+    return v.upgrade_version(chained(spark, sf), CHAIN, "11").select("c_custkey", "schema_version", "a", "b")
+
+
+@query(
+    "v15_no_upgrade_path",
+    """SELECT 'no_upgrade_path' AS "check", '8' AS key, count(*) || ' rows' AS detail FROM customer WHERE c_nationkey >= 20 HAVING count(*) > 0""",
+)
+def v15_lost(spark, sf):
+    return v.upgrade_violations(chained(spark, sf), CHAIN, "11")
+
+
+def chained(spark, sf):
+    version = F.when(F.col("c_nationkey") < 10, "9").when(F.col("c_nationkey") < 20, "10").otherwise("8")
+    return table(spark, sf, "customer").select("c_custkey", version.alias("schema_version"))
+
+
+@query(
+    "v20_separators",
+    """SELECT count(*) AS n, 2 * count(*) AS digests FROM customer""",
+)
+def v20_distinct(spark, sf):
+    """Rows that differ only in where a separator stands, or in null against its name, have digests of their own."""
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", F.inline(F.array(
+            F.struct(F.lit("a|b").alias("x"), F.lit("NULL").alias("y")), F.struct(F.lit("a").alias("x"), F.lit("b|NULL").alias("y")),
+        )),
+    ).withColumn("y", F.when(F.col("x") == "a|b", F.lit(None)).otherwise(F.col("y")))
+    texts = rows.select("c_custkey", row_text(["c_custkey", "x", "y"]).alias("t"))
+    return texts.agg((F.count("*") / 2).cast("bigint").alias("n"), F.countDistinct("t").alias("digests"))
+
+
 @query(
     "v17_canonical_digest",
     """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_nationkey":' ||
@@ -303,7 +343,10 @@ def v19(spark, sf):
     return v.manifest_violations(seeds(13), seeds(12))
 
 
-DIGEST = """WITH h AS (SELECT md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS h FROM orders),
+TEXT = " || ".join(
+    f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'N')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+)
+DIGEST = f"""WITH h AS (SELECT md5({TEXT}) AS h FROM orders),
        b AS (SELECT CAST(('0x' || substr(h, 1, 2)) AS BIGINT) % 256 AS b,
                     sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS s, count(*) AS n FROM h GROUP BY 1),
        d AS (SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(line, ';' ORDER BY line)) AS digest

@@ -9,7 +9,8 @@ from statewell.plans import inputs as src
 from statewell.plans.inputs import BENCH, FIRST, SECOND
 from statewell.plans.registry import query, rounded, table
 
-RULES = b.Rules(resamples=1000, draws="md5")
+RULES = b.Rules(draws="mix")
+
 METRIC3 = ["shared_recovery_error", "exclusive_leakage", "projection_error"]
 
 
@@ -115,9 +116,12 @@ def b7_bad(spark, sf):
 
 
 BOOT = """ls AS (SELECT stratum_digest, list(difference ORDER BY seed) AS v, count(*) AS n FROM pr GROUP BY stratum_digest),
-       bm AS (SELECT stratum_digest, rep, avg(v[1 + CAST(('0x' || substr(md5('11001-' || rep || '-' || stratum_digest || '-' || d), 1, 8)) AS BIGINT) % n]) AS m
-              FROM (SELECT stratum_digest, v, n, rep, unnest(range(n)) AS d
-                    FROM ls, (SELECT unnest(range(1000)) AS rep)) GROUP BY ALL),
+       bm AS (SELECT stratum_digest, rep, avg(v[1 + i]) AS m
+              FROM (SELECT stratum_digest, v, rep, (((y * y) % 2147483647 + y * 48271 + 104729) % 2147483647) % n AS i FROM
+                (SELECT *, (x * x % 2147483647 + x * 48271 + 104729) % 2147483647 AS y FROM
+                  (SELECT *, (11001 * 48271 + k % 2147483647 + rep * 69621 + d * 104729) % 2147483647 AS x FROM
+                    (SELECT stratum_digest, v, n, CAST(('0x' || substr(md5(stratum_digest), 1, 8)) AS BIGINT) AS k, rep, unnest(range(n)) AS d
+                     FROM ls, (SELECT unnest(range(10000)) AS rep))))) GROUP BY ALL),
        be AS (SELECT rep, avg(m) AS e FROM bm GROUP BY rep),
        ci AS (SELECT quantile_cont(e, 0.025) AS ci_lower, quantile_cont(e, 0.975) AS ci_upper FROM be)"""
 
@@ -128,7 +132,7 @@ BOOT = """ls AS (SELECT stratum_digest, list(difference ORDER BY seed) AS v, cou
 )
 def b8(spark, sf):
     pairs = b.paired_differences(exact(spark, sf), "shared_recovery_error", FIRST, SECOND)
-    return rounded(b.paired_bootstrap_interval(pairs, 1000, 11001, "md5"), 9, "ci_lower", "ci_upper")
+    return rounded(b.paired_bootstrap_interval(pairs, 10_000, 11001, "mix"), 9, "ci_lower", "ci_upper")
 
 
 @query(
@@ -166,6 +170,32 @@ def b10(spark, sf):
     )
 
 
+@query(
+    "b10_refusals",
+    f"""WITH {EXACT}, cal AS (SELECT * FROM bench WHERE split = 'calibration')
+        SELECT 'other_split' AS "check", '' AS key, count(*) || ' rows' AS detail FROM cal WHERE ln = 3 HAVING count(*) > 0
+        UNION ALL SELECT 'other_tier', '', count(*) || ' rows' FROM cal WHERE ln = 2 HAVING count(*) > 0
+        UNION ALL SELECT 'mixed_generator', '', 'more than one value' FROM cal WHERE ln = 1 HAVING count(*) > 0
+        UNION ALL SELECT 'other_candidate', 'C3', count(*) || ' rows' FROM cal WHERE ln = 4 AND candidate = '{SECOND}' HAVING count(*) > 0
+        UNION ALL SELECT 'metric_not_finite', CASE WHEN ln = 4 AND candidate = '{SECOND}' THEN 'C3' ELSE candidate END || '|' || stratum_digest || '|' || seed,
+               'projection_error' FROM ex WHERE ln = 5
+        UNION ALL SELECT 'unpaired', stratum_digest || '|' || seed, '1/0' FROM ex WHERE ln = 4 AND candidate = '{FIRST}'""",
+)
+def b10_bad(spark, sf):
+    """Planted faults, one a line number: split, tier, an identity that is partly null, candidate and pairs, a value that is not finite."""
+    rows, line = src.bench_rows(spark, sf).filter("split = 'calibration'"), F.col("ln")
+    rows = rows.withColumns(
+        {
+            "split": F.when(line == 3, "holdout").otherwise(F.col("split")),
+            "tier": F.when(line == 2, "development").otherwise(F.col("tier")),
+            "generator": F.when(line == 1, F.lit(None)).otherwise(F.col("generator")),
+            "candidate": F.when((line == 4) & (F.col("candidate") == SECOND), "C3").otherwise(F.col("candidate")),
+            "projection_error": F.when(line == 5, F.lit(float("nan"))).otherwise(F.col("projection_error")),
+        }
+    )
+    return b.selection_violations(rows, FIRST, SECOND)
+
+
 HOLD = f"""{BENCH}, ho AS MATERIALIZED (SELECT * FROM bench WHERE split = 'holdout' AND candidate = '{FIRST}'),
        ix AS (SELECT stratum, row_number() OVER (ORDER BY stratum) AS k FROM (SELECT DISTINCT stratum FROM ho)),
        lg AS MATERIALIZED (SELECT stratum_digest, stratum, projection_case, shared_signal, noise_sd, seed, k,
@@ -175,9 +205,12 @@ HOLD = f"""{BENCH}, ho AS MATERIALIZED (SELECT * FROM bench WHERE split = 'holdo
        vs AS (SELECT stratum_digest, stratum, projection_case, shared_signal, noise_sd, metric, k, list(value ORDER BY seed) AS v,
                      count(*) AS n, median(value) AS estimate FROM lg GROUP BY ALL)"""
 
-HOLD_BOOT = """bb AS (SELECT stratum_digest, metric, rep, median(v[1 + CAST(('0x' || substr(md5((11002 + k) || '-' || rep || '-' || stratum_digest ||
-                     '-' || metric || '-' || d), 1, 8)) AS BIGINT) % n]) AS m
-              FROM (SELECT stratum_digest, metric, v, n, k, rep, unnest(range(n)) AS d FROM vs, (SELECT unnest(range(1000)) AS rep)) GROUP BY ALL),
+HOLD_BOOT = """bb AS (SELECT stratum_digest, metric, rep, median(v[1 + i]) AS m
+              FROM (SELECT stratum_digest, metric, v, rep, ((y * y % 2147483647 + y * 48271 + 104729) % 2147483647) % n AS i FROM
+                (SELECT *, (x * x % 2147483647 + x * 48271 + 104729) % 2147483647 AS y FROM
+                  (SELECT *, ((11002 + k) * 48271 + mark % 2147483647 + rep * 69621 + d * 104729) % 2147483647 AS x FROM
+                    (SELECT stratum_digest, metric, v, n, k, CAST(('0x' || substr(md5(stratum_digest || '|' || metric), 1, 8)) AS BIGINT) AS mark,
+                            rep, unnest(range(n)) AS d FROM vs, (SELECT unnest(range(10000)) AS rep))))) GROUP BY ALL),
        bc AS (SELECT stratum_digest, metric, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper FROM bb GROUP BY ALL),
        su AS MATERIALIZED (SELECT stratum_digest, stratum, projection_case, shared_signal, noise_sd, metric, estimate, ci_lower, ci_upper, n
               FROM vs JOIN bc USING (stratum_digest, metric)
@@ -189,7 +222,7 @@ HOLD_BOOT = """bb AS (SELECT stratum_digest, metric, rep, median(v[1 + CAST(('0x
 def holdout(spark, sf):
     rows = src.bench_rows(spark, sf).filter((F.col("split") == "holdout") & (F.col("candidate") == FIRST))
     index = b.grid_from_table(rows, ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
-    return rows, b.holdout_summary(rows, index, RULES)
+    return rows, b.holdout_summary(rows, index, FIRST, RULES)
 
 
 @query(
@@ -201,12 +234,40 @@ def b11(spark, sf):
     return rounded(holdout(spark, sf)[1], 7, "estimate", "ci_lower", "ci_upper")
 
 
+@query(
+    "b11_refusals",
+    f"""WITH {HOLD}
+        SELECT 'failed_gate' AS "check", candidate || '|' || stratum_digest || '|' || seed AS key, 'failure' AS detail FROM ho WHERE ln = 7
+        UNION ALL SELECT DISTINCT 'stratum_outside_grid', stratum_digest, stratum FROM ho WHERE ln = 6
+        UNION ALL SELECT 'metric_not_finite', candidate || '|' || stratum_digest || '|' || seed, 'elapsed_sec' FROM ho
+                  WHERE ln = 5 AND projection_case = 'exact_ids'
+        UNION ALL SELECT 'other_candidate', '', count(*) || ' rows' FROM bench WHERE split = 'holdout' AND candidate <> '{FIRST}' HAVING count(*) > 0
+        UNION ALL SELECT 'failed_gate', candidate || '|' || stratum_digest || '|' || seed, 'failure' FROM bench
+                  WHERE split = 'holdout' AND candidate <> '{FIRST}' AND ln = 7
+        UNION ALL SELECT 'metric_not_finite', candidate || '|' || stratum_digest || '|' || seed, 'elapsed_sec' FROM bench
+                  WHERE split = 'holdout' AND candidate <> '{FIRST}' AND ln = 5 AND projection_case = 'exact_ids'
+        UNION ALL SELECT DISTINCT 'stratum_outside_grid', stratum_digest, stratum FROM bench
+                  WHERE split = 'holdout' AND candidate <> '{FIRST}' AND ln = 6 AND stratum_digest NOT IN (SELECT stratum_digest FROM ho)""",
+)
+def b11_bad(spark, sf):
+    """Planted faults: gates of line 7, strata of line 6 left out of the grid, times of line 5 infinite, the other candidate."""
+    rows, line = src.bench_rows(spark, sf).filter("split = 'holdout'"), F.col("ln")
+    rows = rows.withColumns(
+        {
+            "gate_observed": F.when(line == 7, "failure").otherwise(F.col("gate_observed")),
+            "elapsed_sec": F.when(line == 5, F.lit(float("inf"))).otherwise(F.col("elapsed_sec")),
+        }
+    )
+    index = b.grid_from_table(rows.filter(line != 6), ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
+    return b.holdout_violations(rows, index, FIRST)
+
+
 @query("b12_holdout_summary_full")
 def b12(spark, sf):
     """The declared 10 000 resamples with counter-based draws."""
     rows = src.bench_rows(spark, sf).filter((F.col("split") == "holdout") & (F.col("candidate") == FIRST))
     index = b.grid_from_table(rows, ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
-    return rounded(b.holdout_summary(rows, index, b.Rules()), 7, "estimate", "ci_lower", "ci_upper")
+    return rounded(b.holdout_summary(rows, index, FIRST, b.Rules()), 7, "estimate", "ci_lower", "ci_upper")
 
 
 REQUIRED = """rq AS (SELECT stratum_digest, metric, estimate, CASE metric WHEN 'shared_recovery_error' THEN 0.25 ELSE 0.30 END AS lim

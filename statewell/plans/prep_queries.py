@@ -147,7 +147,7 @@ def document_manifest(spark, sf):
 @query(
     "s6_payload_digest",
     MANIFEST_SQL
-    + """, h AS (SELECT md5(file || '|' || sha256) AS h FROM m),
+    + """, h AS (SELECT md5(length(file) || ':' || file || length(sha256) || ':' || sha256) AS h FROM m),
        b AS (SELECT CAST(('0x' || substr(h, 1, 2)) AS BIGINT) % 256 AS b,
                     sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS s, count(*) AS n FROM h GROUP BY 1)
        SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(line, ';' ORDER BY line)) AS payload_digest
@@ -644,7 +644,7 @@ def p23_stored(spark, sf):
 )
 def p24(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    return prep.cap_rows(ev, ["user_id", "event_type"], ["event_id"], 4, {"1|view": 3})
+    return prep.cap_rows(ev, ["user_id", "event_type"], ["event_id"], 4, {("1", "view"): 3})
 
 
 @query(

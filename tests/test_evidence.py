@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from statewell.common import ContractError
 from statewell.operators import contracts as con, evidence as ev
 
 C1, C2 = "C1_symmetric_consensus", "C2_block_scaled_svd"
@@ -44,16 +45,42 @@ def test_failed_gates_fall_back(spark, broken, want):
     assert row.decision == ("selected" if want else "no_eligible_candidate")
 
 
-def test_absent_candidate_is_not_eligible(spark):
-    rows = bench(spark, (1001, 1002), "calibration").filter(F.col("candidate") == C1)
-    row = ev.select_candidate(rows, C1, C2, RULES).first()
-    assert row.selected_candidate is None and not row.second_eligible
+@pytest.mark.parametrize(
+    "spoil,check",
+    [
+        (lambda r: r.filter(F.col("candidate") == C1), "candidate_missing_2"),
+        (lambda r: r.filter((F.col("candidate") == C1) | (F.col("seed") == 1001)), "unpaired"),
+        (lambda r: r.withColumn("split", F.lit("holdout")), "other_split"),
+        (lambda r: r.withColumn("tier", F.lit("development")), "other_tier"),
+        (lambda r: r.withColumn("generator", F.when(F.col("seed") == 1001, "g")), "mixed_generator"),
+        (lambda r: r.withColumn("projection_error", F.when(F.col("seed") == 1001, float("nan")).otherwise(0.1)), "metric_not_finite"),
+    ],
+)
+def test_selection_refuses(spark, spoil, check):
+    with pytest.raises(ContractError, match=check):
+        ev.select_candidate(spoil(bench(spark, (1001, 1002), "calibration")), C1, C2, RULES)
+
+
+def test_holdout_refuses_strata_outside_the_grid(spark):
+    rows = bench(spark, (1021, 1022), "holdout").filter(F.col("candidate") == C1)
+    index = ev.grid_from_table(rows.filter("stratum_digest = 's1'"), ["stratum_digest"])
+    with pytest.raises(ContractError, match="stratum_outside_grid"):
+        ev.holdout_summary(rows, index, C1, RULES)
+
+
+def test_protocol_sized_table(spark):
+    """1,024 strata in a table, indexed and summed up."""
+    rows = bench(spark, (1021, 1022), "holdout", [f"s{i:04d}" for i in range(1024)]).filter(F.col("candidate") == C1)
+    index = ev.grid_from_table(rows, ["stratum_digest"])
+    assert index.count() == 1024
+    out = ev.holdout_summary(rows, index, C1, ev.Rules(resamples=20), ["shared_recovery_error"])
+    assert out.count() == 1024 and out.filter("abs(ci_upper - 0.1) > 1e-9").isEmpty()
 
 
 def test_holdout_acceptance(spark):
     rows = bench(spark, (1021, 1022), "holdout").filter(F.col("candidate") == C1)
     index = ev.grid_from_table(rows, ["stratum_digest"])
-    summary = ev.holdout_summary(rows, index, RULES)
+    summary = ev.holdout_summary(rows, index, C1, RULES)
     assert ev.accept_holdout(summary, rows, RULES).first().decision == "accepted"
     worse = summary.withColumn(
         "estimate", F.when((F.col("metric") == "projection_error") & (F.col("stratum_digest") == "s2"), 0.31).otherwise(F.col("estimate"))
@@ -88,36 +115,47 @@ def values(spark, **groups):
     return spark.createDataFrame(pd.concat(parts)).repartition(4)
 
 
-def test_large_groups_resample_alike(spark):
+@pytest.mark.parametrize("block", [100, 1999, 2000, 50_000])
+def test_groups_resample_alike_whatever_the_block(spark, block):
     """Blocks must give the distribution of the plain resampling scheme."""
     x = np.random.default_rng(31).exponential(size=2000)
     data = values(spark, a=x, b=x[:50])
-    packed = ev.bootstrap_means(data, ["k"], 400, 5).toPandas()
-    blocked = ev.bootstrap_means(data, ["k"], 400, 5, limit=100).toPandas()
-    for got in (packed, blocked):
-        a = got[got.k == "a"]["mean"]
-        assert len(a) == 400 and sorted(got[got.k == "a"]["rep"]) == list(range(400))
-        assert abs(a.mean() - x.mean()) < 4 * x.std() / np.sqrt(2000 * 400) + 1e-3
-        assert abs(a.std() / (x.std() / np.sqrt(2000)) - 1) < 0.15
-    assert np.allclose(packed[packed.k == "b"].sort_values("rep")["mean"], blocked[blocked.k == "b"].sort_values("rep")["mean"])
+    got = ev.bootstrap_means(data, ["k"], 400, 5, block=block).toPandas()
+    a = got[got.k == "a"]["mean"]
+    assert len(a) == 400 and sorted(got[got.k == "a"]["rep"]) == list(range(400))
+    assert abs(a.mean() - x.mean()) < 4 * x.std() / np.sqrt(2000 * 400) + 1e-3
+    assert abs(a.std() / (x.std() / np.sqrt(2000)) - 1) < 0.15
 
 
 @pytest.mark.parametrize("n", [1000, 1001])
-def test_large_group_medians_resample_alike(spark, n):
+def test_medians_resample_alike(spark, n):
     x = np.random.default_rng(32).normal(size=n)
     data = values(spark, a=x).withColumn("s", F.lit(7))
-    plain = ev.bootstrap_medians(data, ["k"], 1500, "s").toPandas()["median"]
-    ranks = ev.bootstrap_medians(data, ["k"], 1500, "s", limit=100).toPandas()["median"]
+    plain = ev.bootstrap_medians(data, ["k"], 1500, "s", "mix").toPandas()["median"]
+    ranks = ev.bootstrap_medians(data, ["k"], 1500, "s").toPandas()["median"]
     assert len(plain) == len(ranks) == 1500
     assert abs(plain.mean() - ranks.mean()) < 0.01
     assert abs(plain.std() / ranks.std() - 1) < 0.15
 
 
+def test_mix_draws_are_even():
+    x = ev.mix_indexes(11001, 12345, 50, range(4000))
+    counts = np.bincount(x.ravel(), minlength=50)
+    assert abs(counts - 4000).max() < 5 * np.sqrt(4000)
+    assert abs(np.corrcoef(x[:, 0], x[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(x[:-1, 0], x[1:, 0])[0, 1]) < 0.06
+
+
+def test_mix_refuses_what_it_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(ev, "MIX_LIMIT", 10)
+    with pytest.raises(ContractError, match="philox"):
+        ev.bootstrap_means(values(spark, a=np.arange(11.0)), ["k"], 5, 1, "mix")
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     x = np.random.default_rng(33).normal(size=60)
     runs = [
         ev.bootstrap_means(values(spark, a=x).repartition(p), ["k"], 250, 3, draws).toPandas().sort_values("rep")["mean"].to_numpy()
-        for draws in ("md5", "philox") for p in (1, 6)
+        for draws in ("mix", "philox") for p in (1, 6)
     ]
     assert np.allclose(runs[0], runs[1]) and np.allclose(runs[2], runs[3])
 
