@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewell.common import BROADCAST_VALUES, ContractError, materialise, union_all
+from statewell.common import BROADCAST_VALUES, ContractError, enforce, key_text, materialise, union_all, violation
+from statewell.operators.contracts import feature_identity_violations
 from statewell.operators.linalg import MAX_SIDE, eigen_components, gram_blocks, gram_tasks, rows_from_cells
 
 LAYER = ("layer",)
@@ -177,8 +178,8 @@ def project(
 ) -> DataFrame:
     """Scores ``sum_f (x - mean) * loading`` per sample and component.
 
-    ``means`` decides the centring: the discovery cohort's or the new cohort's.
-    ``small`` states that the loadings have been counted and fit a broadcast.
+    The kernel below ``project_cohort``: it centres with the ``means`` it is given and
+    checks nothing. ``small`` states that the loadings have been counted and fit a broadcast.
     """
     if k is None:
         k = loadings.agg(F.max("component")).first()[0] or 0
@@ -187,6 +188,35 @@ def project(
     return apply_components(cells, loadings, keys, "feature_id", "sample_id", "loading", "coord", k, means, small)
 
 
+def project_cohort(
+    cells: DataFrame, loadings: DataFrame, means: DataFrame | None = None, keys: Sequence[str] = LAYER, centre: str = "discovery",
+    k: int | None = None,
+) -> DataFrame:
+    """Project a new cohort; its features must be those of the loadings, each once.
+
+    ``centre`` is ``discovery`` (the default: ``means`` of the cohort that gave the axes) or ``own`` (the new cohort's).
+    Missing, extra or repeated features are refused.
+    """
+    if centre == "discovery" and means is None:
+        raise ContractError("centring on the discovery cohort needs its means")
+    if centre not in ("discovery", "own"):
+        raise ContractError(f"unknown centring {centre}")
+    enforce(projection_violations(cells, loadings, keys))
+    return project(cells, loadings, keys, means if centre == "discovery" else feature_means(cells, keys), k)
+
+
+def projection_violations(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
+    """Features of a new cohort that are missing, extra, repeated or incomplete over its samples."""
+    keys = list(keys)
+    samples = cells.groupBy(*keys, "sample_id").agg(F.count("*").alias("_f"), F.countDistinct("feature_id").alias("_d"))
+    own = cells.select(*keys, "feature_id").distinct()
+    width = own.groupBy(*keys).agg(F.count("*").alias("_w"))
+    uneven = samples.join(width, keys).filter((F.col("_f") != F.col("_w")) | (F.col("_d") != F.col("_w")))
+    return feature_identity_violations(own, loadings, keys).unionByName(
+        violation(uneven, "uneven_sample", key_text([*keys, "sample_id"]), F.format_string("%d of %d features", F.col("_d"), F.col("_w")))
+    )
+
+
 def svd(
     cells: DataFrame,
     keys: Sequence[str] = LAYER,
@@ -340,6 +370,22 @@ def common_components(spectrum_: DataFrame, keys: Sequence[str] = LAYER) -> Data
     return top.groupBy(*cohort).agg(F.min("k").alias("k"), F.count("*").alias("layers"))
 
 
+def feature_set_violations(loadings: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
+    """Features that not every layer of a cohort has; layers are only averaged over equal feature sets."""
+    cohort = _cohort_keys(keys)
+    one = loadings.filter(F.col("component") == 1).select(*keys, "feature_id")
+    per = one.groupBy(*cohort, "feature_id").agg(F.count("*").alias("_c"))
+    layers = one.select(*keys).distinct().groupBy(*cohort).agg(F.count("*").alias("_l"))
+    if cohort:
+        both = per.join(layers, cohort)
+    else:
+        both = per.withColumn("_l", layers.select("_l").scalar())
+    return violation(
+        both.filter(F.col("_c") != F.col("_l")), "unequal_features", key_text([*cohort, "feature_id"]),
+        F.format_string("in %d of %d layers", F.col("_c"), F.col("_l")),
+    )
+
+
 def average_axes(
     loadings: DataFrame, spectrum_: DataFrame, keys: Sequence[str] = LAYER, align_signs: bool = True
 ) -> DataFrame:
@@ -426,6 +472,7 @@ def decompose(
     warnings = own.warnings.unionByName(rank_warnings(own.spectrum, k, keys))
     if strategy == "svd":
         return Decomposition(own.loadings, own.scores, own.spectrum, warnings, tuple(keys))
+    enforce(feature_set_violations(own.loadings, keys))
     if strategy == "averaged":
         shared = average_axes(own.loadings, own.spectrum, keys, align_signs)
     else:

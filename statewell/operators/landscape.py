@@ -95,8 +95,7 @@ def linear_bins(obs: DataFrame, stats: DataFrame, keys: Sequence[str], m: int =
 def _functional(counts: np.ndarray, delta: float, g: float, order: int) -> float:
     """Mean of the ``order``-th normal-kernel derivative over all bin pairs."""
     n, m = counts.sum(), len(counts)
-    # fixed values: the kernel derivative is cut at (order + 4) bandwidths
-    reach = int(min(np.floor((4 + order) * g / delta), m - 1))
+    reach = m - 1
     u = np.arange(reach + 1) * delta / g
     older, hermite = np.ones_like(u), u.copy()
     for i in range(2, order + 1):
@@ -115,7 +114,8 @@ def plugin_bandwidth(obs: DataFrame, keys: Sequence[str], stats: DataFrame | Non
     keys = list(keys)
     stats = stats if stats is not None else spread(obs, keys)
     bins = linear_bins(obs, small_side(stats), keys, m)
-    packed = bins.groupBy(*keys).agg(F.collect_list(F.struct("bin", "w")).alias("_bins")).join(stats, keys)
+    # a constant group has no bins and keeps a null bandwidth
+    packed = stats.join(bins.groupBy(*keys).agg(F.collect_list(F.struct("bin", "w")).alias("_bins")), keys, "left")
 
     @F.pandas_udf("double")
     def solve(bins_, n_obs, sd, iqr, lo, hi):
@@ -177,6 +177,8 @@ def density_curve(
 ) -> DataFrame:
     """K5, K6: exact Gaussian density and ``u_raw = -log p`` on the grid.
 
+    Groups without a bandwidth have no curve; ``degenerate_violations`` lists them.
+
     Each task adds its observations' kernels into one vector per group; only
     those vectors are shuffled. The work is ``n * n_grid`` kernel values, evenly
     spread however unequal the groups are.
@@ -186,7 +188,7 @@ def density_curve(
         raise ContractError("density_curve needs at least one key column")
     span = f"((x_max - x_min + {2 * reach} * h) / {n_grid - 1})"
     frame = materialise(
-        bw.filter("h IS NOT NULL").select(
+        bw.filter("h > 0").select(
             *keys, "h", F.expr(f"x_min - {reach} * h AS lo"), F.expr(f"{span} AS step"),
             F.expr("1 / (n_obs * h * sqrt(2 * pi())) AS mass"),
         )
@@ -418,6 +420,26 @@ class Landscape:
     keys: tuple[str, ...]
 
 
+def _not_finite():
+    return F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf"))
+
+
+def _broken_groups(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return obs.filter(_not_finite()).select(*keys).distinct()
+
+
+def not_finite_violations(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups with null, NaN or infinite observations."""
+    bad = obs.groupBy(*keys).agg(F.count_if(_not_finite()).alias("_n")).filter("_n > 0")
+    return violation(bad, "observation_not_finite", key_text(keys), F.format_string("%d observations", F.col("_n")))
+
+
+def degenerate_violations(bw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """K3: groups whose spread (standard deviation or quartile range) is zero, so that they have no bandwidth."""
+    flat = bw.filter(~F.coalesce(F.col("h") > 0, F.lit(False)))
+    return violation(flat, "degenerate_spread", key_text(keys), F.format_string("%d observations", F.col("n_obs")))
+
+
 def landscape(
     obs: DataFrame,
     keys: Sequence[str],
@@ -430,21 +452,27 @@ def landscape(
 
     The observations are read four times (ranges, quartiles, bins, density), so
     they are materialised first; the curve (``n_grid`` rows per group) is what
-    everything after it works on. Groups below the minimum size are reported.
+    everything after it works on. Every group is in ``curve`` or in ``violations``:
+    those below the minimum size, those with observations that are null or not
+    finite, and those whose spread gives no bandwidth.
     """
     if design != "cross_sectional":
         raise ContractError(f"the density estimator does not support a {design} design")
     keys = list(keys)
     obs = materialise(obs.select(*keys, "x"))
+    odd = materialise(not_finite_violations(obs, keys))
+    if not odd.isEmpty():
+        obs = materialise(obs.join(_broken_groups(obs, keys), keys, "left_anti"))
     stats = spread(obs, keys)
     usable = stats.filter(F.col("n_obs") >= MIN_OBSERVATIONS)
     params = materialise(bandwidths(obs, keys, bandwidth, usable))
+    found = union_all([_too_few(stats, keys), odd, degenerate_violations(params, keys)])
     curve = materialise(density_curve(obs, params, keys, n_grid))
     critical = critical_points(curve, keys)
     smooth = smooth_curve(curve, critical, keys, degree)
     barriers = barrier_heights(critical, smooth, keys)
     return Landscape(
-        smooth, critical, barriers, params.select(*keys, "h", "n_obs"), _too_few(stats, keys), tuple(keys)
+        smooth, critical, barriers, params.select(*keys, "h", "n_obs"), found, tuple(keys)
     )
 
 
@@ -457,18 +485,11 @@ def empirical_density(obs: DataFrame, keys: Sequence[str], n_grid: int = GRID_PO
     return density_curve(obs, bw, keys, n_grid, reach).select(*keys, "i", "x", "density")
 
 
-def density_2d(
-    points: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 100
-) -> DataFrame:
-    """Product-kernel density of two columns on an ``n_grid^2`` grid.
+def _two_columns(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    return points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
 
-    Bandwidths follow the normal reference rule of the usual contour plot
-    (``4 * 1.06 * min(sd, IQR/1.34) * n^(-1/5)``, used as a quarter). Tasks sum
-    ``Kx' Ky`` blocks by matrix product; only one grid per group is shuffled.
-    """
-    keys = list(keys)
-    data = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
 
+def _bandwidths_2d(data: DataFrame, keys: Sequence[str], n_grid: int) -> DataFrame:
     def reference(column: str, tag: str) -> DataFrame:
         s = spread(data.select(*keys, F.col(column).alias("x")), keys)
         scale = F.least(F.col("x_sd"), F.col("x_iqr") / 1.34)
@@ -478,8 +499,29 @@ def density_2d(
             (1.06 * scale * F.pow(F.col("n_obs"), F.lit(-0.2))).alias(f"h{tag}"),
         )
 
-    frame = reference("_x", "x").join(reference("_y", "y").drop("ny"), keys)
-    frame = materialise(frame)
+    return reference("_x", "x").join(reference("_y", "y").drop("ny"), list(keys))
+
+
+def density_2d_violations(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Groups without spread in one of the two columns."""
+    bw = _bandwidths_2d(_two_columns(points, keys, x, y), keys, 2)
+    flat = bw.filter(~F.coalesce((F.col("hx") > 0) & (F.col("hy") > 0), F.lit(False)))
+    return violation(flat, "degenerate_spread", key_text(keys), F.format_string("%d points", F.col("nx")))
+
+
+def density_2d(
+    points: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 100
+) -> DataFrame:
+    """Product-kernel density of two columns on an ``n_grid^2`` grid.
+
+    Bandwidths follow the normal reference rule of the usual contour plot
+    (``4 * 1.06 * min(sd, IQR/1.34) * n^(-1/5)``, used as a quarter). Tasks sum
+    ``Kx' Ky`` blocks by matrix product; only one grid per group is shuffled.
+    Groups without spread in one column have no density; ``density_2d_violations`` lists them.
+    """
+    keys = list(keys)
+    data = _two_columns(points, keys, x, y)
+    frame = materialise(_bandwidths_2d(data, keys, n_grid).filter("hx > 0 AND hy > 0"))
     joined = data.join(small_side(frame.drop("nx")), keys).select(*keys, "_x", "_y", "lox", "stx", "hx", "loy", "sty", "hy")
     n_keys = len(keys)
     schema = T.StructType(

@@ -342,21 +342,55 @@ def k15(spark, sf):
 @query(
     "k16_density_2d",
     """WITH o AS (SELECT l_returnflag AS g, l_quantity AS a, l_extendedprice AS b FROM lineitem),
-       s AS (SELECT g, count(*) AS n, min(a) AS la, (max(a) - min(a)) / 19 AS sa, min(b) AS lb, (max(b) - min(b)) / 19 AS sb,
+       s AS (SELECT g, count(*) AS n, min(a) AS la, (max(a) - min(a)) / 99 AS sa, min(b) AS lb, (max(b) - min(b)) / 99 AS sb,
              1.06 * least(stddev_samp(a), (quantile_cont(a, 0.75) - quantile_cont(a, 0.25)) / 1.34) * pow(count(*), -0.2) AS ha,
              1.06 * least(stddev_samp(b), (quantile_cont(b, 0.75) - quantile_cont(b, 0.25)) / 1.34) * pow(count(*), -0.2) AS hb
              FROM o GROUP BY g),
-       kx AS (SELECT o.g, o.a, o.b, i, exp(-0.5 * pow((la + i * sa - o.a) / ha, 2)) AS k FROM o JOIN s USING (g),
-              (SELECT CAST(unnest(range(20)) AS INTEGER) AS i)),
-       t AS (SELECT k.g, i, j, sum(k.k * exp(-0.5 * pow((lb + j * sb - k.b) / hb, 2))) AS v FROM kx k JOIN s USING (g),
-              (SELECT CAST(unnest(range(20)) AS INTEGER) AS j) GROUP BY ALL)
-       SELECT g, i, j, round(la + i * sa, 4) AS x, round(lb + j * sb, 4) AS y, round(v / (n * ha * hb * 2 * pi()), 14) AS density
+       ky AS (SELECT g, a, j, sum(exp(-0.5 * pow((lb + j * sb - b) / hb, 2))) AS k FROM o JOIN s USING (g),
+              (SELECT CAST(unnest(range(100)) AS INTEGER) AS j) GROUP BY ALL),
+       t AS (SELECT g, i, j, sum(k * exp(-0.5 * pow((la + i * sa - a) / ha, 2))) AS v FROM ky JOIN s USING (g),
+              (SELECT CAST(unnest(range(100)) AS INTEGER) AS i) GROUP BY ALL)
+       SELECT g, i, j, round(la + i * sa, 4) AS x, round(lb + j * sb, 4) AS y, round(v / (n * ha * hb * 2 * pi()), 12) AS density
        FROM t JOIN s USING (g)""",
 )
 def k16(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), "l_quantity", "l_extendedprice")
-    out = ls.density_2d(li, ["g"], "l_quantity", "l_extendedprice", 20)
-    return rounded(rounded(out, 4, "x", "y"), 14, "density")
+    out = ls.density_2d(li, ["g"], "l_quantity", "l_extendedprice")
+    return rounded(rounded(out, 4, "x", "y"), 12, "density")
+
+
+@query(
+    "k14_degenerate_groups",
+    """WITH o AS (SELECT c_mktsegment AS g, count(*) AS n, count(*) FILTER (WHERE c_custkey % 7 = 0) AS odd FROM customer GROUP BY 1)
+       SELECT CASE g WHEN 'BUILDING' THEN 'degenerate_spread' WHEN 'MACHINERY' THEN 'degenerate_spread'
+                     WHEN 'HOUSEHOLD' THEN 'observation_not_finite' ELSE 'curve' END AS "check", g AS key,
+              CASE g WHEN 'HOUSEHOLD' THEN odd || ' observations' WHEN 'BUILDING' THEN n || ' observations'
+                     WHEN 'MACHINERY' THEN n || ' observations' ELSE '512 points' END AS detail FROM o""",
+)
+def k14_degenerate(spark, sf):
+    """A constant segment, one with quartiles that coincide, one with null and NaN values: each has a curve or a violation."""
+    g, x, k = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_custkey")
+    odd = F.when(k % 2 == 0, F.lit(float("nan")))
+    spoiled = (
+        F.when(g == "BUILDING", 1.0)
+        .when(g == "MACHINERY", F.when(k % 10 == 0, x).otherwise(5.0))
+        .when((g == "HOUSEHOLD") & (k % 7 == 0), odd)
+        .otherwise(x)
+    )
+    land = ls.landscape(table(spark, sf, "customer").select(g.alias("g"), spoiled.alias("x")), ["g"])
+    points = F.format_string("%d points", F.col("n"))
+    curves = land.curve.groupBy("g").agg(F.count("*").alias("n")).select(F.lit("curve").alias("check"), F.col("g").alias("key"), points.alias("detail"))
+    return land.violations.unionByName(curves)
+
+
+@query(
+    "k16_degenerate_groups",
+    """SELECT 'degenerate_spread' AS "check", l_returnflag AS key, count(*) || ' points' AS detail FROM lineitem WHERE l_returnflag = 'R' GROUP BY 2""",
+)
+def k16_degenerate(spark, sf):
+    flat = F.when(F.col("l_returnflag") == "R", 3.0).otherwise(F.col("l_quantity").cast("double"))
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), flat.alias("a"), "l_extendedprice")
+    return ls.density_2d_violations(li, ["g"], "a", "l_extendedprice")
 
 
 @query(

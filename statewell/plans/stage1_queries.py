@@ -9,7 +9,7 @@ from statewell.operators import consensus, decompose as dec
 from statewell.operators.linalg import gram_blocks
 from statewell.plans import inputs as src
 from statewell.plans.inputs import CELLS, CENTRED, GRAM, SCORES, TWO, eigen_sql
-from statewell.plans.registry import query, rounded
+from statewell.plans.registry import query, rounded, table
 
 SVD3 = f"WITH {CELLS}, {CENTRED}, {GRAM}, {eigen_sql(3)}, {SCORES}"
 
@@ -260,7 +260,7 @@ def _halves(spark, sf):
 )
 def d13_secondary(spark, sf):
     _, new = _halves(spark, sf)
-    out = dec.project(new, src.label_loadings(spark, sf), means=dec.feature_means(new), k=2)
+    out = dec.project_cohort(new, src.label_loadings(spark, sf), centre="own", k=2)
     return rounded(out, 8, "coord")
 
 
@@ -273,10 +273,40 @@ def d13_secondary(spark, sf):
 )
 def d13_discovery(spark, sf):
     old, new = _halves(spark, sf)
-    out = dec.project(new, src.label_loadings(spark, sf), means=dec.feature_means(old), k=2)
+    out = dec.project_cohort(new, src.label_loadings(spark, sf), dec.feature_means(old), k=2)
     return rounded(out, 8, "coord")
 
 
+@query(
+    "d13_feature_contract",
+    f"""WITH {src.CELLS}, new AS (SELECT sample_id, CASE feature_id WHEN 'd005' THEN 'x005' ELSE feature_id END AS feature_id, label FROM cells
+             WHERE label >= 5 AND feature_id <> 'd009' AND NOT (feature_id = 'd011' AND label = 7)),
+       known AS (SELECT DISTINCT feature_id FROM cells), own AS (SELECT DISTINCT feature_id FROM new)
+       SELECT 'missing_feature' AS "check", 'all|' || feature_id AS key, '0' AS detail FROM known ANTI JOIN own USING (feature_id)
+       UNION ALL SELECT 'extra_feature', 'all|' || feature_id, '1' FROM own ANTI JOIN known USING (feature_id)
+       UNION ALL SELECT 'uneven_sample', 'all|' || sample_id, count(*) || ' of 63 features' FROM new GROUP BY sample_id HAVING count(*) < 63""",
+)
+def d13_contract(spark, sf):
+    """One feature renamed, one lost, one missing in some samples."""
+    _, new = _halves(spark, sf)
+    label = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.col("label").alias("_label"))
+    spoiled = new.join(label, "sample_id").filter("feature_id <> 'd009' AND NOT (feature_id = 'd011' AND _label = 7)")
+    name = F.when(F.col("feature_id") == "d005", "x005").otherwise(F.col("feature_id"))
+    spoiled = spoiled.withColumn("feature_id", name).select("layer", "sample_id", "feature_id", "value")
+    return dec.projection_violations(spoiled, src.label_loadings(spark, sf))
+
+
+@query(
+    "d5_feature_contract",
+    f"""WITH {src.TWO}, kept AS (SELECT * FROM cells WHERE NOT (layer = 'A' AND feature_id = 'f010') AND NOT (layer = 'B' AND feature_id = 'f003'))
+       SELECT 'unequal_features' AS "check", feature_id AS key, 'in ' || count(DISTINCT layer) || ' of 2 layers' AS detail
+       FROM kept GROUP BY feature_id HAVING count(DISTINCT layer) < 2""",
+)
+def d5_contract(spark, sf):
+    kept = src.two_layers(spark, sf).filter("NOT (layer = 'A' AND feature_id = 'f010') AND NOT (layer = 'B' AND feature_id = 'f003')")
+    return dec.feature_set_violations(dec.svd(kept, k=1).loadings)
+
+
 # --- several layers --------------------------------------------------------------------
 
 
