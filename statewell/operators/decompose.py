@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewell.common import BROADCAST_VALUES, ContractError, enforce, key_text, materialise, union_all, violation
+from statewell.common import BROADCAST_VALUES, ContractError, enforce, key_text, materialise, small_side, union_all, violation
 from statewell.operators.contracts import feature_identity_violations
 from statewell.operators.linalg import MAX_SIDE, eigen_components, gram_blocks, gram_tasks, rows_from_cells
 
@@ -85,10 +85,31 @@ def detectability(cells: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
 
 
 def choose_side(dims: DataFrame) -> tuple[str, int]:
-    """Pick the side whose square fits one task for every group, and its width."""
-    worst = dims.agg(F.max("n").alias("n"), F.max("p").alias("p"), _holes().alias("holes")).first()
-    side = _side_for(worst["n"], worst["p"], worst["holes"])
-    return side, worst["n"] if side == "samples" else worst["p"]
+    """The side whose square fits one task, and its width, when one side suits every group; see ``side_plan``."""
+    plan = side_plan(dims)
+    if len(plan) == 1:
+        return plan[0]
+    raise ContractError("the groups need different sides; decompose them without naming one")
+
+
+def side_plan(dims: DataFrame) -> list[tuple[str, int]]:
+    """``(side, largest width)`` of the groups summed over features and of those summed over samples.
+
+    Each group takes its own smaller side. A group beyond ``MAX_SIDE`` on both is
+    refused: the sketch is an approximation and has to be asked for.
+    """
+    sized = dims.groupBy(_own_side().alias("side")).agg(
+        F.count("*").alias("groups"), F.max("n").alias("n"), F.max("p").alias("p"), _holes().alias("holes")
+    ).collect()
+    if not sized:
+        raise ContractError("no cells to decompose")
+    holes = sum(r["holes"] for r in sized)
+    if holes:
+        raise ContractError(f"{holes} groups have missing cells or repeated cells")
+    for r in sized:
+        if r["side"] == "none":
+            raise ContractError(f"{r['groups']} groups are larger than {MAX_SIDE} on both sides; ask for side='sketch'")
+    return sorted((r["side"], r["n"] if r["side"] == "samples" else r["p"]) for r in sized)
 
 
 def _holes():
@@ -96,16 +117,11 @@ def _holes():
     return F.count_if(F.col("n_cells") != F.col("n") * F.col("p"))
 
 
-def _side_for(n: int | None, p: int | None, holes: int) -> str:
-    if n is None:
-        raise ContractError("no cells to decompose")
-    if holes:
-        raise ContractError(f"{holes} groups have missing cells or repeated cells")
-    if p <= MAX_SIDE and p <= n:
-        return "features"
-    if n <= MAX_SIDE:
-        return "samples"
-    return "features" if p <= MAX_SIDE else "sketch"
+def _own_side():
+    n, p = F.col("n"), F.col("p")
+    return (
+        F.when((p <= MAX_SIDE) & (p <= n), "features").when(n <= MAX_SIDE, "samples").when(p <= MAX_SIDE, "features").otherwise("none")
+    )
 
 
 def _wide(long: DataFrame, keys: Sequence[str], by: str, value: str) -> DataFrame:
@@ -227,20 +243,23 @@ def svd(
     rows: DataFrame | None = None,
     feature_ids: Sequence[str] | None = None,
     width: int | None = None,
+    dims: DataFrame | None = None,
 ) -> Decomposition:
     """Truncated SVD of every group's sample-by-feature matrix.
 
+    Without a ``side`` every group is solved exactly on its own smaller side.
+
     ``features`` sums a p x p matrix over samples, ``samples`` an n x n matrix
     over features, ``sketch`` is a randomised range finder for matrices large
-    on both sides. ``rows`` may supply the matrix as array rows
+    on both sides; it is used only when asked for. ``rows`` may supply the matrix as array rows
     (``sample_id, vec`` with ``feature_ids`` naming the positions) so that long
     cells need not be regrouped. Only the solved components are materialised.
     With an explicit ``side``, ``width`` tells its largest size when it is known.
     """
     if not isinstance(center, bool):
-        raise ContractError("center must be a single logical")
+        raise ContractError("center is either True or False")
     if k is not None and (not isinstance(k, int) or isinstance(k, bool) or k < 1):
-        raise ContractError("k must be a single positive integer")
+        raise ContractError("k is a whole number from 1 up, or None")
     keys = list(keys)
     if not keys:
         raise ContractError("at least one key column (layer) is needed")
@@ -249,7 +268,16 @@ def svd(
     if rows is not None:
         side, width = side or "features", len(feature_ids)
     elif side is None:
-        side, width = choose_side(dimensions(cells, keys))
+        dims = materialise(dimensions(cells, keys)) if dims is None else dims
+        plan = side_plan(dims)
+        if len(plan) > 1:
+            return _join_decompositions(
+                [
+                    svd(cells.join(small_side(materialise(dims.filter(_own_side() == s).select(*keys))), keys), keys, k, center, s, vectors, width=w)
+                    for s, w in plan
+                ]
+            )
+        side, width = plan[0]
     lost = 1 if center else 0
     if side == "sketch":
         from statewell.operators.sketch import sketch_components
@@ -316,6 +344,15 @@ def svd(
     return Decomposition(loadings, scores, spectrum, warnings, tuple(keys))
 
 
+def _join_decompositions(parts: Sequence[Decomposition]) -> Decomposition:
+    """Decompositions of different groups as one."""
+    tables = [
+        None if getattr(parts[0], name) is None else union_all([getattr(p, name) for p in parts])
+        for name in ("loadings", "scores", "spectrum", "warnings")
+    ]
+    return Decomposition(*tables, parts[0].keys)
+
+
 def _ids(cells: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Sorted ids of the solved side, at most ``MAX_SIDE`` per group."""
     return materialise(cells.groupBy(*keys).agg(F.array_sort(F.collect_set(column)).alias("ids")))
@@ -456,19 +493,21 @@ def decompose(
     if strategy not in ("svd", "averaged", "strongest"):
         raise ContractError(f"unknown decomposition {strategy}")
     cohort = _cohort_keys(keys)
-    per_cohort = dimensions(cells, keys).groupBy(*cohort).agg(
+    dims = materialise(dimensions(cells, keys))
+    per_cohort = dims.groupBy(*cohort).agg(
         F.count("*").alias("l"), F.max("n").alias("n"), F.max("p").alias("p"), _holes().alias("holes")
     )
     size = per_cohort.agg(
         F.min("l").alias("few"), F.max("l").alias("many"), F.max("n").alias("n"), F.max("p").alias("p"), F.sum("holes").alias("holes")
     ).first()
     if strategy == "svd" and size["many"] != 1:
-        raise ContractError("svd requires exactly 1 layer")
+        raise ContractError("svd takes one layer a cohort")
     if strategy != "svd" and (size["few"] or 0) < 2:
-        raise ContractError(f"{strategy} requires at least 2 layers")
-    side = side or _side_for(size["n"], size["p"], size["holes"])
+        raise ContractError(f"{strategy} needs two layers or more in every cohort")
+    if side and size["holes"]:
+        raise ContractError(f"{size['holes']} groups have missing cells or repeated cells")
     width = size["n"] if side == "samples" else size["p"]
-    own = svd(cells, keys, k, center, side, width=width)
+    own = svd(cells, keys, k, center, side, width=width if side else None, dims=dims)
     warnings = own.warnings.unionByName(rank_warnings(own.spectrum, k, keys))
     if strategy == "svd":
         return Decomposition(own.loadings, own.scores, own.spectrum, warnings, tuple(keys))

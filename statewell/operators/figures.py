@@ -57,7 +57,7 @@ def clip_component(scores: DataFrame, requested: int, keys: Sequence[str] = ("la
     low = per.agg(F.min("k").alias("available"))
     used = F.least(F.lit(requested), F.col("available"))
     text = F.format_string(
-        "component %d requested but only %d available; using %d", F.lit(requested), F.col("available"), used
+        "no component %d in every layer; component %d is drawn instead", F.lit(requested), used
     )
     return low.select(
         F.lit(requested).alias("requested"), "available", used.alias("component"),

@@ -40,7 +40,7 @@ def select_coordinates(
 ) -> DataFrame:
     """K1: one component's coordinates, pooled over layers or of one layer."""
     if component < 1 or (available is not None and component > available):
-        raise ContractError(f"component {component} requested but only {available} available")
+        raise ContractError(f"there is no component {component}, the scores have {available}")
     picked = scores.filter(F.col("component") == component)
     if layer is not None:
         picked = picked.filter(F.col("layer") == layer)

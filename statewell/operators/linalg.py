@@ -242,7 +242,8 @@ def eigen_components(blocks: DataFrame, keys: Sequence[str], k: int | None, lost
         lam, vec = np.linalg.eigh(gram)
         lam, vec = lam[::-1], vec[:, ::-1]
         m = len(lam)
-        floor = max(lam[0], 0.0) * np.finfo(float).eps * max(m, n)
+        # a bound of rounding in the solved matrix; it does not grow with the rows that were summed
+        floor = max(lam[0], 0.0) * np.finfo(float).eps * m
         rank = int((lam > floor).sum())
         samples, features = (n, m) if side == "features" else (m, n)
         rank = min(rank, samples - lost, features)

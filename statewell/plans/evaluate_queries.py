@@ -268,6 +268,21 @@ def e11(spark, sf):
     return ev.alignment_gates(complete_cohort(c.sample_map, 2), c.samples, c.cells)
 
 
+@query(
+    "e11_alignment_gates_broken",
+    """SELECT count(*) FILTER (WHERE lang = 'fr') = 0 AS sample_map_aligned,
+              (SELECT count(DISTINCT f) FROM (SELECT unnest(['quality', 'toxic']) AS f FROM labels)) <> count(DISTINCT 1) + 1 AS heterogeneous_features
+       FROM documents JOIN labels USING (doc_id)""",
+)
+def e11_broken(spark, sf):
+    """Metadata without the French texts, and two layers of two features each."""
+    from statewell.operators.contracts import complete_cohort
+
+    c = document_cohort(spark, sf)
+    twice = c.cells.filter("layer = 'label'").withColumn("layer", F.lit("text")).unionByName(c.cells.filter("layer = 'label'"))
+    return ev.alignment_gates(complete_cohort(c.sample_map, 2), c.samples.filter("lang <> 'fr'"), twice)
+
+
 # --- figure tables ---------------------------------------------------------------------
 
 
@@ -327,7 +342,7 @@ def g2_lines(spark, sf):
 @query(
     "g3_clip_component",
     """SELECT DISTINCT 5 AS requested, 3 AS available, 3 AS component,
-              'component 5 requested but only 3 available; using 3' AS warning FROM embeddings""",
+              'no component 5 in every layer; component 3 is drawn instead' AS warning FROM embeddings""",
 )
 def g3(spark, sf):
     return fig.clip_component(gallery_inputs(spark, sf)[0], 5)

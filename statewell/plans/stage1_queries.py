@@ -480,10 +480,12 @@ def d18(spark, sf):
 
 @query("d19_permutation_invariant", "SELECT DISTINCT 0.0 AS distance, TRUE AS invariant FROM embeddings")
 def d19(spark, sf):
+    """The order of samples and of features follows their ids; reversed ids permute both."""
     cells = src.two_layers(spark, sf)
-    shuffled = cells.repartition(7, F.md5("sample_id"))
-    fits = [consensus.fit_candidate(c, "concatenated", ["A", "B"], 2, side="features") for c in (cells, shuffled)]
-    return rounded(consensus.permutation_invariant(fits[0].scores, fits[1].scores, 2), 7, "distance")
+    other = cells.withColumns({"sample_id": F.reverse("sample_id"), "feature_id": F.reverse("feature_id")})
+    fits = [consensus.fit_candidate(c, "concatenated", ["A", "B"], 2, side="features") for c in (cells, other)]
+    back = fits[1].scores.withColumn("sample_id", F.reverse("sample_id"))
+    return rounded(consensus.permutation_invariant(fits[0].scores, back, 2), 7, "distance")
 
 
 @query(

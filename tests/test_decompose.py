@@ -156,3 +156,30 @@ def test_concatenation_equals_numpy(spark):
     for side in ("features", "samples"):
         got = dec.concatenated_svd(cells(spark, layers), side=side).spectrum.orderBy("component").collect()
         assert np.allclose([r.sigma for r in got], want, atol=1e-9)
+
+
+def test_every_group_takes_its_own_side(spark, monkeypatch):
+    """A tall and a wide group in one call, both exact; beyond the limit on both sides only the sketch."""
+    rng = np.random.default_rng(77)
+    layers = {"tall": rng.normal(size=(30, 5)), "wide": rng.normal(size=(5, 30))}
+    monkeypatch.setattr(dec, "MAX_SIDE", 10)
+    d = dec.svd(cells(spark, layers), k=3)
+    for name, x in layers.items():
+        got = [r.sigma for r in d.spectrum.filter(f"layer = '{name}'").orderBy("component").collect()]
+        assert np.allclose(got, np.linalg.svd(x - x.mean(0), compute_uv=False)[:3])
+    with pytest.raises(ContractError, match="sketch"):
+        dec.svd(cells(spark, {"A": rng.normal(size=(12, 12))}), k=2)
+
+
+def test_feature_contracts(spark):
+    rng = np.random.default_rng(78)
+    data = cells(spark, {"A": rng.normal(size=(8, 6)), "B": rng.normal(size=(8, 6))})
+    with pytest.raises(ContractError, match="unequal_features"):
+        dec.decompose(data.filter("NOT (layer = 'A' AND feature_id = 'f0002')"), "averaged", k=1)
+    one = data.filter("layer = 'A'")
+    d = dec.svd(one, k=1)
+    with pytest.raises(ContractError, match="means"):
+        dec.project_cohort(one, d.loadings)
+    with pytest.raises(ContractError, match="missing_feature"):
+        dec.project_cohort(one.filter("feature_id <> 'f0001'"), d.loadings, dec.feature_means(one))
+    assert dec.project_cohort(one, d.loadings, dec.feature_means(one)).count() == 8
