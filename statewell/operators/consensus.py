@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewell.common import ContractError, enforce, materialise
+from statewell.common import ContractError, enforce, materialise, violation
 from statewell.operators.contracts import feature_identity_violations
 from statewell.operators.decompose import _sums, block_scale, layer_scaling, svd, unit_scores
 from statewell.operators.linalg import linear_map, small_grams
@@ -84,6 +84,8 @@ def consensus_scores(
         "_l", F.array_position(F.array(*[F.lit(x) for x in layers]), F.col("layer"))
     )
     rows = materialise(pack(wanted, "sample_id", ["_l", "component"], "coord"))
+    uneven = rows.filter(F.size("vec") != width)
+    enforce(violation(uneven, "incomplete_sample", "sample_id", F.format_string("%d of %d layer scores", F.size("vec"), F.lit(width))))
     gram = stacked_gram(rows, width)
     parts = [np.eye(width)[:, i * rank : (i + 1) * rank] for i in range(len(layers))]
 

@@ -77,6 +77,8 @@ def refine_quantiles(
     picked = ranked.groupBy(*keys, "_n", "prob", "_h").agg(
         F.expr(f"{at('floor(_h)')} AS _a"), F.expr(f"{at('least(floor(_h) + 1, _n - 1)')} AS _b")
     )
+    lost = F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")
+    picked = picked.withColumns({c: F.coalesce(c, lost) for c in ("_a", "_b")})
     return picked.select(*keys, "prob", F.expr("_a + (_h - floor(_h)) * (_b - _a) AS q"), F.expr("_n AS n"))
 
 

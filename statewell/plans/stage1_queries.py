@@ -112,6 +112,15 @@ def d4_reconstruct(spark, sf):
     return rounded(out.select("layer", "sample_id", "feature_id", value.alias("value")), 7, "value")
 
 
+@query("d3_sketch_spectrum", SVD3 + " SELECT layer, component, round(sigma, 5) AS sigma FROM spectrum")
+def d3_sketch(spark, sf):
+    """Leading values from the randomised range finder, asked for by name; with as many directions as features it is exact."""
+    from statewell.operators.sketch import sketch_components
+
+    d = sketch_components(src.cells(spark, sf), ["layer"], 3, oversample=61, power=2)
+    return rounded(d.spectrum, 5, "sigma")
+
+
 @query("d4_spectrum", SVD3 + " SELECT layer, component, round(sigma, 7) AS sigma FROM spectrum")
 def d4_spectrum(spark, sf):
     return rounded(svd(spark, sf, 3).spectrum, 7, "sigma")
@@ -127,10 +136,23 @@ def d4_scores(spark, sf):
     return rounded(svd(spark, sf, 3).scores, 6, "coord")
 
 
-@query("d4_scores_sample_side", SVD3 + " SELECT layer, sample_id, component, round(coord, 6) + 0.0 AS coord FROM scores")
+TURNED = f"""WITH {CELLS}, g1 AS MATERIALIZED (SELECT a.layer, a.feature_id AS i, b.feature_id AS j, sum(a.v * b.v) AS v
+       FROM (SELECT *, value - avg(value) OVER (PARTITION BY sample_id) AS v FROM cells) a
+       JOIN (SELECT *, value - avg(value) OVER (PARTITION BY sample_id) AS v FROM cells) b ON a.layer = b.layer AND a.sample_id = b.sample_id
+       GROUP BY ALL), {eigen_sql(3)}"""
+
+
+@query(
+    "d4_scores_sample_side",
+    TURNED
+    + """ SELECT l.layer, feature_id AS sample_id, component, round(pow(loading * sigma, 2), 6) AS energy
+          FROM loadings l JOIN spectrum USING (layer, component)""",
+)
 def d4_sample_side(spark, sf):
-    """The same scores from the sample-side matrix of long cells."""
-    return rounded(dec.svd(src.cells(spark, sf), k=3, side="samples").scores, 6, "coord")
+    """The matrix turned: 64 positions as samples, every vector a feature; solved on the sample side whatever the number of vectors."""
+    turned = src.cells(spark, sf).select("layer", F.col("feature_id").alias("sample_id"), F.col("sample_id").alias("feature_id"), "value")
+    out = dec.svd(turned, k=3, side="samples").scores
+    return rounded(out.select("layer", "sample_id", "component", (F.col("coord") * F.col("coord")).alias("energy")), 6, "energy")
 
 
 @query(
@@ -374,26 +396,26 @@ def d15(spark, sf):
 @query(
     "d15_block_gram_sum",
     SCALED
-    + """ SELECT a.sample_id AS i, b.sample_id AS j, round(sum(a.v * b.v), 8) + 0.0 AS v
-          FROM centred a JOIN centred b ON a.feature_id = b.feature_id GROUP BY ALL""",
+    + f""", {GRAM}, e AS (SELECT sample_id, sum(v * v) AS energy FROM centred GROUP BY 1)
+          SELECT sample_id, round(energy, 9) AS energy, (SELECT round(sum(v * v), 8) FROM g1) AS frobenius, (SELECT round(sum(energy), 8) FROM e) AS trace FROM e""",
 )
 def d15_gram(spark, sf):
-    """Sample-side matrix of the concatenation: the sum over the scaled layers."""
+    """The sum of the scaled layers' sample-side matrices: its diagonal, trace and squared Frobenius norm.
+
+    The norm is that of the feature-side matrix, so no pair of samples is built.
+    """
     from statewell.operators.linalg import rows_from_cells
 
     cells = src.two_layers(spark, sf)
     scaled = dec.block_scale(cells, dec.layer_scaling(cells)).select(
         F.when(F.col("layer").isNotNull(), "all").alias("layer"), "sample_id", F.concat_ws(":", "layer", "feature_id").alias("feature_id"), "value"
     )
-    rows = rows_from_cells(scaled, ["layer"], "feature_id", "sample_id")
-    ids = materialise(scaled.groupBy("layer").agg(F.array_sort(F.collect_set("sample_id")).alias("ids")))
-    blocks = gram_blocks(rows, ["layer"], "none").join(ids, "layer")
-    wide = blocks.select("block", "m", "ids", F.posexplode("gram").alias("pos", "v"))
-    row = F.col("block") * F.floor(F.lit(65536) / F.col("m")) + F.floor(F.col("pos") / F.col("m"))
-    out = wide.select(
-        F.get("ids", row.cast("int")).alias("i"), F.get("ids", F.col("pos") % F.col("m")).alias("j"), "v"
-    )
-    return rounded(out, 8, "v")
+    rows = materialise(rows_from_cells(scaled, ["layer"], "sample_id", "feature_id"))
+    square = lambda name: F.aggregate(name, F.lit(0.0), lambda s, x: s + x * x)
+    energy = rows.select("sample_id", square("vec").alias("energy"))
+    frobenius = gram_blocks(rows, ["layer"], "none").agg(F.sum(square("gram")).alias("f")).scalar()
+    out = energy.withColumns({"frobenius": frobenius, "trace": energy.agg(F.sum("energy").alias("t")).scalar()})
+    return rounded(rounded(out, 9, "energy"), 8, "frobenius", "trace")
 
 
 @query(
