@@ -18,13 +18,15 @@ from statewell.plans.stage1_queries import LABEL_AXES, PROJECTORS, UNCENTRED, pr
 @query(
     "e1_subspace_angle",
     LABEL_AXES
-    + """, p AS (SELECT a.loading AS a, b.loading AS b FROM axes a JOIN axes b USING (feature_id) WHERE a.component = 1 AND b.component = 2)
-         SELECT 'all' AS layer, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 8) AS cosine,
-                round(degrees(acos(least(1.0, abs(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))))))), 6) AS angle_deg FROM p""",
+    + """, p AS (SELECT a.component AS pair, a.loading AS a, b.loading AS b FROM axes a JOIN axes b ON a.feature_id = b.feature_id AND b.component = a.component + 1)
+         SELECT 'all' AS layer, pair, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 8) AS cosine,
+                round(degrees(acos(least(1.0, abs(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))))))), 6) AS angle_deg FROM p GROUP BY pair""",
 )
 def e1(spark, sf):
+    """Angles between the axes of neighbouring labels."""
     axes = src.label_loadings(spark, sf)
-    out = ev.subspace_angle(axes.filter("component = 1"), axes.filter("component = 2"), ["layer"])
+    first, second = (axes.withColumn("pair", F.col("component") - shift) for shift in (0, 1))
+    out = ev.subspace_angle(first.drop("component"), second.drop("component"), ["layer", "pair"])
     return rounded(rounded(out, 8, "cosine"), 6, "angle_deg")
 
 

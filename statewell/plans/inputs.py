@@ -55,10 +55,8 @@ def narrow(spark: SparkSession, sf: str, *positions: int) -> DataFrame:
 
 
 def label_loadings(spark: SparkSession, sf: str) -> DataFrame:
-    """Two fixed axes: the mean vectors of labels 0 and 1."""
-    labelled = table(spark, sf, "embeddings").filter("label IN (0, 1)").select(
-        "label", F.posexplode("embedding").alias("pos", "v")
-    )
+    """One axis a label: the mean vectors of all labels."""
+    labelled = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
     return labelled.groupBy(
         F.lit("all").alias("layer"), (F.col("label") + 1).alias("component"),
         F.concat(F.lit("d"), F.lpad(F.col("pos").cast("string"), 3, "0")).alias("feature_id"),

@@ -257,7 +257,7 @@ def d11(spark, sf):
 
 
 LABEL_AXES = f"""WITH {CELLS}, axes AS (SELECT label + 1 AS component, feature_id, avg(value) AS loading
-        FROM cells WHERE label IN (0, 1) GROUP BY ALL)"""
+        FROM cells GROUP BY ALL)"""
 
 
 def _halves(spark, sf):
@@ -282,7 +282,7 @@ def _halves(spark, sf):
 )
 def d13_secondary(spark, sf):
     _, new = _halves(spark, sf)
-    out = dec.project_cohort(new, src.label_loadings(spark, sf), centre="own", k=2)
+    out = dec.project_cohort(new, src.label_loadings(spark, sf), centre="own", k=10)
     return rounded(out, 8, "coord")
 
 
@@ -295,7 +295,7 @@ def d13_secondary(spark, sf):
 )
 def d13_discovery(spark, sf):
     old, new = _halves(spark, sf)
-    out = dec.project_cohort(new, src.label_loadings(spark, sf), dec.feature_means(old), k=2)
+    out = dec.project_cohort(new, src.label_loadings(spark, sf), dec.feature_means(old), k=10)
     return rounded(out, 8, "coord")
 
 
