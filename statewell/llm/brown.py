@@ -32,7 +32,9 @@ from statewell.llm.base import LOWER_BYTES, stored
 CLASSES, ENDINGS, SWEEPS = 64, 256, 10
 #: A word with 1/UNIT_SHARE of all tokens is a unit of its own, one with 1/KNOWN_SHARE travels with its count; at most so many can.
 UNIT_SHARE, KNOWN_SHARE = 10_000, 2_000_000
-HELD = 500_000
+HELD = 200_000
+#: Bigrams that a task holds before it folds them into its sums, and sums before it sends them.
+FOLD, SUMS = 500_000, 1_500_000
 END = b""
 
 
@@ -116,9 +118,9 @@ def count_bigrams(texts: DataFrame, shipped) -> DataFrame:
                 _, unit, _ = lexicon.read(text.as_py())
                 held.append(np.concatenate(([0], unit[:-1])) * size + unit)
                 n_held += len(unit)
-                if n_held > 2_000_000:
+                if n_held > FOLD:
                     fold()
-                    if len(code) > 4_000_000:
+                    if len(code) > SUMS:
                         yield out()
                         code, n = code[:0], n[:0]
         fold()
@@ -239,9 +241,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             cls, step, emit = (np.array(model[k]) for k in ("cls", "step", "emit"))
             place = np.zeros(lexicon.units)
             place[lexicon.first_ending:] = places
-        rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for batch in batches:
-            n, seen, base, full, away = [], [], [], [], []
+            n, seen, base, full = [], [], [], []
+            away: list[bytes] = []
+            times: list[int] = []
+            ends = [0]
             for body in batch.column(1):
                 at, unit, others = lexicon.read(body.as_py())
                 here = at >= 0
@@ -255,12 +259,17 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                     full.append(float(total + log_count[unit >= lexicon.first_ending].sum()))
                 else:
                     full.append(base[-1])
-                away.append([{"word": w, "n": k} for w, k in Counter(others).items()] if tokens else [])
+                if tokens:
+                    rare = Counter(others)
+                    away += rare.keys()
+                    times += rare.values()
+                ends.append(len(away))
                 if not tokens:
                     base[-1] = full[-1] = float(len(at) * (np.log10(0.5) - floor))
+            pairs = pa.StructArray.from_arrays([pa.array(away, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(full, pa.float64()), pa.array(away, rare)],
+                 pa.array(full, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                 names=["key", "held_out", "n_tokens", "n_known", "base", "full", "rare"],
             )
 
