@@ -17,8 +17,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, 4 of 64 bits)."""
-    return simhash.keep_first(docs, words=5, distance=4)
+    """One document of each group of near copies stays: five-word shingles, any of three fingerprints within 4 of 64 bits."""
+    return simhash.keep_first(docs, words=5, distance=4, prints=3)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,31 +38,46 @@ CHUNK = 1 << 16
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """Bit i is 1 if it is set in over half of the shingles' XXH64; shingles are runs of words joined by one blank."""
+    return sketch(text, words, 1, seed)[0]
+
+
+def sketch(text: str | None, words: int, prints: int, seed: int = 42) -> list[int]:
+    """Several fingerprints: the first of the hashes themselves, each further one of the hashes mixed anew."""
     found = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
     if not found:
-        return 0
+        return [0] * prints
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     last = ends[words - 1:] if len(found) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((prints, BITS), np.int64)
     spans = list(zip(starts[:n].tolist(), last.tolist()))
     for at in range(0, n, CHUNK):
         h = np.fromiter((digest(joined[a:b], seed) for a, b in spans[at:at + CHUNK]), np.uint64, min(CHUNK, n - at))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+        for i in range(prints):
+            mixed = h if i == 0 else remixed(h, i)
+            ones[i] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int(np.packbits((2 * o > n).astype(np.uint8), bitorder="little").view(np.uint64)[0]) for o in ones]
+
+
+def remixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Other bits for the same hashes: multiply by an odd number of the turn between two xor-shifts."""
+    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) & 0xFFFFFFFFFFFFFFFF)
+    out = (h ^ (h >> np.uint64(32))) * odd
+    return out ^ (out >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, carry: list[Column] | None = None) -> DataFrame:
-    """``(row, id, fp)``: the columns ``carry`` of every row, its id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, carry: list[Column] | None = None, prints: int = 1) -> DataFrame:
+    """``(row, id, fp, more)``: the columns ``carry`` of every row, its id, its fingerprint as a signed long and any further ones."""
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).astype(np.int64))
+    @F.pandas_udf("array<long>")
+    def fps(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(sketch(t, words, prints), dtype=np.uint64).astype(np.int64) for t in texts], dtype=object)
 
-    return docs.select(F.struct(*(carry or [F.col(key)])).alias("row"), F.col(key).alias("id"), fp(F.col(text)).alias("fp"))
+    found = docs.select(F.struct(*(carry or [F.col(key)])).alias("row"), F.col(key).alias("id"), fps(F.col(text)).alias("fps"))
+    return found.select("row", "id", F.col("fps")[0].alias("fp"), F.slice("fps", 2, max(1, prints - 1)).alias("more"))
 
 
 def leading_bits(n: int) -> int:
@@ -174,30 +189,51 @@ def linked(fps: DataFrame, leading: int, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, carry: list[Column] | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, carry: list[Column] | None = None, prints: int = 1
 ) -> DataFrame:
     """``(row, id, fp, component_id, root)`` for every row; fingerprints link at ``distance`` or fewer differing bits (an even number).
 
+    With several ``prints`` texts link where any of their fingerprints do.
+
     ``row`` holds the columns ``carry`` (the id, if none are named); ``root`` is the fingerprint that names the group.
     """
     if distance % 2:
         raise ValueError("distance must be even: a ball has half of it as its radius")
-    prints = stored(fingerprints(docs, key, text, words, carry), "simhash-prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    root = components(linked(distinct, leading_bits(distinct.count()), distance // 2), "simhash-edges")
+    found = stored(fingerprints(docs, key, text, words, carry, prints), "simhash-prints")
+    distinct = stored(found.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    edges = linked(distinct, leading_bits(distinct.count()), distance // 2)
+    for i in range(1, prints):
+        edges = edges.unionByName(bridged(found.select("fp", F.col("more")[i - 1].alias("other")).distinct(), i, distance // 2))
+    root = components(edges, "simhash-edges")
     named = distinct.join(root, distinct["fp"] == root["vertex"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("first").alias("component_id"))
     member = named.join(first, "root").select("fp", "root", "component_id")
-    return prints.join(member, "fp").select("row", "id", "fp", "component_id", "root")
+    return found.join(member, "fp").select("row", "id", "fp", "component_id", "root")
+
 
+def bridged(pairs: DataFrame, turn: int, radius: int) -> DataFrame:
+    """Edges of a further fingerprint ``other``, each of its values a vertex of its own that bridges the first ones it stands beside.
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
+    Only values that link, or stand beside several first fingerprints, become vertices.
+    """
+    pairs = stored(pairs, "simhash-pairs")
+    values = stored(pairs.groupBy("other").agg(F.min("fp").alias("low"), F.max("fp").alias("high")), "simhash-others")
+    links = stored(linked(values.select(F.col("other").alias("fp")), leading_bits(values.count()), radius), "simhash-links")
+    active = links.select("a").union(links.select("b")).union(values.filter("low < high").select("other")).distinct()
+    bridges = pairs.join(active.withColumnRenamed("a", "other"), "other", "left_semi")
+    vertex = lambda c: F.xxhash64(F.lit(turn), F.col(c))
+    return links.select(vertex("a").alias("a"), vertex("b").alias("b")).unionByName(
+        bridges.select(F.col("fp").alias("a"), vertex("other").alias("b"))
+    )
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, prints: int = 3) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id (null last); same columns.
 
     Groups are found on ids and hashes alone; the texts are shuffled once, to meet the rows that stay. Of equal rows one stays.
     """
     ident = identity(key, text)
-    found = near_duplicates(docs, key, text, words, distance, carry=ident)
+    found = near_duplicates(docs, key, text, words, distance, carry=ident, prints=prints)
     order = F.struct(F.col("row._no").alias("no"), F.col("row._k").alias("k"), F.col("row._h").alias("h"))
     first = found.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.no").alias("_no"), F.col("r.h").alias("_h"))
     rows = docs.select(F.struct("*").alias("row"), *ident).join(first.distinct(), ["_k", "_no", "_h"], "left_semi")

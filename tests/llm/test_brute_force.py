@@ -140,6 +140,17 @@ def test_ball_hashing_is_exact(spark):
     assert components(x.tolist(), zip(*[z.tolist() for z in whole])) == components(x.tolist(), zip(*[z.tolist() for z in passes]))
 
 
+def test_several_fingerprints(spark):
+    """A chain that needs the second fingerprint for one link and the first for the next."""
+    docs = table(spark, SF, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fp = {i: simhash.sketch(t, 3, 3) for i, t in texts.items()}
+    near = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(fp[a], fp[b]))
+    want = components(fp, [(a, b) for a in fp for b in fp if a < b and near(a, b)])
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, words=3, prints=3).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_near_copies_keep_the_first(spark):
     base = [f"w{i} of document" for i in range(3000)]
     rows = [(5, " ".join(base)), (3, " ".join(base)), (3, " ".join(base)), (9, " ".join([*base, "end"])), (1, "something else altogether in here"), (None, " ".join(base))]
@@ -390,8 +401,9 @@ def test_pipeline_by_brute_force(spark, docs):
     clean = [r["doc_id"] for r in kept["toxicity"]]
     rate = {r["doc_id"]: r["score"] for r in catalog.op1_toxicity(spark, SF).collect()}
     assert sorted(clean) == sorted(i for i in docs if rate[i] < 0.5)
-    fp = {i: simhash.fingerprint(docs[i]["text"], 5) for i in clean}
-    group = components(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    fp = {i: simhash.sketch(docs[i]["text"], 5, 3) for i in clean}
+    near = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(fp[a], fp[b]))
+    group = components(fp, [(a, b) for a in fp for b in fp if a < b and near(a, b)])
     assert sorted(r["doc_id"] for r in kept["near_copies"]) == sorted(set(group.values()))
     item_words = [(str(r["item_id"]), decontaminate.words_of(r["text"])) for r in table(spark, SF, "benchmark").collect()]
     windows = {tuple(w[i:i + min(10, len(w))]) for _, w in item_words for i in range(len(w) - min(10, len(w)) + 1) if w}
