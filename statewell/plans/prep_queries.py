@@ -549,14 +549,14 @@ def p17(spark, sf):
 @query(
     "p19_flag_conflicts",
     """SELECT l_orderkey, l_linenumber, l_suppkey, ok AS include,
-              CASE WHEN ok THEN '' ELSE 'group/DEG_ID conflict' END AS exclusion_reason,
+              CASE WHEN ok THEN '' ELSE 'line status differs' END AS exclusion_reason,
               CASE WHEN ok THEN 'matched' ELSE 'group_deg_conflict' END AS metadata_status
        FROM (SELECT *, l_linestatus = CASE WHEN l_returnflag = 'N' THEN 'O' ELSE 'F' END AS ok FROM lineitem)""",
 )
 def p19(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_returnflag")
     right = F.when(F.col("l_returnflag") == "N", "O").otherwise("F")
-    return prep.flag_conflicts(df, F.col("l_linestatus"), right, "group/DEG_ID conflict", "group_deg_conflict").drop(
+    return prep.flag_conflicts(df, F.col("l_linestatus"), right, "line status differs", "group_deg_conflict").drop(
         "l_linestatus", "l_returnflag"
     )
 
@@ -565,8 +565,8 @@ def p19(spark, sf):
     "p20_join_with_reasons",
     """WITH s AS (SELECT p_name, max(p_brand) AS tissue FROM part WHERE p_size > 48 GROUP BY 1)
        SELECT p_partkey, p_name, s.p_name IS NOT NULL AS include,
-              CASE WHEN s.p_name IS NOT NULL THEN '' WHEN contains(lower(p_name), 'ring') THEN 'non-gonad body sample'
-                   ELSE 'no supplied metadata match' END AS exclusion_reason,
+              CASE WHEN s.p_name IS NOT NULL THEN '' WHEN contains(lower(p_name), 'ring') THEN 'other kind of part'
+                   ELSE 'no entry in the list' END AS exclusion_reason,
               CASE WHEN s.p_name IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS metadata_status,
               CASE WHEN s.p_name IS NOT NULL THEN s.tissue WHEN contains(lower(p_name), 'ring') THEN 'body'
                    ELSE 'unknown' END AS tissue
@@ -576,8 +576,8 @@ def p20(spark, sf):
     part = table(spark, sf, "part")
     source = part.filter("p_size > 48").groupBy("p_name").agg(F.max("p_brand").alias("tissue"))
     return prep.join_with_reasons(
-        part.select("p_partkey", "p_name"), source, "p_name", "ring", "non-gonad body sample",
-        "no supplied metadata match", "body", "unknown",
+        part.select("p_partkey", "p_name"), source, "p_name", "ring", "other kind of part",
+        "no entry in the list", "body", "unknown",
     )
 
 
