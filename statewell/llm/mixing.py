@@ -3,7 +3,8 @@
 A source's target over its size says how often each of its documents is taken: the whole part always, the rest as an
 inclusion probability. The probabilities walk inside the unit cube along directions that keep the weighted document and
 word totals (the null space of the constraints) until at most two per block are left between 0 and 1. What is left of
-all blocks forms the blocks of the next round, some hundred times fewer rows; the last few of a source land.
+all blocks forms the blocks of the next round, some hundred times fewer rows; the last eight of a source land as near to
+their expected words as they can.
 
 Definitions:
 * size is the number of words; a null text has none; documents without words can be taken but add nothing;
@@ -27,6 +28,8 @@ from statewell.llm.base import identity, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 512
+#: Open units that a source's last block leaves to the landing.
+LANDING = 8
 EPS = 1e-9
 
 
@@ -94,13 +97,19 @@ def move(units: list[list], v: list[float], draw: float) -> None:
 
 
 def land(units: list[list], draw: float) -> None:
-    """Landing: drop the document total; two units trade words, the last one is drawn."""
-    if len(units) == 2:
-        a, b = (u[1] for u in units)
-        move(units, [float(b), -float(a)] if a and b else [1.0, 0.0] if not a else [0.0, 1.0], draw)
-    for u in units:
-        if 0.0 < u[0] < 1.0:
-            u[0] = 1.0 if (draw * 7919.0) % 1.0 < u[0] else 0.0
+    """Landing: of all ways to take or leave the last units, the one whose words come nearest to what is expected of them.
+
+    The number of documents decides between ways that are equally near, then the draw.
+    """
+    n = len(units)
+    words, docs = sum(u[0] * u[1] for u in units), sum(u[0] for u in units)
+    best = None
+    for way in range(1 << n):
+        taken = [u for i, u in enumerate(units) if way >> i & 1]
+        off = (round(abs(sum(u[1] for u in taken) - words), 6), round(abs(len(taken) - docs), 6), (way + int(draw * (1 << n))) % (1 << n))
+        best = min(best, (off, way)) if best else (off, way)
+    for i, u in enumerate(units):
+        u[0] = float(best[1] >> i & 1)
 
 
 class Walk:
@@ -114,12 +123,10 @@ class Walk:
         return uniform(self.seed, self.label, self.turn, *(u[2] for u in self.open))
 
     def add(self, unit: list) -> list[list]:
-        """Take a unit in; returns those that are decided now."""
+        """Take a unit in; returns those that are decided now. Three open units walk, in the last block once it has more than it lands."""
         self.open.append(unit)
-        if len(self.open) < 3 and 0.0 < unit[0] < 1.0:
-            return []
-        if len(self.open) == 3 and all(0.0 < u[0] < 1.0 for u in self.open):
-            move(self.open, direction(self.open), self._draw())
+        if 0.0 < unit[0] < 1.0 and len(self.open) > (LANDING if self.last else 2):
+            move(self.open[:3], direction(self.open[:3]), self._draw())
         return self._settled()
 
     def end(self) -> list[list]:
@@ -139,7 +146,8 @@ def flight(units: DataFrame, seed: int, turn: int, block: int = BLOCK) -> DataFr
     """One round: every block of a source walks until at most two of its probabilities are open.
 
     ``units`` has ``(row, source, size, id, hash, p, rank, n)``, n being the source's open units. The rows come back
-    with their new p. Larger documents walk first, so that those left are small.
+    with their new p. Larger documents walk first, so that those handed on are small; in a source's last block they come last,
+    so that the landing has the documents whose sums differ most to choose from.
     """
     names, schema = units.columns, units.schema
     p_at, size_at, id_at, rank_at = (names.index(c) for c in ("p", "size", "id", "rank"))
@@ -179,7 +187,8 @@ def flight(units: DataFrame, seed: int, turn: int, block: int = BLOCK) -> DataFr
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")
     laid = units.withColumn("_block", F.pmod(F.col("hash"), blocks)).withColumn("_blocks", blocks)
-    spread = laid.repartition("rank", "_block").sortWithinPartitions("rank", "_block", F.desc("size"), "hash", "id")
+    turn_order = F.when(F.col("_blocks") == 1, F.col("size")).otherwise(-F.col("size"))
+    spread = laid.repartition("rank", "_block").sortWithinPartitions("rank", "_block", turn_order, "hash", "id")
     return spread.mapInArrow(walk, schema)
 
 
