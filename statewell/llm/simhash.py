@@ -33,7 +33,7 @@ BITS = 64
 #: Values of all balls that one leading part should hold; with fewer fingerprints the parts only get smaller.
 PART_VALUES = 1 << 22
 LEAST_LEADING = 10
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -72,11 +72,15 @@ def remixed(h: np.ndarray, turn: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, carry: list[Column] | None = None, prints: int = 1) -> DataFrame:
     """``(row, id, fp, more)``: the columns ``carry`` of every row, its id, its fingerprint as a signed long and any further ones."""
 
-    @F.pandas_udf("array<long>")
-    def fps(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(sketch(t, words, prints), dtype=np.uint64).astype(np.int64) for t in texts], dtype=object)
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([sketch(t.as_py(), words, prints) for t in batch.column(2)], dtype=np.uint64).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * prints), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["row", "id", "fps"])
 
-    found = docs.select(F.struct(*(carry or [F.col(key)])).alias("row"), F.col(key).alias("id"), fps(F.col(text)).alias("fps"))
+    source = docs.select(F.struct(*(carry or [F.col(key)])).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    schema = source.select("row", "id", F.array(F.lit(0).cast("long")).alias("fps")).schema
+    found = source.mapInArrow(sketches, schema)
     return found.select("row", "id", F.col("fps")[0].alias("fp"), F.slice("fps", 2, max(1, prints - 1)).alias("more"))
 
 
@@ -125,7 +129,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def meet(part: int, fp: np.ndarray, leading: int, radius: int, values: int = 8 * PART_VALUES) -> tuple[np.ndarray, np.ndarray]:
+def meet(
+    part: int, fp: np.ndarray, leading: int, radius: int, values: int = 2 * PART_VALUES, masks: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """``(fingerprint, root)`` of those that share a ball value starting with ``part``; root is one they reach.
 
     Values are laid out in passes over a hash of the value, so memory stays bounded whatever meets here.
@@ -133,7 +139,7 @@ def meet(part: int, fp: np.ndarray, leading: int, radius: int, values: int = 8 *
     low = BITS - leading
     fp = np.unique(fp)
     high = np.bitwise_count((fp >> np.uint64(low)) ^ np.uint64(part))
-    masks = flips(low, radius)
+    masks = flips(low, radius) if masks is None else masks
     sets = [(np.nonzero(high == j)[0], np.concatenate(masks[: radius - j + 1])) for j in range(radius + 1)]
     total = sum(len(i) * len(m) for i, m in sets)
     passes = -(-total // values) or 1
@@ -181,8 +187,10 @@ def linked(fps: DataFrame, leading: int, radius: int = 2) -> DataFrame:
     are the same, and the edges stay as few as their members.
     """
 
+    masks = flips(BITS - leading, radius)
+
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = meet(int(pdf["part"].iat[0]), pdf["fp"].to_numpy().view(np.uint64), leading, radius)
+        a, b = meet(int(pdf["part"].iat[0]), pdf["fp"].to_numpy().view(np.uint64), leading, radius, masks=masks)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return _sent(fps, leading, radius).groupBy("part").applyInPandas(join, "a long, b long")

@@ -59,8 +59,12 @@ def runs_of(body: bytes) -> np.ndarray:
 
 def document_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Runs and the number of documents that have them."""
-    found = [np.unique(runs_of(b)) for b in bodies]
-    return np.unique(np.concatenate(found), return_counts=True)
+    runs, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for at in range(0, len(bodies), 250):  # folded in steps, so that memory follows the distinct runs
+        new, n = np.unique(np.concatenate([np.unique(runs_of(b)) for b in bodies[at:at + 250]]), return_counts=True)
+        both, place = np.unique(np.concatenate((runs, new)), return_inverse=True)
+        runs, counts = both, np.bincount(place, np.concatenate((counts, n)), len(both)).astype(np.int64)
+    return runs, counts
 
 
 def contrast(own: tuple, n_own: int, other: tuple, n_other: int) -> dict[int, float]:
