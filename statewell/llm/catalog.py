@@ -54,6 +54,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_license_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_parts(table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -86,7 +90,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_license_scan, op5_main_text, op6_language_model, op7_personal_data, op8_mixing, op9_sharding, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_simhash, op4_license_scan, op4_license_parts, op5_main_text, op6_language_model, op7_personal_data, op8_mixing, op9_sharding, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:

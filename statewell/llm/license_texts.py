@@ -95,3 +95,130 @@ SPELLINGS = (
     ("sublicence", "sublicense"),
     ("wilful", "willful"),
 )
+
+_CC_TERMS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_GNU_VERSIONS = {"GPL": ("1", "2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+#: (license, its names); every name stands in each of LEADS.
+_NAMES = [
+    ("MIT", ("MIT License", "MIT", "Expat License")),
+    ("ISC", ("ISC License",)),
+    ("Zlib", ("zlib License", "zlib/libpng License")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "Simplified BSD License", "2-Clause BSD License", "BSD-2-Clause License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "New BSD License", "Modified BSD License", "3-Clause BSD License", "BSD-3-Clause License")),
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0 License")),
+    ("MPL-2.0", ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "Mozilla Public License, v. 2.0")),
+    ("EPL-2.0", ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0")),
+    ("BSL-1.0", ("Boost Software License, Version 1.0", "Boost Software License 1.0")),
+    ("Unlicense", ("Unlicense",)),
+    ("CC0-1.0", ("CC0 1.0", "CC0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal License")),
+]
+for _short, _full in _GNU.items():
+    for _v in _GNU_VERSIONS[_short]:
+        for _long in {_v, f"{_v}.0" if "." not in _v else _v}:
+            _later = (
+                f"{_full}, version {_long} or later", f"{_full}, version {_long} or any later version", f"{_full} v{_long} or later",
+                f"{_full}, version {_long}, or (at your option) any later version", f"{_short} v{_long} or later", f"{_short} {_long} or later", f"{_short}v{_long} or later", f"{_short}v{_long}+",
+            )
+            _only = (
+                f"{_full}, version {_long}", f"{_full} v{_long}", f"{_full} version {_long}", f"{_full} {_long}", f"{_short} v{_long}", f"{_short} {_long}",
+                f"{_short}v{_long}", f"{_short}-{_long}", f"{_full}, version {_long} only", f"{_full} v{_long} only", f"{_short} version {_long}",
+            )
+            _id = _v if "." in _v else f"{_v}.0"
+            _NAMES += [(f"{_short}-{_id}-or-later", _later[:-1]), (f"{_short}-{_id}", _only)]
+for _short, _full in _CC_TERMS.items():
+    for _v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        _NAMES.append(
+            (
+                f"CC-{_short}-{_v}",
+                (
+                    f"CC {_short} {_v}", f"CC-{_short} {_v} License", f"CC {_short} {_v} International", f"Creative Commons {_full} {_v}",
+                    f"Creative Commons {_full} {_v} License", f"Creative Commons {_full} {_v} International License",
+                    f"Creative Commons {_full} {_v} International", f"Creative Commons {_full} {_v} Unported License",
+                    f"Creative Commons {_full} {_v} International Public License",
+                ),
+            )
+        )
+_LEADS = (
+    "Licensed under the", "Licensed under", "Released under the", "Released under", "Distributed under the", "Distributed under",
+    "This work is licensed under the", "This work is licensed under a", "This work is licensed under", "This project is licensed under the",
+    "This software is licensed under the", "This program is licensed under the", "This software is released under the", "This work is released under the",
+    "This file is licensed under the", "This code is licensed under the", "This document is licensed under the", "This article is licensed under the",
+    "This content is licensed under", "This content is licensed under a", "License:", "SPDX-License-Identifier:",
+)
+_APACHE_NOTICE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a '
+    "copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed "
+    'under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+    "the specific language governing permissions and limitations under the License."
+)
+_MPL_NOTICE = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You "
+    "can obtain one at https://mozilla.org/MPL/2.0/."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered "
+    'by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+    "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the "
+    "Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies "
+    "of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of "
+    "machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+    "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions "
+    "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We "
+    "make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+    "act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+    "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def _gnu_notice(name: str, version: str, later: bool) -> str:
+    also = "either " if later else ""
+    tail = f"version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software "
+        f"Foundation, {also}{tail}"
+    )
+
+
+#: (license, text) of standard statements, for lines and blocks; TEXTS are for whole documents and their blocks.
+STATEMENTS = (
+    [(name, f"{lead} {said}") for name, spellings in _NAMES for said in spellings for lead in _LEADS]
+    + [(name, f"SPDX-License-Identifier: {name}{end}") for name in sorted({n for n, _ in _NAMES}) for end in ("", "-only")]
+    + [
+        (f"{s}-{v if '.' in v else v + '.0'}{'-or-later' if later else ''}", _gnu_notice(full, v, later))
+        for s, full in _GNU.items() for v in _GNU_VERSIONS[s] for later in (False, True)
+    ]
+    + [("Apache-2.0", _APACHE_NOTICE), ("Apache-2.0", _APACHE_NOTICE.split("\n\n")[0]), ("MPL-2.0", _MPL_NOTICE), ("BSL-1.0", _BOOST)]
+    + [("Apache-2.0", _APACHE_NOTICE.split("\n\n")[2]), ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{_BOOST}")]
+    + [("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE.split("\n\n")[0]), ("BSL-1.0", _BOOST.split("\n\n")[0])]
+    + [("MIT", f"{_GRANT_MIT}, subject to the following conditions:"), ("MIT-0", f"{_GRANT_MIT}."), ("ISC", _ISC.split("\n\n")[0])]
+    + [("0BSD", TEXTS["0BSD"].split("\n\n")[0])]
+    + [("BSD-3-Clause", _NAMES_BSD.strip()), ("BSD", _TERMS_BSD.split("\n\n")[0]), ("Zlib", _ZLIB.split("\n\n")[1])]
+)
+
+#: Digests of the canonical form of texts too long to stand here.
+DIGESTS = {
+    "Apache-2.0": "f714f7e6b7c9a096246ef6da791fd51c93e520e9efd6ebda82bea82608c739c3",
+    "CC0-1.0": "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137",
+    "GFDL-1.2": "8aeaf5e8e3488d7c9d65e8416c911f7fe37b3bd88429feabc64ec6283117b8eb",
+    "GFDL-1.3": "fb286966d28cff8aa94a7303127495846303801d66ef183d841d5971038d2aa0",
+    "GPL-1.0": "3b7c00b08d5c6de2349faf7a31bb6e49ff8a2273a7cfdd16f96859720b00d9ef",
+    "GPL-2.0": "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61",
+    "GPL-3.0": "6ff3a9a8b11f055a64cb21003d19dbe88dd6a41f7487672c402dfe38b6fe2582",
+    "LGPL-2.0": "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24",
+    "LGPL-2.1": "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b",
+    "LGPL-3.0": "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938",
+    "MPL-1.1": "260b601de5d5e5ec00bd903c42a1ac3b0cf3eebd7b1e529b025961a8d981cb56",
+    "MPL-2.0": "a90ba5346ad1927fede05edb2d96afdd4948d68d16cef5d29e84239426134356",
+}
