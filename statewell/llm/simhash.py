@@ -130,10 +130,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def meet(
-    part: int, fp: np.ndarray, leading: int, radius: int, values: int = 2 * PART_VALUES, masks: list[np.ndarray] | None = None
+    part: int, fp: np.ndarray, leading: int, radius: int, values: int = 2 * PART_VALUES, masks: list[np.ndarray] | None = None, stars: bool = True
 ) -> tuple[np.ndarray, np.ndarray]:
     """``(fingerprint, root)`` of those that share a ball value starting with ``part``; root is one they reach.
 
+    Without ``stars`` the neighbours at each shared value, all of them within twice the radius of each other.
+
     Values are laid out in passes over a hash of the value, so memory stays bounded whatever meets here.
     """
     low = BITS - leading
@@ -174,13 +176,15 @@ def meet(
     if not links:
         return fp[:0], fp[:0]
     pair = np.unique(np.concatenate(links))
+    if not stars:
+        return fp[pair // len(fp)], fp[pair % len(fp)]
     root = _roots(len(fp), pair // len(fp), pair % len(fp))
     touched = np.unique(np.concatenate([pair // len(fp), pair % len(fp)]))
     moved = touched[root[touched] != touched]
     return fp[moved], fp[root[moved]]
 
 
-def linked(fps: DataFrame, leading: int, radius: int = 2) -> DataFrame:
+def linked(fps: DataFrame, leading: int, radius: int = 2, stars: bool = True) -> DataFrame:
     """Edges ``(a, b)`` that join all distinct fingerprints within ``2 * radius`` bits; within a part one star per group.
 
     The groups that a part finds may join fingerprints further apart than that, through others; as components they
@@ -190,7 +194,7 @@ def linked(fps: DataFrame, leading: int, radius: int = 2) -> DataFrame:
     masks = flips(BITS - leading, radius)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = meet(int(pdf["part"].iat[0]), pdf["fp"].to_numpy().view(np.uint64), leading, radius, masks=masks)
+        a, b = meet(int(pdf["part"].iat[0]), pdf["fp"].to_numpy().view(np.uint64), leading, radius, masks=masks, stars=stars)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return _sent(fps, leading, radius).groupBy("part").applyInPandas(join, "a long, b long")
@@ -235,15 +239,72 @@ def bridged(pairs: DataFrame, turn: int, radius: int) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, prints: int = 3) -> DataFrame:
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    """Of two sets; two empty ones are equal."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def shingles(text: str | None, words: int) -> set[bytes]:
+    """The runs that ``sketch`` hashes."""
+    found = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
+    return {b" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``(a, b)`` whose texts (``t, text``) have shingles of at least that Jaccard similarity."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, left, good = None, set(), []
+            for a, one, two in zip(batch.column(0), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, left = a, shingles(one.as_py(), words)
+                good.append(jaccard(left, shingles(two.as_py(), words)) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (texts.select(F.col("t").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(hold, pairs.select("a", "b").schema)
+
+
+def candidates(found: DataFrame, turn: int, distance: int) -> DataFrame:
+    """``(a, b)``, texts that fingerprint ``turn`` brings together: equal ones by a star, near ones by the centres of their stars.
+
+    ``found`` has ``t`` and ``fps``. The centre is the least or the greatest text, by turns.
+    """
+    values = found.select(F.col("fps")[turn].alias("fp"), "t").distinct()
+    centre = stored(values.groupBy("fp").agg((F.max if turn % 2 else F.min)("t").alias("c")), "simhash-centres")
+    star = values.join(centre, "fp").select(F.col("t").alias("a"), F.col("c").alias("b"))
+    near = linked(centre, leading_bits(centre.count()), distance // 2, stars=False).distinct()
+    one, two = (centre.select(F.col("fp").alias(f), F.col("c").alias(c)) for f, c in (("a", "x"), ("b", "y")))
+    return star.unionByName(near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def keep_first(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, prints: int = 3, similarity: float = 0.8
+) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id (null last); same columns.
 
-    Groups are found on ids and hashes alone; the texts are shuffled once, to meet the rows that stay. Of equal rows one stays.
+    Fingerprints propose pairs of distinct texts; only pairs whose shingles have the similarity link. Of equal rows one stays.
     """
+    if distance % 2:
+        raise ValueError("distance must be even: a ball has half of it as its radius")
     ident = identity(key, text)
-    found = near_duplicates(docs, key, text, words, distance, carry=ident, prints=prints)
+    same_text = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    prepared = fingerprints(docs, key, text, words, [*ident, same_text.alias("t")], prints)
+    found = stored(prepared.select("row", F.col("row.t").alias("t"), F.concat(F.array("fp"), "more").alias("fps")), "simhash-prints")
+    distinct = found.select("t", "fps").distinct()
+    pairs = candidates(distinct, 0, distance)
+    for turn in range(1, prints):
+        pairs = pairs.unionByName(candidates(distinct, turn, distance))
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stored(pairs, "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    texts = docs.select(same_text.alias("t"), F.col(text).alias("text")).join(wanted, "t", "left_semi").dropDuplicates(["t"])
+    root = components(verified(pairs, stored(texts, "simhash-texts"), words, similarity), "simhash-edges")
+    named = found.join(root, found["t"] == root["vertex"], "left").select("row", F.coalesce("root", "t").alias("root"))
     order = F.struct(F.col("row._no").alias("no"), F.col("row._k").alias("k"), F.col("row._h").alias("h"))
-    first = found.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.no").alias("_no"), F.col("r.h").alias("_h"))
+    first = named.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.no").alias("_no"), F.col("r.h").alias("_h"))
     rows = docs.select(F.struct("*").alias("row"), *ident).join(first.distinct(), ["_k", "_no", "_h"], "left_semi")
     same = Window.partitionBy("_k", "_no", "_h").orderBy(F.lit(1))
     return rows.withColumn("copy", F.row_number().over(same)).filter("copy = 1").select("row.*")
