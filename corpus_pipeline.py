@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its size, virtual slot, shard and position in the shard."""
-    return sharding.shard_documents(docs, shards=24).select("row.*", "size", "vslot", "shard", "slot")
+    return sharding.shard_documents(docs, shards=24, map_path=sharding.map_folder(spark, "pipeline", sf_dir)).select("row.*", "size", "vslot", "shard", "slot")
 
 
 STAGES = [

@@ -78,7 +78,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, carry=["doc_id"])
+    sized = sharding.shard_documents(
+        table(spark, sf_dir, "documents"), shards=24, carry=["doc_id"], map_path=sharding.map_folder(spark, "op9", sf_dir)
+    )
     return sized.select(
         F.col("row.doc_id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot",

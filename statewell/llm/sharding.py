@@ -14,9 +14,12 @@ Definitions:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statewell.common import ensure_checkpoint_dir
 from statewell.llm.base import stored
 
 SLOTS = 4096
@@ -118,13 +121,49 @@ def shard_documents(
     docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """All rows with size, checksum, virtual slot, shard and position; the map is stored and, with a path, kept as a version."""
+    """All rows with size, checksum, virtual slot, shard and position; the map is stored and, with a path, taken from there and edited."""
     spark = docs.sparkSession
     sized = records(docs, key, text, slots, carry=carry)
     by_slot = stored(slot_bytes(spark, sized.drop("row"), slots).coalesce(1), "slot-bytes")
     if map_path is None:
         slot_map = stored(build_map(by_slot, shards), "slot-map")
     else:
-        save_map(build_map(by_slot, shards), map_path)
-        slot_map = load_map(spark, map_path)
+        slot_map = kept_map(by_slot, shards, map_path)
     return assign(sized, slot_map, by_slot)
+
+
+def kept_map(by_slot: DataFrame, shards: int, path: str) -> DataFrame:
+    """The map for these sizes: the stored one if sizes and shards are those it was made for, else a new version, which is appended."""
+    spark = by_slot.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        made = build_map(by_slot, shards)
+    else:
+        current = stored(load_map(spark, path), "slot-map")
+        rows, kinds, least, most = current.agg(F.count("*"), F.countDistinct("vslot"), F.min("vslot"), F.max("vslot")).first()
+        if rows != kinds or rows != by_slot.count() or least != 0 or most != rows - 1:
+            raise ValueError(f"the latest version of {path} does not give each of the virtual slots one shard")
+        if not made_for(by_slot, shards, path).isEmpty():
+            made = rebalance(current, by_slot, shards)
+        else:
+            return current
+    made = stored(made.join(by_slot.select("vslot", "bytes"), "vslot").withColumn("shards", F.lit(shards)), "slot-map")
+    save_map(made.coalesce(1), path)
+    return made.select("version", "vslot", "shard")
+
+
+def made_for(by_slot: DataFrame, shards: int, path: str) -> DataFrame:
+    """Slots whose bytes, or whose number of shards, differ from what the latest version was made for; all, if that is not stored."""
+    whole = by_slot.sparkSession.read.option("mergeSchema", "true").parquet(path)
+    if not {"bytes", "shards"} <= set(whole.columns):
+        return by_slot.select("vslot")
+    latest = whole.join(whole.agg(F.max("version").alias("version")), "version").select("vslot", F.col("bytes").alias("was"), "shards")
+    same = F.col("bytes").eqNullSafe(F.col("was")) & F.col("shards").eqNullSafe(F.lit(shards))
+    return by_slot.join(latest, "vslot").filter(~same).select("vslot")
+
+
+def map_folder(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """Where the map of a query over one input is kept, in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    digest = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/map-{name}-{digest}"
