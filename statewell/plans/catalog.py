@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statewell.plans import (  # noqa: F401
-    contract_queries, evaluate_queries, evidence_queries, landscape_queries, prep_queries, stage1_queries,
+    association_queries, contract_queries, evaluate_queries, evidence_queries, landscape_queries, prep_queries, stage1_queries,
 )
 from statewell.plans.registry import ORACLES, QUERIES
 
