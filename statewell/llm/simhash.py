@@ -130,7 +130,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def meet(
-    part: int, fp: np.ndarray, leading: int, radius: int, values: int = 2 * PART_VALUES, masks: list[np.ndarray] | None = None, stars: bool = True
+    part: int, fp: np.ndarray, leading: int, radius: int, values: int = 2 * PART_VALUES, masks: list[np.ndarray] | None = None, stars: bool = True,
+    bits: int = BITS,
 ) -> tuple[np.ndarray, np.ndarray]:
     """``(fingerprint, root)`` of those that share a ball value starting with ``part``; root is one they reach.
 
@@ -138,7 +139,7 @@ def meet(
 
     Values are laid out in passes over a hash of the value, so memory stays bounded whatever meets here.
     """
-    low = BITS - leading
+    low = bits - leading
     fp = np.unique(fp)
     high = np.bitwise_count((fp >> np.uint64(low)) ^ np.uint64(part))
     masks = flips(low, radius) if masks is None else masks

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statewell.llm import brown, decontaminate, extract, licenses, mixing, neighbours, pii, sharding, simhash, toxicity
+from statewell.llm import brown, decontaminate, extract, licenses, mixing, near_copies, neighbours, pii, sharding, simhash, toxicity
 from statewell.llm.base import held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, spans string, score double, fp long, size long, _k long"
@@ -36,8 +36,9 @@ OPERATORS = {
     "decontaminate": lambda s, d, e: decontaminate.digest_columns(decontaminate.scan_documents(d, items(s, e))),
     "decontaminate_stage": lambda s, d, e: decontaminate.decontaminate(d, items(s, e)),
     "simhash": lambda s, d, e: simhash.near_duplicates(d),
-    "simhash_stage": lambda s, d, e: simhash.keep_first(d),
+    "simhash_stage": lambda s, d, e: near_copies.keep_first(d),
     "licenses": lambda s, d, e: licenses.scan(d),
+    "license_parts": lambda s, d, e: licenses.scan_parts(d),
     "extract": lambda s, d, e: extract.extract(d, "doc_id", "source", "text"),
     "brown": lambda s, d, e: brown.score(d, ~held_out(5, 1)),
     "pii": lambda s, d, e: pii.digest_columns(pii.find_spans(d)),
