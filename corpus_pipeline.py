@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statewell.llm import decontaminate, mixing, sharding, simhash, toxicity
+from statewell.llm import decontaminate, mixing, near_copies as copies, sharding, toxicity
 from statewell.llm.base import stored, table
 
 
@@ -17,9 +17,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: proposed by three fingerprints within 4 of 64 bits, linked by a
+    """One document of each group of near copies stays: proposed by ball hashing on twelve prints of 40 bits, linked by a
     Jaccard similarity of their five-word shingles of 0.8 or more."""
-    return simhash.keep_first(docs, words=5, distance=4, prints=3)
+    return copies.keep_first(docs, words=5, similarity=0.8)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
