@@ -401,9 +401,11 @@ def test_pipeline_by_brute_force(spark, docs):
     clean = [r["doc_id"] for r in kept["toxicity"]]
     rate = {r["doc_id"]: r["score"] for r in catalog.op1_toxicity(spark, SF).collect()}
     assert sorted(clean) == sorted(i for i in docs if rate[i] < 0.5)
-    fp = {i: simhash.sketch(docs[i]["text"], 5, 3) for i in clean}
-    near = lambda a, b: any((x ^ y).bit_count() <= 4 for x, y in zip(fp[a], fp[b]))
-    group = components(fp, [(a, b) for a in fp for b in fp if a < b and near(a, b)])
+    # near copies by the similarity itself: all pairs of shingle sets
+    runs = {i: (docs[i]["text"] or "").translate(LOW).split() for i in clean}
+    sets = {i: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in runs.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    group = components(clean, [(a, b) for a in clean for b in clean if a < b and near(a, b)])
     assert sorted(r["doc_id"] for r in kept["near_copies"]) == sorted(set(group.values()))
     item_words = [(str(r["item_id"]), decontaminate.words_of(r["text"])) for r in table(spark, SF, "benchmark").collect()]
     windows = {tuple(w[i:i + min(10, len(w))]) for _, w in item_words for i in range(len(w) - min(10, len(w)) + 1) if w}
