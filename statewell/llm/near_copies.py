@@ -6,7 +6,8 @@ probability 0.26 at a similarity of 0.8 (0.57 at 0.9), and twelve prints taken f
 
 1. Texts are reduced to their digest; copies of a text are one from here on, and no body travels with them.
 2. Every print emits the values of its ball, sent by their leading bits (see ``simhash``). Whoever shares a value is within
-   four bits. A part keeps a forest of shortest distances of those pairs: as many edges as members, however hot a cluster is.
+   four bits. A part keeps a forest of shortest distances of those pairs, and the forests of the parts that a cluster reaches
+   are thinned where the smaller print of an edge belongs: about as many edges as members, however hot a cluster is.
 3. Edges whose whole sketches (all 480 bits) are not near either are dropped, so that chance never chains groups together.
 4. Components of the edges left over are groups of texts that must be compared. Groups are cut into blocks, each pair of
    blocks is a task, and every pair of its texts is compared by its exact shingles. A task returns its links as a forest.
@@ -39,6 +40,8 @@ PRINTS, BITS, RADIUS = 12, 40, 2
 #: Ball values that one leading part should hold.
 PART_VALUES = 1 << 22
 LEAST_LEADING = 6
+#: Prints of one turn whose edges are thinned together.
+HOME_PRINTS = 1 << 17
 #: Texts of a block; a task compares two blocks. Columns of a block of shingles that are multiplied at once.
 BLOCK, COLUMNS = 256, 8192
 
@@ -84,11 +87,11 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, prints: int, bits
     return source.mapInArrow(run, "_k long, _no boolean, _h long, t binary, fps array<long>")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Indexes of the edges of a forest of smallest distances that joins the same vertices as all edges."""
+def forest(n: int, a: np.ndarray, b: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Indexes of the edges of a forest of lowest levels that joins the same vertices as all edges."""
     root, kept = np.arange(n), np.zeros(0, np.int64)
-    for d in np.unique(distance):
-        live = np.flatnonzero(distance == d)
+    for lowest in np.unique(level):
+        live = np.flatnonzero(level == lowest)
         while len(live):
             ra, rb = root[a[live]], root[b[live]]
             live = live[ra != rb]
@@ -104,11 +107,23 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.nda
     return kept
 
 
+def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a forest of smallest distances among pairs of prints, the smaller print first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    fp = np.unique(np.concatenate([a, b]))
+    i, j = np.searchsorted(fp, a), np.searchsorted(fp, b)
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    kept = forest(len(fp), i, j, np.bitwise_count(fp[i] ^ fp[j]))
+    return fp[i[kept]], fp[j[kept]]
+
+
 def near_prints(values: DataFrame, bits: int, radius: int = RADIUS) -> DataFrame:
     """``(turn, a, b)`` for ``values(turn, fp)``: pairs of one turn within ``2 * radius`` bits that join all such pairs."""
     ball = sum(len(m) for m in flips(bits, radius))
     most = values.groupBy("turn").count().agg(F.max("count")).first()[0] or 0
     leading = max(LEAST_LEADING, int(np.ceil(np.log2(max(1, most * ball / PART_VALUES)))))
+    wide = max(1, int(np.ceil(np.log2(max(1, most / HOME_PRINTS)))))
     low = bits - leading
     masks = flips(low, radius)
 
@@ -123,13 +138,18 @@ def near_prints(values: DataFrame, bits: int, radius: int = RADIUS) -> DataFrame
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         part, fp = int(pdf["part"].iat[0]), np.unique(pdf["fp"].to_numpy())
-        a, b = meet(part & ((1 << leading) - 1), fp.view(np.uint64), leading, radius, masks=masks, stars=False, bits=bits)
-        i, j = np.searchsorted(fp, a.view(np.int64)), np.searchsorted(fp, b.view(np.int64))
-        kept = forest(len(fp), i, j, np.bitwise_count(a ^ b))
-        return pd.DataFrame({"turn": np.int32(part >> leading), "a": fp[i[kept]], "b": fp[j[kept]]})
+        a, b = meet(part & ((1 << leading) - 1), fp.view(np.uint64), leading, radius, masks=masks, stars=False, bits=bits, hubs=True)
+        a, b = thinned(a.view(np.int64), b.view(np.int64))
+        # the parts of a cluster find much the same edges; they meet where the smaller print of an edge belongs
+        return pd.DataFrame({"home": ((part >> leading) << wide) | (a >> (bits - wide)), "a": a, "b": b})
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = thinned(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return pd.DataFrame({"turn": np.int32(pdf["home"].iat[0] >> wide), "a": a, "b": b})
 
     sent = values.select("turn", "fp").mapInArrow(send, "part long, fp long")
-    return sent.groupBy("part").applyInPandas(join, "turn int, a long, b long")
+    found = sent.groupBy("part").applyInPandas(join, "home long, a long, b long")
+    return found.groupBy("home").applyInPandas(thin, "turn int, a long, b long")
 
 
 def proposed(distinct: DataFrame, bits: int, least_share: float = 0.25) -> DataFrame:
@@ -140,7 +160,7 @@ def proposed(distinct: DataFrame, bits: int, least_share: float = 0.25) -> DataF
     member = distinct.select(F.posexplode("fps").alias("turn", "fp"), "t")
     centre = stored(member.groupBy("turn", "fp").agg(F.min("t").alias("c"), F.count("*").alias("n")), "near-centres")
     star = member.join(centre.filter("n > 1").select("turn", "fp", "c"), ["turn", "fp"]).filter("t <> c").select(F.col("t").alias("a"), F.col("c").alias("b"))
-    near = stored(near_prints(centre, bits).distinct(), "near-prints")
+    near = stored(near_prints(centre, bits), "near-prints")
     one, two = (centre.select("turn", F.col("fp").alias(f), F.col("c").alias(c)) for f, c in (("a", "x"), ("b", "y")))
     joined = near.join(one, ["turn", "a"]).join(two, ["turn", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = stored(star.unionByName(joined).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")

@@ -131,11 +131,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def meet(
     part: int, fp: np.ndarray, leading: int, radius: int, values: int = 2 * PART_VALUES, masks: list[np.ndarray] | None = None, stars: bool = True,
-    bits: int = BITS,
+    bits: int = BITS, hubs: bool = False,
 ) -> tuple[np.ndarray, np.ndarray]:
     """``(fingerprint, root)`` of those that share a ball value starting with ``part``; root is one they reach.
 
-    Without ``stars`` the neighbours at each shared value, all of them within twice the radius of each other.
+    Without ``stars`` the neighbours at each shared value, or with ``hubs`` each owner beside the smallest one; all of them are
+    within twice the radius of each other.
 
     Values are laid out in passes over a hash of the value, so memory stays bounded whatever meets here.
     """
@@ -170,10 +171,15 @@ def meet(
         at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
         hit = shared[at] == value
         at, owns = at[hit], owns[hit]
-        turn = np.argsort(at, kind="stable")
+        turn = np.lexsort((owns, at)) if hubs else np.argsort(at, kind="stable")
         at, owns = at[turn], owns[turn].astype(np.int64)
         same = at[1:] == at[:-1]
-        links.append(np.unique(owns[:-1][same] * len(fp) + owns[1:][same]))
+        if hubs:
+            first = np.flatnonzero(np.r_[True, ~same])
+            hub = np.repeat(owns[first], np.diff(np.r_[first, len(owns)]))
+            links.append(np.unique((hub * len(fp) + owns)[hub != owns]))
+        else:
+            links.append(np.unique(owns[:-1][same] * len(fp) + owns[1:][same]))
     if not links:
         return fp[:0], fp[:0]
     pair = np.unique(np.concatenate(links))
