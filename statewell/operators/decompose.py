@@ -66,7 +66,7 @@ def block_scale(cells: DataFrame, scaling: DataFrame, keys: Sequence[str] = LAYE
     """Centred cells divided by the block norm; a zero norm is refused."""
     scaled = F.when(
         F.col("block_scale") > 0, (F.col("value") - F.col("mean")) / F.col("block_scale")
-    ).otherwise(F.raise_error(F.lit("a centred layer has zero Frobenius norm")).cast("double"))
+    ).otherwise(F.raise_error(F.lit("a layer without any spread cannot be scaled to unit size")).cast("double"))
     return cells.join(scaling, [*keys, "feature_id"]).withColumn("value", scaled).drop("mean", "block_scale")
 
 

@@ -461,6 +461,7 @@ def select_candidate(
             "elapsed_within_limit": F.col("elapsed_ratio") <= rules.maximum_elapsed_ratio,
         }
     )
+    # The names of the six conditions, and the words of the decision below.
     names = (
         "both_eligible", "shared_advantage", "shared_ci_below_zero", "leakage_not_worse", "projection_not_worse",
         "elapsed_within_limit",
