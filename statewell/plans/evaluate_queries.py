@@ -406,3 +406,15 @@ def g7(spark, sf):
 )
 def g8(spark, sf):
     return rounded(fig.spectrum_table(src.cells(spark, sf), n_values=3, side="features"), 7, "sigma", "threshold")
+
+
+@query(
+    "g8_whole_spectrum",
+    f"""WITH {src.CELLS}, centred AS (SELECT layer, sample_id, feature_id, value AS v FROM cells), {GRAM}
+        SELECT layer, round(sum(v) FILTER (WHERE i = j), 5) AS squares, round((SELECT pow(count(*), 0.25) FROM cells), 7) AS threshold FROM g1 GROUP BY layer""",
+)
+def g8_whole(spark, sf):
+    """The table with all values: their squares add up to the squares of all cells, beside the threshold."""
+    values = fig.spectrum_table(src.cells(spark, sf), n_values=src.WIDTH, side="features")
+    sums = values.groupBy("layer").agg(F.sum(F.col("sigma") ** 2).alias("squares"), F.max("threshold").alias("threshold"))
+    return rounded(rounded(sums, 5, "squares"), 7, "threshold")

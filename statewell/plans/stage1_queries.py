@@ -248,6 +248,20 @@ def d10(spark, sf):
     return rounded(dec.spectrum(src.cells(spark, sf), n_values=3, side="features"), 7, "sigma")
 
 
+@query(
+    "d10_whole_spectrum",
+    f"""WITH {CELLS}, centred AS (SELECT layer, sample_id, feature_id, value AS v FROM cells), {GRAM}
+        SELECT layer, least(count(DISTINCT i), (SELECT count(DISTINCT sample_id) FROM cells)) AS n_values, round(sum(v) FILTER (WHERE i = j), 5) AS squares,
+               round(sum(v * v), 3) AS fourths FROM g1 GROUP BY layer""",
+)
+def d10_whole(spark, sf):
+    """Every singular value, told by the sums of squares and fourth powers, which need no eigenvectors in SQL."""
+    values = dec.spectrum(src.cells(spark, sf), n_values=src.WIDTH, side="features")
+    sums = values.groupBy("layer").agg(
+        F.count("*").alias("n_values"), F.sum(F.col("sigma") ** 2).alias("squares"), F.sum(F.col("sigma") ** 4).alias("fourths"))
+    return rounded(rounded(sums, 5, "squares"), 3, "fourths")
+
+
 @query(
     "d11_shared_axis",
     SVD3 + " SELECT layer, component, feature_id, round(loading, 6) + 0.0 AS loading FROM loadings WHERE component = 2",
