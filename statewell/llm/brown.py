@@ -2,12 +2,15 @@
 
 Words are counted over all training texts. Words with at least a set share of all tokens are clustering units of their
 own, the others share units by their ending; the number of units is bounded by that share. Unit bigrams are counted over
-all training texts. Exchange moves units between classes while the likelihood of the class bigrams grows. A token's
-probability is class transition times unit in class times word in unit, each smoothed, so that all words of a unit and
-one place for unseen ones sum to 1.
+all training texts. Exchange moves units between classes while the likelihood of the class bigrams grows.
 
-Words of at least another, smaller share travel to the tasks with their counts, again bounded in number by the share;
-the rest meet their counts in a join.
+Words of at least another, smaller share travel to the tasks with their counts, again bounded in number by the share.
+Each of them that was no unit of its own and was seen often enough then leaves its ending for the class that makes the classes seen to its left and
+right likeliest, counted over all training texts. Transitions are counted again with these classes. The words left meet
+their counts in a join and stay with their ending.
+
+A token's probability is class transition times word in class (of the words left: ending in class times word in ending),
+each smoothed, so that the words of a class, its endings and one place for unseen words in each ending sum to 1.
 
 Definitions:
 * a null text is an empty one, with the end as its only token; every row gives one row, repeated rows included;
@@ -32,6 +35,8 @@ from statewell.llm.base import LOWER_BYTES, stored
 CLASSES, ENDINGS, SWEEPS = 64, 256, 10
 #: A word with 1/UNIT_SHARE of all tokens is a unit of its own, one with 1/KNOWN_SHARE travels with its count; at most so many can.
 UNIT_SHARE, KNOWN_SHARE = 10_000, 2_000_000
+#: A word seen fewer times says too little about its neighbours to leave its ending.
+FEW = 3
 HELD = 200_000
 #: Bigrams that a task holds before it folds them into its sums, and sums before it sends them.
 FOLD, SUMS = 500_000, 1_500_000
@@ -80,6 +85,13 @@ class Lexicon:
         self.units = self.first_ending + ENDINGS
         self.unit = np.array([own.get(w, 0 if w == END else self.first_ending + ending(w)) for w in words] or [0], np.int64)
         self.log_count = np.log10(np.array(counts or [0], float) + 0.5)
+        self.follows = (self.unit >= self.first_ending) & (np.array(counts or [0]) >= FEW)
+
+    def classes(self, at: np.ndarray, unit: np.ndarray, cls: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token by the classes of units and of words (-1: none of its own), and its ending (-1: none)."""
+        given = np.where(at >= 0, own[at], -1)
+        ending = np.where((given < 0) & (unit >= self.first_ending), unit - self.first_ending, -1)
+        return np.where(given >= 0, given, cls[unit]), ending
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Index of each token's word (-1: not here), its unit, and the words not here; the end comes last."""
@@ -95,12 +107,11 @@ class Lexicon:
         return at, unit, others
 
 
-def count_bigrams(texts: DataFrame, shipped) -> DataFrame:
-    """``(a, b, n)`` of neighbouring units; a text starts after an end. Tasks send sums."""
+def count_codes(texts: DataFrame, encoder) -> DataFrame:
+    """``(code, n)`` over the whole numbers that ``encoder()`` finds in every text. Tasks send sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(*shipped.value)
-        size, held, n_held = lexicon.units, [], 0
+        encode, held, n_held = encoder(), [], 0
         code, n = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def fold() -> None:
@@ -111,13 +122,12 @@ def count_bigrams(texts: DataFrame, shipped) -> DataFrame:
             code, held, n_held = both, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                _, unit, _ = lexicon.read(text.as_py())
-                held.append(np.concatenate(([0], unit[:-1])) * size + unit)
-                n_held += len(unit)
+                held.append(encode(text.as_py()))
+                n_held += len(held[-1])
                 if n_held > FOLD:
                     fold()
                     if len(code) > SUMS:
@@ -126,7 +136,96 @@ def count_bigrams(texts: DataFrame, shipped) -> DataFrame:
         fold()
         yield out()
 
-    return texts.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def after_end(values: np.ndarray) -> np.ndarray:
+    """What stands before each token; a text starts after an end, which is 0."""
+    return np.concatenate(([0], values[:-1]))
+
+
+def count_bigrams(texts: DataFrame, shipped, units: int) -> DataFrame:
+    """``(a, b, n)`` of neighbouring units."""
+
+    def encoder():
+        lexicon = Lexicon(*shipped.value)
+
+        def encode(text: str | None) -> np.ndarray:
+            _, unit, _ = lexicon.read(text)
+            return after_end(unit) * units + unit
+
+        return encode
+
+    return count_codes(texts, encoder).select(F.expr(f"code div {units}").alias("a"), (F.col("code") % units).alias("b"), "n")
+
+
+def assign_words(texts: DataFrame, shipped, model: dict, n_words: int) -> np.ndarray:
+    """Class of every travelling word without a unit of its own (else -1), the likeliest one given the classes beside it.
+
+    The gain of class C is the sum over left classes of log P(C | left) less log mass of C, plus that over right
+    classes of log P(right | C); ties take the smaller class. What is collected is one number for each such word.
+    """
+    cls, step, mass = (np.array(model[k]) for k in ("cls", "step", "mass"))
+    size = len(mass)
+
+    def encoder():
+        lexicon = Lexicon(*shipped.value)
+
+        def encode(text: str | None) -> np.ndarray:
+            at, unit, _ = lexicon.read(text)
+            c = cls[unit]
+            free = np.flatnonzero((at >= 0) & lexicon.follows[at])
+            first = at[free] * (2 * size)
+            # a free word is never the last token, which is the end
+            return np.concatenate((first + after_end(c)[free], first + size + c[np.minimum(free + 1, len(c) - 1)]))
+
+        return encode
+
+    gain = np.concatenate((step - np.log10(mass + 0.5), step.T))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            beside = batch.column(1).flatten()
+            seen = np.zeros((len(batch), 2 * size))
+            row = np.repeat(np.arange(len(batch)), np.diff(batch.column(1).offsets.to_numpy()))
+            seen[row, beside.field(0).to_numpy()] = beside.field(1).to_numpy()
+            total = seen @ gain
+            total[:, 0] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(total, axis=1), pa.int64())], names=["w", "c"])
+
+    beside = count_codes(texts, encoder).groupBy(F.expr(f"code div {2 * size}").alias("w")).agg(
+        F.collect_list(F.struct((F.col("code") % (2 * size)).alias("slot"), "n")).alias("z")
+    )
+    chosen = beside.mapInArrow(choose, "w long, c long").toArrow()
+    own = np.full(max(n_words, 1), -1, np.int16)
+    own[chosen["w"].to_numpy()] = chosen["c"].to_numpy()
+    return own
+
+
+def count_steps(texts: DataFrame, shipped, classes) -> np.ndarray:
+    """Class bigrams of all training texts, at most CLASSES squared of them."""
+    size = int(classes.value[0].max()) + 1
+
+    def encoder():
+        lexicon = Lexicon(*shipped.value)
+
+        def encode(text: str | None) -> np.ndarray:
+            at, unit, _ = lexicon.read(text)
+            c, _ = lexicon.classes(at, unit, *classes.value)
+            return after_end(c) * size + c
+
+        return encode
+
+    table = np.zeros(size * size)
+    for r in count_codes(texts, encoder).collect():
+        table[r["code"]] = r["n"]
+    return table.reshape(size, size)
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """Smoothed log10 P(class | class before) from class bigrams."""
+    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * len(table))
+    return np.log10((table + share) / (table.sum(1, keepdims=True) + 1))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -195,7 +294,7 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, units: int, classes: i
 
 
 def learn_classes(bigrams: DataFrame, units: int) -> dict:
-    """Classes, transitions and emissions in log10, from the bounded table of unit bigrams, in one task."""
+    """Classes of units, their transitions in log10 and tokens, from the bounded table of unit bigrams, in one task."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [tuple(batch.column(i).to_numpy() for i in range(3)) for batch in batches]
@@ -206,11 +305,7 @@ def learn_classes(bigrams: DataFrame, units: int) -> dict:
         size = int(cls.max()) + 1
         table = np.zeros((size, size))
         np.add.at(table, (cls[a], cls[b]), n)
-        share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * size)
-        step = np.log10((table + share) / (table.sum(1, keepdims=True) + 1))
-        count, members = np.bincount(b, n, units), np.bincount(cls, minlength=size)
-        emit = np.log10((count + 0.5) / (table.sum(0) + 0.5 * members)[cls])
-        model = {"cls": cls.tolist(), "step": step.tolist(), "emit": emit.tolist()}
+        model = {"cls": cls.tolist(), "step": transitions(table).tolist(), "mass": table.sum(0).tolist()}
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], names=["model"])
 
     return json.loads(bigrams.select("a", "b", "n").coalesce(1).mapInArrow(learn, "model string").first()["model"])
@@ -228,19 +323,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     known = sorted((bytes(r["word"]), r["c"]) for r in common.toLocalIterator()) if tokens else []
     shipped = sc.broadcast(([w for w, _ in known], [c for _, c in known], tokens))
     lexicon = Lexicon(*shipped.value)
-    bigrams = stored(count_bigrams(texts, shipped), "lm-bigrams")
-    model = learn_classes(bigrams, lexicon.units) if tokens else None
-    places = ending_places(counts, lexicon.first_ending) if tokens else []
-    rules = sc.broadcast((model, places))
+    stays = (F.length("word") > 0) & (F.col("c") * UNIT_SHARE < tokens) & (~travels | (F.col("c") < FEW))
+    rules = sc.broadcast(learn(texts, counts.filter(stays), shipped, lexicon) if tokens else None)
     floor = float(np.log10(tokens + 0.5 * (kinds + 1)))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*shipped.value)
-        model, places = rules.value
-        if model:
-            cls, step, emit = (np.array(model[k]) for k in ("cls", "step", "emit"))
-            place = np.zeros(lexicon.units)
-            place[lexicon.first_ending:] = places
+        model = rules.value
         for batch in batches:
             n, seen, base, full = [], [], [], []
             away: list[bytes] = []
@@ -254,9 +343,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 seen.append(int(here.sum()) if tokens else 0)
                 base.append(float(log_count.sum()) - len(at) * floor)
                 if model:
-                    c = cls[unit]
-                    total = step[np.concatenate(([0], c[:-1])), c].sum() + emit[unit].sum() - place[unit].sum()
-                    full.append(float(total + log_count[unit >= lexicon.first_ending].sum()))
+                    c, ending = lexicon.classes(at, unit, model["cls"], model["own"])
+                    total = model["step"][after_end(c), c].sum() - model["emit"][c].sum() + log_count.sum()
+                    full.append(float(total + model["left"][ending[ending >= 0]].sum()))
                 else:
                     full.append(base[-1])
                 if tokens:
@@ -288,11 +377,26 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     )
 
 
-def ending_places(counts: DataFrame, first_ending: int) -> list[float]:
-    """log10 of the mass of each shared unit: tokens of its words plus half a count for each and for an unseen one."""
-    tokens = counts.agg(F.sum("c")).first()[0]
-    shared = counts.filter((F.col("c") * UNIT_SHARE < tokens) & (F.length("word") > 0))
+def learn(texts: DataFrame, others: DataFrame, shipped, lexicon: Lexicon) -> dict:
+    """The model: classes of units and words, log10 of transitions, of class totals and of each ending's share by place."""
+    sc = texts.sparkSession.sparkContext
+    bigrams = stored(count_bigrams(texts, shipped, lexicon.units), "lm-bigrams")
+    first = learn_classes(bigrams, lexicon.units)
+    own = assign_words(texts, shipped, first, len(lexicon.index))
+    cls = np.array(first["cls"], np.int64)
+    table = count_steps(texts, shipped, sc.broadcast((cls, own)))
+    # members of a class: the end and words with a unit, words assigned, endings
+    members = np.bincount(cls, minlength=len(table)) + np.bincount(own[own >= 0], minlength=len(table))
+    mass, kinds = ending_mass(others)
+    left = np.log10(mass + 0.5) - np.log10(mass + 0.5 * (kinds + 1))
+    return {"cls": cls, "own": own, "step": transitions(table), "emit": np.log10(table.sum(0) + 0.5 * members), "left": left}
+
+
+def ending_mass(others: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and number of the words that do not travel, for each ending."""
     tail = F.substring(F.col("word"), -3, 3)
     last = F.when(F.length("word") < 3, F.col("word")).otherwise(tail)
-    by = {r["e"]: (r["t"], r["v"]) for r in shared.groupBy((F.crc32(last) % ENDINGS).alias("e")).agg(F.sum("c").alias("t"), F.count("*").alias("v")).collect()}
-    return [float(np.log10(t + 0.5 * (v + 1))) for t, v in (by.get(e, (0, 0)) for e in range(ENDINGS))]
+    mass, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in others.groupBy((F.crc32(last) % ENDINGS).alias("e")).agg(F.sum("c").alias("t"), F.count("*").alias("v")).collect():
+        mass[r["e"]], kinds[r["e"]] = r["t"], r["v"]
+    return mass, kinds
