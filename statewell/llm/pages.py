@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 # Elements without an end tag, elements whose text is not markup, and elements that start a new block.
@@ -27,12 +28,9 @@ CLOSES = {
 SCOPE = frozenset("html body article section div main aside nav header footer form table td th ul ol dl blockquote fieldset".split())
 INLINE_OPEN = frozenset("a abbr b big cite code em font i kbd mark q s samp small span strike strong sub sup tt u".split())
 
-#: Elements nested deeper than this become siblings; their text stays.
-DEEPEST = 256
-
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
+TAG_STOP = re.compile("[>\"']")
 
 
 @dataclass
@@ -41,40 +39,88 @@ class Node:
     parent: int
     attrs: dict[str, str] = field(default_factory=dict)
     text: str = ""
-    depth: int = 0
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Position after the > of a tag; quotes may hide one, an unclosed quote does not."""
+class Open:
+    """The open elements from the root down, with the places of each name, so that no end tag searches the stack."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack = nodes, [0]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        # places of elements that keep ends inside, and of those that are not inline
+        self.scopes: list[int] = []
+        self.solid: list[int] = []
+
+    def push(self, node: int) -> None:
+        tag, at = self.nodes[node].tag, len(self.stack)
+        self.stack.append(node)
+        self.places[tag].append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+        if tag not in INLINE_OPEN:
+            self.solid.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close what is open from this place on."""
+        while len(self.stack) > at:
+            self.places[self.nodes[self.stack.pop()].tag].pop()
+        for places in (self.scopes, self.solid):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in names if self.places[t]), default=0)
+
+    def close(self, names: tuple[str, ...], within: frozenset | tuple) -> None:
+        """Close the innermost element of these names unless one of ``within`` lies inside it."""
+        at = self.last(names)
+        wall = (self.scopes[-1] if self.scopes else 0) if within is SCOPE else self.last(within)
+        if at and at >= wall:
+            self.cut(at)
+
+    def close_paragraph(self) -> None:
+        """A block ends an open paragraph with what is open in it; inline elements left open end with their block."""
+        if self.solid and self.nodes[self.stack[self.solid[-1]]].tag == "p":
+            self.cut(self.solid[-1])
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Position after the > of a tag; quotes may hide one, an unclosed quote does not.
+
+    ``dead`` holds the quotes from which the page is known to end inside quotes, so that a page is searched once.
+    """
     plain = page.find(">", at)
     if plain < 0:
         return -1
     if '"' not in page[at:plain] and "'" not in page[at:plain]:
         return plain + 1
-    m = TAG_END.match(page, at, min(len(page), at + 65_536))
-    return m.end() if m else plain + 1
+    passed: list[int] = []
+    while m := TAG_STOP.search(page, at):
+        if m.group() == ">":
+            return m.end()
+        at = m.end()
+        if m.start() in dead:
+            break
+        passed.append(m.start())
+        at = page.find(m.group(), at) + 1
+        if not at:
+            break
+    dead.update(passed)
+    return plain + 1
 
 
 def parse(page: str) -> list[Node]:
     """The nodes of a page; node 0 is the root, text nodes have the tag "". Linear in the page; nothing is refused."""
     nodes = [Node("html", -1)]
-    open_: list[int] = [0]
+    open_ = Open(nodes)
+    dead: set[int] = set()
     at, size = 0, len(page)
     lower = ""
     unclosed: set[str] = set()
 
     def put_text(raw: str) -> None:
         if raw:
-            nodes.append(Node("", open_[-1], text=html.unescape(raw) if "&" in raw else raw, depth=len(open_)))
-
-    def pop_to(names: tuple[str, ...], stop: frozenset | tuple) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            tag = nodes[open_[i]].tag
-            if tag in names:
-                del open_[i:]
-                return
-            if tag in stop:
-                return
+            nodes.append(Node("", open_.stack[-1], text=html.unescape(raw) if "&" in raw else raw))
 
     while at < size:
         lt = page.find("<", at)
@@ -102,29 +148,29 @@ def parse(page: str) -> list[Node]:
             put_text(page[at:lt + 1])
             at = lt + 1
             continue
-        end = _tag_end(page, m.end())
+        end = _tag_end(page, m.end(), dead)
         if end < 0:
             put_text(page[at:lt])
             break
         put_text(page[at:lt])
         tag, at = m.group().lower(), end
         if closing:
-            pop_to((tag,), () if tag in SCOPE else SCOPE)
+            open_.close((tag,), () if tag in SCOPE else SCOPE)
             continue
         if tag == "html":
             continue
         if tag in BLOCK:
-            close_paragraph(nodes, open_)
+            open_.close_paragraph()
         if tag in CLOSES:
-            pop_to(*CLOSES[tag])
+            open_.close(*CLOSES[tag])
         elif tag == "body":
-            pop_to(("head",), ())
+            open_.close(("head",), ())
         attrs = {}
         if end - m.end() > 1:
             for k, a, b, c in ATTRIBUTE.findall(page[m.end():end - 1]):
                 value = a or b or c
                 attrs.setdefault(k.lower(), html.unescape(value) if "&" in value else value)
-        nodes.append(Node(tag, open_[-1], attrs, depth=len(open_)))
+        nodes.append(Node(tag, open_.stack[-1], attrs))
         if tag in VOID:
             continue
         if tag in RAW:
@@ -138,21 +184,9 @@ def parse(page: str) -> list[Node]:
                 close = page.find(">", stop)
                 at = size if close < 0 else close + 1
             continue
-        if len(open_) < DEEPEST:
-            open_.append(len(nodes) - 1)
+        open_.push(len(nodes) - 1)
     return nodes
 
 
-def close_paragraph(nodes: list[Node], open_: list[int]) -> None:
-    """A block ends an open paragraph with what is open in it; inline elements left open end with their block."""
-    for i in range(len(open_) - 1, 0, -1):
-        tag = nodes[open_[i]].tag
-        if tag == "p":
-            del open_[i:]
-            return
-        if tag not in INLINE_OPEN:
-            return
-
-
 def _ascii_lower(text: str) -> str:
     return text.translate({c: c + 32 for c in range(65, 91)})
