@@ -310,7 +310,11 @@ def svd(
         size = model.agg(
             F.sum(F.when(F.col("component") == 1, F.col("m"))).alias("m"), F.max("component").alias("k")
         ).first()
-        scores = project(cells, loadings, keys, means, size["k"], _fits_broadcast(size["m"], size["k"]))
+        small = _fits_broadcast(size["m"], size["k"])
+        if rows is not None and "sample_id" in rows.columns:
+            scores = row_scores(rows, model, keys, center, small)
+        else:
+            scores = project(cells, loadings, keys, means, size["k"], small)
     else:
         source = rows_from_cells(cells, keys, "feature_id", "sample_id")
         blocks = gram_blocks(source, keys, "rows" if center else "none", tasks=gram_tasks(source, width))
@@ -344,6 +348,16 @@ def svd(
     return Decomposition(loadings, scores, spectrum, warnings, tuple(keys))
 
 
+def row_scores(rows: DataFrame, model: DataFrame, keys: Sequence[str], center: bool, small: bool) -> DataFrame:
+    """Scores of array rows, a dot product in the row; with broadcast axes nothing is shuffled."""
+    axes = model.select(*keys, "component", "axis", "mean")
+    x = F.col("vec").cast("array<double>")
+    if center:
+        x = F.zip_with(x, "mean", lambda v, m: v - m)
+    coord = F.aggregate(F.zip_with(x, "axis", lambda v, a: v * a), F.lit(0.0), lambda total, v: total + v)
+    return rows.join(F.broadcast(axes) if small else axes, list(keys)).select(*keys, "sample_id", "component", coord.alias("coord"))
+
+
 def _join_decompositions(parts: Sequence[Decomposition]) -> Decomposition:
     """Decompositions of different groups as one."""
     tables = [

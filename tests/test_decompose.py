@@ -28,6 +28,24 @@ def test_svd_equals_numpy(spark, side, center):
     assert all(c[np.argmax(np.abs(c))] > 0 for c in v.T)
 
 
+@pytest.mark.parametrize("center", [True, False])
+def test_array_rows_give_the_scores_of_cells_without_a_shuffle(spark, center):
+    """Two layers of different means; a repeated row has scores of its own."""
+    rng = np.random.default_rng(14)
+    layers = {"A": rng.normal(size=(12, 5)) + 3, "B": rng.normal(size=(9, 5)) * 4 - 1}
+    layers["A"][3] = layers["A"][2]
+    long = cells(spark, layers)
+    rows = spark.createDataFrame(
+        [(layer, f"s{i:03d}", row.tolist()) for layer, x in layers.items() for i, row in enumerate(x)],
+        "layer string, sample_id string, vec array<double>",
+    )
+    d = dec.svd(long, k=3, center=center, rows=rows, feature_ids=[f"f{j:04d}" for j in range(5)])
+    plain = dec.svd(long, k=3, center=center, side="features")
+    for layer in layers:
+        assert np.allclose(scores_of(d, layer), scores_of(plain, layer), atol=1e-9)
+    assert "Exchange hashpartitioning" not in d.scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_partitioning_does_not_change_results(spark):
     x = np.random.default_rng(2).normal(size=(15, 8))
     got = [scores_of(dec.svd(cells(spark, {"A": x}, p), k=3, side="features")) for p in (1, 7)]
