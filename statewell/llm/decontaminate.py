@@ -13,7 +13,7 @@ Definitions:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from statewell.llm.base import LOWER_BYTES, stored
 
-#: Item words in one automaton; more items make more automata, used one after the other.
+#: Item words in one automaton; more items make more automata, shipped and used one after the other.
 ITEM_WORDS = 200_000
 
 #: Lower-cases A-Z and turns every other ASCII byte that is not a digit or a letter into a blank.
@@ -178,17 +178,43 @@ def built(items: Broadcast, window: int) -> Automaton:
     return Automaton([(name, words_of(text)) for name, text in items.value], window)
 
 
-def shipped_blocks(items: DataFrame, item: str = "item_id", text: str = "text", item_words: int = ITEM_WORDS) -> list[Broadcast]:
-    """The items in blocks of a bounded number of words, each broadcast on its own.
+def item_pieces(items: DataFrame, window: int, item: str, text: str, item_words: int) -> DataFrame:
+    """``(name, text, n)``: items of more than an eighth of a block as overlapping pieces that hold all their windows."""
+    step = max(item_words // 8, 1)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(body.as_py())
+                windows = max(len(words) - window + 1, 1)
+                pieces = [words[at:min(at + step, windows) + window - 1] for at in range(0, windows, step)] if words else []
+                out += [(name, b" ".join(piece).decode("utf-8", "surrogatepass"), len(piece)) for piece in pieces]
+            names, texts, sizes = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["name", "text", "n"]
+            )
 
-    The words are counted first; a hash of the item's id names its block. Each block is scanned in a pass of its own.
-    """
     named = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text")).filter("text is not null")
-    total = named.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    return named.mapInArrow(cut_up, "name string, text string, n long")
+
+
+def shipped_blocks(
+    items: DataFrame, item: str = "item_id", text: str = "text", item_words: int = ITEM_WORDS, window: int = 10
+) -> tuple[int, Callable[[int], Broadcast]]:
+    """The number of blocks of item words and what ships one of them; the caller releases a block before the next.
+
+    The words are counted first; a hash of an item's piece names its block, so rows without id spread like others.
+    """
+    pieces = stored(item_pieces(items, window, item, text, item_words), "decontaminate-items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
     blocks = -(-2 * total // item_words) if total > item_words else 1
-    sc = items.sparkSession.sparkContext
-    parts = (named.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) for b in range(blocks))
-    return [sc.broadcast([(r["name"], r["text"]) for r in part.collect()]) for part in parts]
+    block = F.pmod(F.xxhash64("name", "text"), F.lit(blocks))
+
+    def ship(b: int) -> Broadcast:
+        return items.sparkSession.sparkContext.broadcast([(r["name"], r["text"]) for r in pieces.filter(block == b).collect()])
+
+    return blocks, ship
 
 
 def scan_documents(
@@ -201,10 +227,11 @@ def scan_documents(
         F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:long,end:long>>").alias("hits"), F.array().cast("array<string>").alias("items"),
     )
-    blocks = shipped_blocks(items, item, item_text, item_words)
-    for b, shipped in enumerate(blocks):
+    blocks, ship = shipped_blocks(items, item, item_text, item_words, window)
+    for b in range(blocks):
+        shipped = ship(b)
 
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, last=b == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, last=b == blocks - 1) -> Iterator[pa.RecordBatch]:
             automaton = built(shipped, window)
             for batch in batches:
                 n, hits, names = [], [], []
@@ -222,8 +249,9 @@ def scan_documents(
                 )
 
         found = found.mapInArrow(scan, found.schema)
-        if b < len(blocks) - 1:
+        if b < blocks - 1:
             found = stored(found, "decontaminate-block")
+            shipped.unpersist()
     return found
 
 
@@ -267,30 +295,48 @@ def decontaminate(
     """The documents without the stretches of ``window`` or more item words; same columns.
 
     A document goes altogether when more than ``coverage`` of its words are hit. ``n_chars`` (if there is one) is counted
-    anew for texts that were cut; a text without a hit stays as it is, null and empty ones included.
+    anew for texts that were cut; a text without a hit stays as it is, null and empty ones included. A cut can bring words
+    of another block's window together, so several blocks are gone through until a whole round cuts nothing; a later round
+    scans only the texts that the round before it cut.
     """
-    found = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("words"))
-    blocks = shipped_blocks(items, item, item_text, item_words)
-    for b, shipped in enumerate(blocks):
+    found = docs.select(
+        F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("words"),
+        F.lit(True).alias("due"), F.lit(False).alias("again"),
+    )
+    blocks, ship = shipped_blocks(items, item, item_text, item_words, window)
 
-        def wash(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+    def washed(found: DataFrame, shipped: Broadcast) -> DataFrame:
+        def wash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = built(shipped, window)
             for batch in batches:
-                texts, gone, words = [], [], []
-                for body, before, first in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                texts, gone, words, again = [], [], [], []
+                before = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+                for body, (n_before, first, due, more) in zip(batch.column(1), before):
                     body = body.as_py()
-                    new, n_gone, n = clean(body, automaton) if body else (body, 0, 0)
+                    new, n_gone, n = clean(body, automaton) if body and due else (body, 0, 0)
                     texts.append(new)
-                    gone.append(before + n_gone)
+                    gone.append(n_before + n_gone)
                     words.append(max(first, n))
+                    again.append(more or n_gone > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(words, pa.int64())],
-                    names=["row", "text", "gone", "words"],
+                    [batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()),
+                     batch.column(4), pa.array(again, pa.bool_())],
+                    names=["row", "text", "gone", "words", "due", "again"],
                 )
 
-        found = found.mapInArrow(wash, found.schema)
-        if b < len(blocks) - 1:
-            found = stored(found, "decontaminate-block")
+        return found.mapInArrow(wash, found.schema)
+
+    if blocks == 1:
+        found = washed(found, ship(0))
+    else:
+        while True:
+            for b in range(blocks):
+                shipped = ship(b)
+                found = stored(washed(found, shipped), "decontaminate-block")
+                shipped.unpersist()
+            if found.filter("again").isEmpty():
+                break
+            found = found.withColumns({"due": F.col("again"), "again": F.lit(False)})
     kept = found.filter(F.col("gone") <= F.lit(coverage) * F.col("words"))
     columns = []
     for c in docs.columns:

@@ -41,12 +41,18 @@ def usable(vector):
     return F.coalesce(F.forall(vector, good) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: squares neither overflow nor vanish, cosines stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def spread(sample: np.ndarray, n: int, closest: float) -> np.ndarray:
     """Farthest-first choice of up to n directions, none with a cosine above ``closest`` to another.
 
     Pivots closer than twice the angle searched for would cut groups of near vectors apart.
     """
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = levelled(sample)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     chosen, nearest = [0], x @ x[0]
     while len(chosen) < min(n, len(x)):
         at = int(np.argmin(nearest))
@@ -78,7 +84,7 @@ def describe(vectors: list, pivots: dict[int, np.ndarray], nearest: int, shared:
     dims = np.array([len(v) for v in vectors])
     for dim in np.unique(dims).tolist():
         at = np.flatnonzero(dims == dim)
-        x = np.array([vectors[i] for i in at], float)
+        x = levelled(np.array([vectors[i] for i in at], float))
         p = pivots.get(dim)
         p = random_pivots(dim, PIVOTS) if p is None else p
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -151,7 +157,7 @@ def looker(least: float, shared: int):
         cell = np.repeat(np.arange(len(size)), size)
         vectors = t.column(7).combine_chunks()
         values, offsets = vectors.values.to_numpy().astype(float), vectors.offsets.to_numpy()
-        row = lambda i, dim: values[offsets[i][:, None] + np.arange(dim)[None, :]]
+        row = lambda i, dim: levelled(values[offsets[i][:, None] + np.arange(dim)[None, :]])
         parts = []
         small = np.flatnonzero(np.repeat(size <= SMALL, size))
         for d in range(1, min(SMALL, int(size.max()))):

@@ -15,6 +15,7 @@ Definitions:
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,9 +92,30 @@ def rebalance(current: DataFrame, by_slot: DataFrame, shards: int) -> DataFrame:
     return placed.filter("stays").select("vslot", "shard").unionByName(moved).select(version.alias("version"), "vslot", "shard")
 
 
-def save_map(slot_map: DataFrame, path: str) -> None:
-    """Append a version to the stored map; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+def _files(spark: SparkSession, path: str, pattern: str = "") -> tuple:
+    """The file system of a path and what lies there by a pattern."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path + pattern)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, [f.getPath() for f in fs.globStatus(place) or []]
+
+
+def save_map(slot_map: DataFrame, path: str) -> bool:
+    """Add a version to the stored map; earlier versions stay readable. False if that version is there already.
+
+    The version is written to a hidden folder as one file and then renamed into its place, so a crash leaves nothing that
+    a reader sees, and of two sessions that write the same version one stays. Rename must be atomic, as it is on HDFS.
+    """
+    spark = slot_map.sparkSession
+    version = slot_map.agg(F.max("version")).first()[0]
+    staging = f"{path.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    slot_map.drop("version").coalesce(1).write.parquet(staging)
+    fs, parts = _files(spark, staging, "/*.parquet")
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={version}")
+    fs.mkdirs(home)
+    target = spark._jvm.org.apache.hadoop.fs.Path(home, "map.parquet")
+    done = len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(home, "*.parquet")) or []) == 0 and fs.rename(parts[0], target)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
+    return done
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -135,8 +157,7 @@ def shard_documents(
 def kept_map(by_slot: DataFrame, shards: int, path: str) -> DataFrame:
     """The map for these sizes: the stored one if sizes and shards are those it was made for, else a new version, which is appended."""
     spark = by_slot.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not _files(spark, path.rstrip("/"), "/version=*/*.parquet")[1]:
         made = build_map(by_slot, shards)
     else:
         current = stored(load_map(spark, path), "slot-map")
@@ -148,7 +169,8 @@ def kept_map(by_slot: DataFrame, shards: int, path: str) -> DataFrame:
         else:
             return current
     made = stored(made.join(by_slot.select("vslot", "bytes"), "vslot").withColumn("shards", F.lit(shards)), "slot-map")
-    save_map(made.coalesce(1), path)
+    if not save_map(made, path):
+        return kept_map(by_slot, shards, path)
     return made.select("version", "vslot", "shard")
 
 
@@ -163,7 +185,10 @@ def made_for(by_slot: DataFrame, shards: int, path: str) -> DataFrame:
 
 
 def map_folder(spark: SparkSession, name: str, sf_dir: str) -> str:
-    """Where the map of a query over one input is kept, in the checkpoint folder."""
-    ensure_checkpoint_dir(spark)
+    """Where the map of a query over one input is kept: below the setting ``statewell.map.folder``, else in the checkpoint folder."""
     digest = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/map-{name}-{digest}"
+    root = spark.conf.get("statewell.map.folder", None)
+    if root is None:
+        ensure_checkpoint_dir(spark)
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/map-{name}-{digest}"
