@@ -217,10 +217,32 @@ def project_cohort(
         raise ContractError("centring on the discovery cohort needs its means")
     if centre not in ("discovery", "own"):
         raise ContractError(f"unknown centring {centre}")
-    enforce(projection_violations(cells, loadings, keys))
+    if not same_features(cells, loadings, keys):
+        enforce(projection_violations(cells, loadings, keys))
     return project(cells, loadings, keys, means if centre == "discovery" else feature_means(cells, keys), k)
 
 
+def same_features(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] = LAYER) -> bool:
+    """Whether every sample has exactly the features of its group's loadings, each once.
+
+    Samples are compared by count, sum and exclusive or of hashed feature ids, so one aggregated row a sample is shuffled
+    and no cell; ``projection_violations`` names what differs.
+    """
+    keys = list(keys)
+    mark = F.xxhash64("feature_id")
+    marks = {"_c": F.count("feature_id"), "_s": F.sum(F.pmod(mark, F.lit(1 << 31))), "_x": F.bit_xor(mark)}
+    own = cells.groupBy(*keys, "sample_id").agg(F.count("*").alias("_all"), *[m.alias(c) for c, m in marks.items()])
+    own = own.groupBy(*keys).agg(
+        F.bool_or(F.col("_all") != F.col("_c")).alias("_null"),
+        *[f(c).alias(f"{c}_{name}") for c in marks for name, f in (("lo", F.min), ("hi", F.max))],
+    )
+    wanted = loadings.select(*keys, "feature_id").distinct().groupBy(*keys).agg(*[m.alias(c) for c, m in marks.items()])
+    differs = F.coalesce(F.col("_null"), F.lit(True))
+    for c in marks:
+        differs |= ~(F.col(c).eqNullSafe(F.col(f"{c}_lo")) & F.col(c).eqNullSafe(F.col(f"{c}_hi")))
+    return own.join(wanted, keys, "full_outer").filter(differs).isEmpty()
+
+
 def projection_violations(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] = LAYER) -> DataFrame:
     """Features of a new cohort that are missing, extra, repeated or incomplete over its samples."""
     keys = list(keys)

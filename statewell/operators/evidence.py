@@ -247,8 +247,8 @@ def bootstrap_means(
 
     ``values(keys.., seed, value)``, one row per seed. ``philox`` cuts every
     group, whatever its size, into blocks: how many draws of a replicate fall
-    into each block is multinomial and drawn once per group; each block then
-    draws its share on its own. ``mix`` can be repeated in SQL.
+    into each block is multinomial, drawn down a tree by each block for itself;
+    the block then draws its share on its own. ``mix`` can be repeated in SQL.
     """
     keys = list(keys)
     if draws == "mix":
@@ -257,12 +257,11 @@ def bootstrap_means(
         raise ContractError(f"unknown draws {draws}")
     sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
     cut = values.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("seed"), F.ceil(F.col("_n") / block)).cast("int"))
-    blocks = cut.groupBy(*keys, "_block").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda s: s["value"]).alias("_v")
-    )
-    blocks = materialise(blocks)
-    counted = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", F.size("_v").alias("n")))).alias("_s"))
-    work = blocks.join(_shares(counted, keys, resamples, seed), [*keys, "_block"])
+    blocks = materialise(cut.groupBy(*keys, "_block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda s: s["value"]).alias("_v"), F.max("_n").alias("_total")
+    ))
+    paths = _paths(blocks.select(*keys, "_block", F.size("_v").alias("_size")), keys)
+    work = blocks.join(paths, [*keys, "_block"])
     schema = T.StructType(
         [work.schema[k] for k in keys]
         + [T.StructField("rep", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())]
@@ -271,8 +270,9 @@ def bootstrap_means(
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                v, shares = np.asarray(row["_v"]), np.asarray(row["_shares"])
-                stream = np.random.SeedSequence([seed, _key_mark([row[k] for k in keys]), int(row["_block"])])
+                v, mark = np.asarray(row["_v"]), _key_mark([row[k] for k in keys])
+                shares = block_shares(int(row["_total"]), row["_path"], resamples, seed, mark)
+                stream = np.random.SeedSequence([seed, mark, int(row["_block"])])
                 rng = np.random.Generator(np.random.Philox(stream))
                 sums = [float(v[rng.integers(0, len(v), share)].sum()) for share in shares.tolist()]
                 out = pd.DataFrame({"rep": np.arange(len(sums), dtype="int32"), "s": sums, "n": int(row["_total"])})
@@ -280,37 +280,38 @@ def bootstrap_means(
                     out.insert(i, k, row[k])
                 yield out
 
-    parts = work.select(*keys, "_block", "_v", "_shares", "_total").mapInPandas(draw, schema)
+    parts = work.select(*keys, "_block", "_v", "_path", "_total").mapInPandas(draw, schema)
     return parts.groupBy(*keys, "rep").agg((F.sum("s") / F.max("n")).alias("mean"))
 
 
-def _shares(counted: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """``(keys.., _block, _shares, _total)``: draws of every replicate in each block, multinomial over the blocks."""
-    schema = T.StructType(
-        [counted.schema[k] for k in keys]
-        + [T.StructField("_block", T.IntegerType()), T.StructField("_shares", T.ArrayType(T.LongType())), T.StructField("_total", T.LongType())]
+def _paths(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys.., _block, _path)``: from the root of a binary tree over the blocks to each block, what lies left and right.
+
+    One short row per block and level; nothing of a group comes together in one row.
+    """
+    deep = sizes.groupBy(*keys).agg(F.length(F.bin(F.max("_block"))).alias("_depth"))
+    steps = sizes.join(deep, keys).withColumn("_level", F.explode(F.sequence(F.lit(1), F.col("_depth"))))
+    node = F.expr("shiftright(_block, _depth - _level)")
+    steps = steps.withColumns({"_node": F.expr("shiftright(_block, _depth - _level + 1)"), "_right": node % 2 == 1})
+    held = steps.groupBy(*keys, "_level", "_node").agg(
+        F.sum(F.when(F.col("_right"), 0).otherwise(F.col("_size"))).alias("_lo"), F.sum(F.when(F.col("_right"), F.col("_size")).otherwise(0)).alias("_hi")
+    )
+    return steps.drop("_size", "_depth").join(held, [*keys, "_level", "_node"]).groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_level", "_node", "_right", "_lo", "_hi"))).alias("_path")
     )
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                names = [int(s["_block"]) for s in row["_s"]]
-                left, total = np.full(resamples, sum(int(s["n"]) for s in row["_s"])), sum(int(s["n"]) for s in row["_s"])
-                rest = total
-                mark = _key_mark([row[k] for k in keys])
-                for i, s in enumerate(row["_s"]):
-                    # the blocks one after the other: a binomial share of what is left
-                    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, mark, 1, i])))
-                    last = i == len(names) - 1
-                    share = left if last else rng.binomial(left, int(s["n"]) / rest)
-                    rest -= int(s["n"])
-                    left = left - share
-                    out = pd.DataFrame({"_block": [names[i]], "_shares": [share.tolist()], "_total": [total]})
-                    for j, k in enumerate(keys):
-                        out.insert(j, k, row[k])
-                    yield out
 
-    return counted.mapInPandas(deal, schema)
+def block_shares(total: int, path: Sequence, resamples: int, seed: int, mark: int) -> np.ndarray:
+    """Draws of every replicate that fall into one block: a binomial at each fork on the way to it.
+
+    A fork's draws depend on seed, group and fork alone, so all blocks below it see the same ones and their shares add up.
+    """
+    share = np.full(resamples, total)
+    for step in path:
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, mark, 1, int(step["_level"]), int(step["_node"])])))
+        left = rng.binomial(share, int(step["_lo"]) / (int(step["_lo"]) + int(step["_hi"])))
+        share = share - left if step["_right"] else left
+    return share
 
 
 def bootstrap_medians(

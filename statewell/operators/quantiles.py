@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewell.common import ContractError, materialise, small_side
+from statewell.operators.ranking import grouped_running_sum
+
+#: Rows of a bracket up to which one task orders them; wider brackets are ordered in a range-partitioned layout.
+ORDERED_ROWS = 1_000_000
 
 
 def _marks(probs: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
@@ -40,7 +44,8 @@ def rank_sketch(
 
 
 def refine_quantiles(
-    df: DataFrame, sketch: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame, sketch: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000,
+    ordered_rows: int = ORDERED_ROWS,
 ) -> DataFrame:
     """Second pass: exact quantiles inside the brackets of ``rank_sketch``."""
     keys = list(keys)
@@ -63,10 +68,13 @@ def refine_quantiles(
         .groupBy(*keys, "_n", "prob", "_side", F.expr("CASE WHEN _side = 0 THEN _x END AS _v"))
         .agg(F.expr("count(*) AS _c"), F.expr("min(_x) AS _lowest"), F.expr("max(_x) AS _highest"))
     )
-    by = ", ".join([*[f"`{k}`" for k in keys], "prob"])
-    ranked = inside.selectExpr("*", f"sum(_c) OVER (PARTITION BY {by} ORDER BY _side, _v) AS _end").selectExpr(
-        "*", "_end - _c AS _start", "(_n - 1) * prob AS _h"
-    )
+    largest = sketch.agg(F.max("_n")).first()[0] or 0
+    if largest * 6 / accuracy > ordered_rows:
+        summed = grouped_running_sum(inside, [*keys, "prob"], ["_side", "_v"], "_c", "_end")
+    else:
+        by = ", ".join([*[f"`{k}`" for k in keys], "prob"])
+        summed = inside.selectExpr("*", f"sum(_c) OVER (PARTITION BY {by} ORDER BY _side, _v) AS _end")
+    ranked = summed.selectExpr("*", "_end - _c AS _start", "(_n - 1) * prob AS _h")
 
     def at(rank: str) -> str:
         return (
@@ -90,7 +98,7 @@ def grouped_quantiles(
     A quantile sketch brackets each wanted rank with a guaranteed rank error of
     ``1/accuracy``; one more pass counts the values outside the bracket and
     groups the distinct values inside it. Only those, about ``6/accuracy`` of a
-    group, are ordered. Raise ``accuracy`` for groups beyond some 10^9 values.
+    group, are ordered, in one task while they are few and else over many.
     """
     return refine_quantiles(df, rank_sketch(df, keys, value, probs, accuracy), keys, value, probs, accuracy)
 

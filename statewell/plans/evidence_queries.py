@@ -197,7 +197,7 @@ def b10_bad(spark, sf):
 
 
 HOLD = f"""{BENCH}, ho AS MATERIALIZED (SELECT * FROM bench WHERE split = 'holdout' AND candidate = '{FIRST}'),
-       ix AS (SELECT stratum, row_number() OVER (ORDER BY stratum) AS k FROM (SELECT DISTINCT stratum FROM ho)),
+       ix AS (SELECT DISTINCT stratum, (strpos('ANR', regexp_extract(stratum, 'flag = (.)', 1)) - 1) * 7 + ln AS k FROM ho),
        lg AS MATERIALIZED (SELECT stratum_digest, stratum, projection_case, shared_signal, noise_sd, seed, k,
               unnest(['shared_recovery_error', 'response_recovery_error', 'exclusive_leakage', 'projection_error', 'elapsed_sec', 'peak_vcells_bytes']) AS metric,
               unnest([shared_recovery_error, response_recovery_error, exclusive_leakage, projection_error, elapsed_sec, peak_vcells_bytes]) AS value
@@ -221,7 +221,7 @@ HOLD_BOOT = """bb AS (SELECT stratum_digest, metric, rep, median(v[1 + i]) AS m
 
 def holdout(spark, sf):
     rows = src.bench_rows(spark, sf).filter((F.col("split") == "holdout") & (F.col("candidate") == FIRST))
-    index = b.grid_from_table(rows, ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
+    index = src.frozen_index(spark).drop("line")
     return rows, b.holdout_summary(rows, index, FIRST, RULES)
 
 
@@ -258,7 +258,7 @@ def b11_bad(spark, sf):
             "elapsed_sec": F.when(line == 5, F.lit(float("inf"))).otherwise(F.col("elapsed_sec")),
         }
     )
-    index = b.grid_from_table(rows.filter(line != 6), ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
+    index = src.frozen_index(spark).filter("line != 6").drop("line")
     return b.holdout_violations(rows, index, FIRST)
 
 
@@ -266,7 +266,7 @@ def b11_bad(spark, sf):
 def b12(spark, sf):
     """The declared 10 000 resamples with counter-based draws."""
     rows = src.bench_rows(spark, sf).filter((F.col("split") == "holdout") & (F.col("candidate") == FIRST))
-    index = b.grid_from_table(rows, ["stratum"]).withColumn("stratum_digest", F.sha2("stratum", 256))
+    index = src.frozen_index(spark).drop("line")
     return rounded(b.holdout_summary(rows, index, FIRST, b.Rules()), 7, "estimate", "ci_lower", "ci_upper")
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statewell.operators.evidence import grid_strata
 from statewell.plans.registry import table
 from statewell.sources.matrix import cells_from_arrays
 
@@ -162,14 +163,28 @@ BENCH = f"""bench AS MATERIALIZED (
              FROM lineitem GROUP BY ALL) JOIN supplier ON seed = s_suppkey)"""
 
 
+FLAGS, LINES = ("A", "N", "R"), range(1, 8)
+
+
+def stratum_text(line, flag):
+    return F.concat(
+        F.lit("list(K = "), (line % 2 + 2).cast("string"), F.lit("L, missing_block_rate = "),
+        F.when(line > 5, "0.2").otherwise("0"), F.lit(", flag = "), flag, F.lit(", line = "), line.cast("string"), F.lit(")"),
+    )
+
+
+def frozen_index(spark: SparkSession) -> DataFrame:
+    """Strata of the frozen grid of flags and lines with their index, whether rows were seen for them or not."""
+    stratum = stratum_text(F.col("line"), F.col("flag"))
+    return grid_strata(spark, {"flag": FLAGS, "line": LINES}).select(
+        stratum.alias("stratum"), F.sha2(stratum, 256).alias("stratum_digest"), "canonical_index", "line"
+    )
+
+
 def bench_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as benchmark rows: status = candidate, flag and line = stratum, supplier = seed."""
     line = F.col("l_linenumber")
-    stratum = F.concat(
-        F.lit("list(K = "), (line % 2 + 2).cast("string"), F.lit("L, missing_block_rate = "),
-        F.when(line > 5, "0.2").otherwise("0"), F.lit(", flag = "), F.col("l_returnflag"), F.lit(", line = "),
-        line.cast("string"), F.lit(")"),
-    )
+    stratum = stratum_text(line, F.col("l_returnflag"))
     per = table(spark, sf, "lineitem").groupBy(
         F.when(F.col("l_linestatus") == "F", FIRST).otherwise(SECOND).alias("candidate"),
         F.col("l_suppkey").alias("seed"), line.alias("ln"), stratum.alias("stratum"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from statewell.common import union_all
+from statewell.common import ensure_checkpoint_dir, union_all
 from statewell.functions import names
 from statewell.operators import prep
 from statewell.plans.registry import per_check, query, table
@@ -144,6 +146,28 @@ def document_manifest(spark, sf):
     )
 
 
+@query(
+    "s4_result_table",
+    """SELECT fmt, c_custkey AS sample_id, c_mktsegment AS layer, CAST(c_acctbal AS DOUBLE) AS coord,
+              CASE WHEN c_acctbal < 0 THEN NULL ELSE 'say "' || c_mktsegment || '", x' END AS note
+       FROM customer, (SELECT unnest(['csv', 'parquet']) AS fmt)""",
+)
+def s4(spark, sf):
+    """Scores written as a result table in either format below the shared folder and read again."""
+    ensure_checkpoint_dir(spark)
+    quoted = F.concat(F.lit('say "'), F.col("c_mktsegment"), F.lit('", x'))
+    scores = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("layer"), F.col("c_acctbal").cast("double").alias("coord"),
+        F.when(F.col("c_acctbal") >= 0, quoted).alias("note"),
+    )
+    root = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/results-{uuid.uuid4().hex}"
+    back = []
+    for fmt in ("csv", "parquet"):
+        tables.write_table(scores, f"{root}/{fmt}", fmt)
+        back.append(tables.read_table(spark, f"{root}/{fmt}", scores.schema, fmt).withColumn("fmt", F.lit(fmt)))
+    return union_all(back)
+
+
 @query(
     "s6_payload_digest",
     MANIFEST_SQL
