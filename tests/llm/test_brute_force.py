@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import canonical
-from statewell.llm import brown, catalog, decontaminate, extract, licenses, mixing, neighbours, pii, sharding, simhash, toxicity
+from statewell.llm import brown, catalog, decontaminate, extract, licenses, mixing, near_copies, neighbours, pii, sharding, simhash, toxicity
 from statewell.llm.base import held_out, stored, table
 from statewell.llm.license_texts import TEXTS
 
@@ -154,7 +154,7 @@ def test_several_fingerprints(spark):
 def test_near_copies_keep_the_first(spark):
     base = [f"w{i} of document" for i in range(3000)]
     rows = [(5, " ".join(base)), (3, " ".join(base)), (3, " ".join(base)), (9, " ".join([*base, "end"])), (1, "something else altogether in here"), (None, " ".join(base))]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 3]
 
 
