@@ -7,6 +7,7 @@ Spark add the partials; nothing but ``m x m`` blocks is ever shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -102,15 +103,22 @@ def gram_tasks(rows: DataFrame, width: int | None) -> int | None:
     return 4 * rows.sparkSession.sparkContext.defaultParallelism
 
 
+def sum_lanes(rows: DataFrame) -> int:
+    """Groups of tasks whose partial matrices are summed among themselves first, so that no task sums those of all tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return math.isqrt(cores) if cores > 64 else 1
+
+
 def gram_blocks(
-    rows: DataFrame, keys: Sequence[str] = (), center: str = "none", vec: str = "vec", tasks: int | None = None
+    rows: DataFrame, keys: Sequence[str] = (), center: str = "none", vec: str = "vec", tasks: int | None = None, lanes: int | None = None
 ) -> DataFrame:
     """Cross-products ``sum(v v')`` of array rows, per group, in row blocks.
 
     ``center``: ``columns`` subtracts the group mean vector, merged pairwise so
     that one pass is both exact and free of cancellation; ``rows`` subtracts
     each array's own mean; ``none`` leaves values as they are. ``tasks`` bounds
-    the number of partial matrices (see ``gram_tasks``).
+    the number of partial matrices (see ``gram_tasks``). They are summed in two
+    steps, over the tasks of a lane and over the ``lanes`` (see ``sum_lanes``).
     """
     if center not in ("columns", "rows", "none"):
         raise ContractError("center must be columns, rows or none")
@@ -207,6 +215,10 @@ def gram_blocks(
         ]
         yield pa.RecordBatch.from_arrays(columns, names=arrow_names)
 
+    lanes = sum_lanes(rows) if lanes is None else lanes
+    if lanes > 1:
+        laned = partial.withColumn("_lane", F.spark_partition_id() % lanes)
+        partial = laned.groupBy(*keys, "block", "_lane").applyInArrow(merge, schema)
     return partial.groupBy(*keys, "block").applyInArrow(merge, schema)
 
 

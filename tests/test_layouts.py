@@ -8,6 +8,7 @@ from statewell.common import ContractError
 from statewell.operators.decompose import project_cohort, same_features
 from statewell.operators.evidence import _paths, block_shares, bootstrap_means
 from statewell.operators.landscape import DENSITY_FLOOR, add_kernels
+from statewell.operators.linalg import gram_blocks
 from statewell.operators.quantiles import rank_sketch, refine_quantiles
 from statewell.operators.ranking import grouped_running_sum
 
@@ -95,3 +96,14 @@ def test_features_of_a_cohort(spark):
         if name != "layer":
             with pytest.raises(ContractError):
                 project_cohort(cells, loadings, centre="own").count()
+
+
+@pytest.mark.parametrize("center", ["columns", "none"])
+def test_cross_products_summed_in_lanes(spark, center):
+    x = np.random.default_rng(4).normal(3, 1, size=(500, 6))
+    rows = spark.createDataFrame([("a" if i < 400 else "b", v.tolist()) for i, v in enumerate(x)], "g string, vec array<double>").repartition(11)
+    for r in gram_blocks(rows, ["g"], center, lanes=3).collect():
+        own = x[:400] if r["g"] == "a" else x[400:]
+        own = own - own.mean(axis=0) if center == "columns" else own
+        assert r["n"] == len(own) and np.allclose(np.reshape(r["gram"], (6, 6)), own.T @ own)
+    assert gram_blocks(rows, ["g"], center, lanes=3).count() == 2
