@@ -1,6 +1,6 @@
 """Language-model scores from Brown classes: exchange clustering, class transitions, word emissions.
 
-Words are counted over all training texts. Words with at least a set share of all tokens are clustering units of their
+Words are counted over all training texts; then every text is stored as numbers, which the later passes read. Words with at least a set share of all tokens are clustering units of their
 own, the others share units by their ending; the number of units is bounded by that share. Unit bigrams are counted over
 all training texts. Exchange moves units between classes while the likelihood of the class bigrams grows.
 
@@ -41,6 +41,8 @@ HELD = 200_000
 #: Bigrams that a task holds before it folds them into its sums, and sums before it sends them.
 FOLD, SUMS = 500_000, 1_500_000
 END = b""
+#: Code of an end without training tokens.
+AWAY = -1 - ENDINGS
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -93,22 +95,81 @@ class Lexicon:
         ending = np.where((given < 0) & (unit >= self.first_ending), unit - self.first_ending, -1)
         return np.where(given >= 0, given, cls[unit]), ending
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Index of each token's word (-1: not here), its unit, and the words not here; the end comes last."""
+    def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each token, and the words not here; the end comes last.
+
+        It is the index of its word; for the words not here -1 less the ending, and AWAY for an end not here.
+        """
         words = words_of(text)
         words.append(END)
         get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        unit = self.unit[at]
-        away = np.flatnonzero(at < 0)
+        codes = np.fromiter((get(w, AWAY) for w in words), np.int32, len(words))
+        away = np.flatnonzero(codes < 0)
         others = [words[i] for i in away.tolist()]
         if others:
-            unit[away] = [self.first_ending + ending(w) if w else 0 for w in others]
-        return at, unit, others
+            codes[away] = [-1 - ending(w) if w else AWAY for w in others]
+        return codes, others
+
+    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each token's word (-1: not here) and its unit."""
+        at = np.maximum(codes, -1).astype(np.int64)
+        unit = np.where(codes >= 0, self.unit[at], np.where(codes == AWAY, 0, self.first_ending - 1 - codes.astype(np.int64)))
+        return at, unit
+
 
+def encode(docs: DataFrame, shipped) -> DataFrame:
+    """``(key, held_out, codes, rare, rid)`` of ``(key, held_out, text)``: every text's tokens as numbers and its words not in the lexicon.
+
+    Stored, so that texts are cut into words and looked up once for all passes that follow.
+    """
 
-def count_codes(texts: DataFrame, encoder) -> DataFrame:
-    """``(code, n)`` over the whole numbers that ``encoder()`` finds in every text. Tasks send sums."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(*shipped.value)
+        for batch in batches:
+            codes, ends, away, times, places = [], [0], [], [], [0]
+
+            def out(first: int) -> pa.RecordBatch:
+                pairs = pa.StructArray.from_arrays([pa.array(away, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes), pa.int32()))
+                own = batch.slice(first, len(codes))
+                return pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), lists, pa.ListArray.from_arrays(pa.array(places, pa.int32()), pairs)],
+                    names=["key", "held_out", "codes", "rare"],
+                )
+
+            for i, text in enumerate(batch.column(2)):
+                numbers, others = lexicon.encode(text.as_py())
+                codes.append(numbers)
+                ends.append(ends[-1] + len(numbers))
+                rare = Counter(others)
+                away += rare.keys()
+                times += rare.values()
+                places.append(len(away))
+                if ends[-1] > FOLD:
+                    yield out(i + 1 - len(codes))
+                    codes, ends, away, times, places = [], [0], [], [], [0]
+            if codes:
+                yield out(batch.num_rows - len(codes))
+
+    kind = docs.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, held_out boolean, codes array<int>, rare array<struct<word:binary,n:long>>"
+    coded = docs.select("key", "held_out", "text").mapInArrow(run, schema)
+    return stored(coded.withColumn("rid", F.monotonically_increasing_id()), "lm-encoded")
+
+
+def whole_texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a batch as ``(bounds, codes)``, cut between texts after about FOLD tokens."""
+    ends = batch.column(column).offsets.to_numpy()
+    values = batch.column(column).values.to_numpy(zero_copy_only=False)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + FOLD, "right")) - 1)
+        yield ends[first : last + 1] - ends[first], values[ends[first] : ends[last]]
+        first = last
+
+
+def count_codes(encoded: DataFrame, encoder) -> DataFrame:
+    """``(code, n)`` over the whole numbers that ``encoder()`` finds in encoded texts, one after another. Tasks send sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, held, n_held = encoder(), [], 0
@@ -125,8 +186,8 @@ def count_codes(texts: DataFrame, encoder) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(encode(text.as_py()))
+            for _, codes in whole_texts(batch, 0):
+                held.append(encode(codes))
                 n_held += len(held[-1])
                 if n_held > FOLD:
                     fold()
@@ -136,30 +197,30 @@ def count_codes(texts: DataFrame, encoder) -> DataFrame:
         fold()
         yield out()
 
-    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.select("codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def after_end(values: np.ndarray) -> np.ndarray:
-    """What stands before each token; a text starts after an end, which is 0."""
+    """What stands before each token; a text starts after an end, which is 0, as does the one after it."""
     return np.concatenate(([0], values[:-1]))
 
 
-def count_bigrams(texts: DataFrame, shipped, units: int) -> DataFrame:
+def count_bigrams(encoded: DataFrame, shipped, units: int) -> DataFrame:
     """``(a, b, n)`` of neighbouring units."""
 
     def encoder():
         lexicon = Lexicon(*shipped.value)
 
-        def encode(text: str | None) -> np.ndarray:
-            _, unit, _ = lexicon.read(text)
+        def encode(codes: np.ndarray) -> np.ndarray:
+            _, unit = lexicon.places(codes)
             return after_end(unit) * units + unit
 
         return encode
 
-    return count_codes(texts, encoder).select(F.expr(f"code div {units}").alias("a"), (F.col("code") % units).alias("b"), "n")
+    return count_codes(encoded, encoder).select(F.expr(f"code div {units}").alias("a"), (F.col("code") % units).alias("b"), "n")
 
 
-def assign_words(texts: DataFrame, shipped, model: dict, n_words: int) -> np.ndarray:
+def assign_words(encoded: DataFrame, shipped, model: dict, n_words: int) -> np.ndarray:
     """Class of every travelling word without a unit of its own (else -1), the likeliest one given the classes beside it.
 
     The gain of class C is the sum over left classes of log P(C | left) less log mass of C, plus that over right
@@ -171,8 +232,8 @@ def assign_words(texts: DataFrame, shipped, model: dict, n_words: int) -> np.nda
     def encoder():
         lexicon = Lexicon(*shipped.value)
 
-        def encode(text: str | None) -> np.ndarray:
-            at, unit, _ = lexicon.read(text)
+        def encode(codes: np.ndarray) -> np.ndarray:
+            at, unit = lexicon.places(codes)
             c = cls[unit]
             free = np.flatnonzero((at >= 0) & lexicon.follows[at])
             first = at[free] * (2 * size)
@@ -193,7 +254,7 @@ def assign_words(texts: DataFrame, shipped, model: dict, n_words: int) -> np.nda
             total[:, 0] = -np.inf
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(total, axis=1), pa.int64())], names=["w", "c"])
 
-    beside = count_codes(texts, encoder).groupBy(F.expr(f"code div {2 * size}").alias("w")).agg(
+    beside = count_codes(encoded, encoder).groupBy(F.expr(f"code div {2 * size}").alias("w")).agg(
         F.collect_list(F.struct((F.col("code") % (2 * size)).alias("slot"), "n")).alias("z")
     )
     chosen = beside.mapInArrow(choose, "w long, c long").toArrow()
@@ -202,22 +263,22 @@ def assign_words(texts: DataFrame, shipped, model: dict, n_words: int) -> np.nda
     return own
 
 
-def count_steps(texts: DataFrame, shipped, classes) -> np.ndarray:
+def count_steps(encoded: DataFrame, shipped, classes) -> np.ndarray:
     """Class bigrams of all training texts, at most CLASSES squared of them."""
     size = int(classes.value[0].max()) + 1
 
     def encoder():
         lexicon = Lexicon(*shipped.value)
 
-        def encode(text: str | None) -> np.ndarray:
-            at, unit, _ = lexicon.read(text)
+        def encode(codes: np.ndarray) -> np.ndarray:
+            at, unit = lexicon.places(codes)
             c, _ = lexicon.classes(at, unit, *classes.value)
             return after_end(c) * size + c
 
         return encode
 
     table = np.zeros(size * size)
-    for r in count_codes(texts, encoder).collect():
+    for r in count_codes(encoded, encoder).collect():
         table[r["code"]] = r["n"]
     return table.reshape(size, size)
 
@@ -324,7 +385,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     shipped = sc.broadcast(([w for w, _ in known], [c for _, c in known], tokens))
     lexicon = Lexicon(*shipped.value)
     stays = (F.length("word") > 0) & (F.col("c") * UNIT_SHARE < tokens) & (~travels | (F.col("c") < FEW))
-    rules = sc.broadcast(learn(texts, counts.filter(stays), shipped, lexicon) if tokens else None)
+    encoded = encode(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (~train).alias("held_out")), shipped)
+    rules = sc.broadcast(learn_encoded(encoded.filter(~F.col("held_out")), counts.filter(stays), shipped, lexicon) if tokens else None)
     floor = float(np.log10(tokens + 0.5 * (kinds + 1)))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,59 +394,60 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         model = rules.value
         for batch in batches:
             n, seen, base, full = [], [], [], []
-            away: list[bytes] = []
-            times: list[int] = []
-            ends = [0]
-            for body in batch.column(1):
-                at, unit, others = lexicon.read(body.as_py())
+            for ends, codes in whole_texts(batch, 2):
+                at, unit = lexicon.places(codes)
                 here = at >= 0
                 log_count = lexicon.log_count[at] * here
-                n.append(len(at))
-                seen.append(int(here.sum()) if tokens else 0)
-                base.append(float(log_count.sum()) - len(at) * floor)
                 if model:
                     c, ending = lexicon.classes(at, unit, model["cls"], model["own"])
-                    total = model["step"][after_end(c), c].sum() - model["emit"][c].sum() + log_count.sum()
-                    full.append(float(total + model["left"][ending[ending >= 0]].sum()))
-                else:
-                    full.append(base[-1])
-                if tokens:
-                    rare = Counter(others)
-                    away += rare.keys()
-                    times += rare.values()
-                ends.append(len(away))
-                if not tokens:
-                    base[-1] = full[-1] = float(len(at) * (np.log10(0.5) - floor))
-            pairs = pa.StructArray.from_arrays([pa.array(away, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                    step, emit = model["step"][after_end(c), c], model["emit"][c]
+                for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    size, logs = j - i, float(log_count[i:j].sum())
+                    n.append(size)
+                    seen.append(int(here[i:j].sum()) if tokens else 0)
+                    base.append(logs - size * floor)
+                    if model:
+                        total = step[i:j].sum() - emit[i:j].sum() + logs
+                        own = ending[i:j]
+                        full.append(float(total + model["left"][own[own >= 0]].sum()))
+                    else:
+                        full.append(base[-1])
+                    if not tokens:
+                        base[-1] = full[-1] = float(size * (np.log10(0.5) - floor))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(full, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                names=["key", "held_out", "n_tokens", "n_known", "base", "full", "rare"],
+                [*batch.columns[:2], batch.column(3), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(full, pa.float64())],
+                names=["key", "held_out", "rid", "n_tokens", "n_known", "base", "full"],
             )
 
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (~train).alias("held_out"))
-    kind = source.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, base double, full double, rare array<struct<word:binary,n:long>>"
-    rated = stored(source.mapInArrow(rate, schema).withColumn("rid", F.monotonically_increasing_id()), "lm-rated")
-    rare = rated.select("rid", F.inline("rare")).join(counts.filter(~travels), "word", "left")
+    kind = encoded.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, held_out boolean, rid long, n_tokens long, n_known long, base double, full double"
+    rated = encoded.select("key", "held_out", "codes", "rid").mapInArrow(rate, schema)
+    rare = encoded.select("rid", F.inline("rare")).join(counts.filter(~travels), "word", "left")
     c = F.coalesce("c", F.lit(0))
     # exact in any order: counts of tokens by count of the word are whole numbers, only few terms are floats
     late = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return rated.drop("rare").join(late, "rid", "left").select(
+    return rated.join(late, "rid", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("full") + logs).alias("score"),
     )
 
 
 def learn(texts: DataFrame, others: DataFrame, shipped, lexicon: Lexicon) -> dict:
+    """``learn_encoded`` from plain texts."""
+    text = F.col(texts.columns[0])
+    return learn_encoded(encode(texts.select(F.lit(0).alias("key"), F.lit(False).alias("held_out"), text.alias("text")), shipped), others, shipped, lexicon)
+
+
+def learn_encoded(encoded: DataFrame, others: DataFrame, shipped, lexicon: Lexicon) -> dict:
     """The model: classes of units and words, log10 of transitions, of class totals and of each ending's share by place."""
-    sc = texts.sparkSession.sparkContext
-    bigrams = stored(count_bigrams(texts, shipped, lexicon.units), "lm-bigrams")
+    sc = encoded.sparkSession.sparkContext
+    bigrams = stored(count_bigrams(encoded, shipped, lexicon.units), "lm-bigrams")
     first = learn_classes(bigrams, lexicon.units)
-    own = assign_words(texts, shipped, first, len(lexicon.index))
+    own = assign_words(encoded, shipped, first, len(lexicon.index))
     cls = np.array(first["cls"], np.int64)
-    table = count_steps(texts, shipped, sc.broadcast((cls, own)))
+    table = count_steps(encoded, shipped, sc.broadcast((cls, own)))
     # members of a class: the end and words with a unit, words assigned, endings
     members = np.bincount(cls, minlength=len(table)) + np.bincount(own[own >= 0], minlength=len(table))
     mass, kinds = ending_mass(others)
