@@ -11,6 +11,9 @@ neighbouring lengths by an insertion (distance one), so the lengths are part of
 the first or the last half of the shorter word as it is, so that half is part of it too, and every signature is sent with
 either half. Buckets are joined with the verification as part of the join condition, so only near pairs leave the join.
 
+Nothing is broadcast: Spark sizes the signatures by the table of words that they come from, one fortieth of their rows, and
+stored words by their compressed files; so the joins ask for a sort and merge, whatever the threshold.
+
 Definitions:
 * a null text has no runs, a null id is the empty text in the hash, repeated rows count again; texts of any length are read;
 * a word is near another if it differs by exactly one code point inserted, deleted or replaced, so never to itself;
@@ -31,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewell.common import small_side
 from statewell.llm.base import LOWER_BYTES, stored
 
 #: Parts of the dimensions; with PARTS = 5 a replacement leaves 3 of 5 parts equal (10 signatures), an insertion 4 (5).
@@ -135,8 +137,8 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
     signed = signatures(words, letter_parts(words, parts), parts)
     left, right = (signed.select("sig", "side", F.col("word").alias(w), F.col("n").alias(n)) for w, n in (("a", "an"), ("b", "bn")))
     one_edit = F.levenshtein("a", "b", 1) == 1
-    same = left.filter("side = 0").join(right.filter("side = 0").drop("side"), "sig").filter((F.col("a") < F.col("b")) & one_edit)
-    longer = left.filter("side = 1").join(right.filter("side = 2").drop("side"), "sig").filter(one_edit)
+    same = left.filter("side = 0").join(right.filter("side = 0").drop("side").hint("merge"), "sig").filter((F.col("a") < F.col("b")) & one_edit)
+    longer = left.filter("side = 1").join(right.filter("side = 2").drop("side").hint("merge"), "sig").filter(one_edit)
     found = same.select("a", "an", "b", "bn").unionByName(longer.select("a", "an", "b", "bn")).distinct()
     turned = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("bn").alias("m")),
                                F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("an").alias("m"))))
@@ -149,7 +151,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
         step = stored(
-            now.join(small_side(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")),
+            now.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")),
             "variants-roots",
         )
         now = step.select("word", "root")
@@ -164,14 +166,14 @@ def variants(counted: DataFrame, ratio: int = 2, parts: int = PARTS) -> DataFram
     # a struct's least value: largest count first, then the smallest word
     best = near_pairs(words, parts).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("b"))
     named = stored(
-        words.join(best, "word", "left").select(
+        words.join(best.hint("merge"), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(-F.col("b.m") >= ratio * F.col("n"), F.col("b.other")).alias("form"),
             F.when(-F.col("b.m") >= ratio * F.col("n"), -F.col("b.m")).alias("form_n"),
         ),
         "variants-forms",
     )
-    return named.join(roots(named.filter("form is not null")), "word", "left").select(
+    return named.join(roots(named.filter("form is not null")).hint("merge"), "word", "left").select(
         "word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root")
     )
 

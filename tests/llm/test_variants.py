@@ -79,6 +79,27 @@ def test_long_words_at_every_edit(spark):
     assert got(variants.variants(spark.createDataFrame(list(words.items()), "word string, n long"))) == want(words)
 
 
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Signatures are forty rows a word, but Spark takes them to be as small as the words; so no join may go by that size."""
+    words = {f"{a}{b}{c}word": 3 * 2 ** i for i, a in enumerate("abcdef") for b in "ghi" for c in "jkl"}
+    plans, kept = [], variants.stored
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def stored(df, name):
+        plans.append(plan(df))
+        return kept(df, name)
+
+    monkeypatch.setattr(variants, "stored", stored)
+    frame = variants.variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    plans.append(plan(frame))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5
+    assert not [p for p in plans if "Broadcast" in p]
+    assert got(frame) == want(words)
+
+
 def test_counts_of_odd_rows(spark):
     long = "Straße straße " * 100_000
     rows = [(1, None), (2, ""), (3, long), (None, "Hello hello HELLO hellò hellò hellò"), (None, "Hello"), (5, "naïve×naïve " * 9), (5, "naïve×naïve " * 9), (6, "x" * 2_000_000)]
